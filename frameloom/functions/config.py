@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from .dimensions import KNOWN_KEYS
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-NOT_FINITE = r"^\s*[+-]?(nan|inf|infinity)\s*$"
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)\s*$"
 
 
 def lookup(table: dict[str, object], key: Column) -> Column:
@@ -62,8 +61,8 @@ def normalise_keys(config: Column) -> Column:
 
 def to_number(value: Column) -> Column:
     """Text to double; anything that is not a plain decimal number, NaN or infinity is null."""
-    text = F.lower(F.trim(value.cast("string")))
-    return F.when(value.cast("string").rlike(NUMBER) | text.rlike(NOT_FINITE), text.try_cast("double"))
+    text = value.cast("string")
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def clamp(number: Column, lo: Column | float, hi: Column | float) -> Column:

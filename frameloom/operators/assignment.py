@@ -90,7 +90,8 @@ def lpt_assign(items: DataFrame, workers: int, memory: Sequence[int] | None = No
     within = F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("taken") - F.col("_b") * BLOCK).cast("int") - 1)
     places = (
         runs.withColumn("_b", block)
-        .withColumn("_k", F.explode(within) + F.col("_b") * BLOCK)
+        .withColumn("_k", F.explode(within))
+        .withColumn("_k", F.col("_k") + F.col("_b") * BLOCK)
         .withColumn("_w", F.element_at(F.array(*[F.lit(w) for w in weight]), F.col("worker") + 1))
         .withColumn("_key", (F.col("load") + F.col("_k") * F.col("size")) / F.col("_w"))
     )

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["intake", "ledger"]
+MODULES = ["intake", "ledger", "settings", "captioning"]
 
 
 def load_all() -> None:

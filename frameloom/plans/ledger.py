@@ -299,12 +299,27 @@ def verify(spark, sf_dir):
     return L.verify(docs, manifests).drop("hash")
 
 
-@query("lpt_assign")
+def _lpt_sql(memory):
+    """The greedy rule step by step: one level of the recursion per item rank."""
+    weight = "[" + ", ".join(str(float(m)) for m in memory) + "]"
+    score = f"list_transform(range({G}), lambda w: s.load[w + 1] / {weight}[w + 1])"
+    return fx.with_parts("items").replace("WITH", "WITH RECURSIVE", 1) + f""",
+r AS (SELECT job_id, idx, size, row_number() OVER (PARTITION BY job_id ORDER BY size DESC, idx) AS rk FROM items),
+s AS (SELECT DISTINCT job_id, 0::BIGINT AS rk, [0, 0, 0, 0]::BIGINT[] AS load, -1::INTEGER AS worker, -1::BIGINT AS idx, 0::BIGINT AS size FROM items
+  UNION ALL SELECT job_id, rk, list_transform(range({G}), lambda w: load[w + 1] + CASE WHEN w = best THEN size ELSE 0 END)::BIGINT[], best, idx, size
+  FROM (SELECT r.job_id, r.rk, r.idx, r.size, s.load, (list_position({score}, list_min({score})) - 1)::INTEGER AS best
+        FROM s JOIN r ON r.job_id = s.job_id AND r.rk = s.rk + 1))
+"""
+
+
+@query("lpt_assign", _lpt_sql([1] * G) + "SELECT job_id, idx, size, worker FROM s WHERE rk > 0")
 def lpt_assign(spark, sf_dir):
     return A.lpt_assign(fx.items(spark, sf_dir).select("job_id", "idx", "size"), G)
 
 
-@query("lpt_totals")
+@query("lpt_totals", _lpt_sql([24, 24, 12, 48]) + f"""SELECT j.job_id, w.worker::INTEGER AS worker, coalesce(sum(s.size), 0)::BIGINT AS load
+  FROM (SELECT DISTINCT job_id FROM items) j CROSS JOIN (SELECT unnest(range({G})) AS worker) w
+  LEFT JOIN s ON s.job_id = j.job_id AND s.worker = w.worker AND s.rk > 0 GROUP BY ALL""")
 def lpt_totals(spark, sf_dir):
     assigned = A.lpt_assign(fx.items(spark, sf_dir).select("job_id", "idx", "size"), G, [24, 24, 12, 48])
     return L.queue_totals(assigned, G)
