@@ -24,21 +24,27 @@ def overlay_timing(start: Column, dur: Column, total: Column) -> Column:
     return F.when(end > start, F.struct(end.alias("end"), fade(0.06).alias("fade_in"), fade(0.08).alias("fade_out")))
 
 
-def transition(raw: Column) -> Column:
-    """Struct (type, seconds, direction, color, easing) from a map; ``none`` for an unknown type or a null map."""
+def transition_kind(raw: Column) -> Column:
+    """Type of a transition map: ``fade`` where it names none, ``none`` for an unknown one or a null map."""
     kind = effect_name(first_set(raw, "type", "transitionType", "transition_type", "name", default=F.lit("fade")))
-    known = raw.isNotNull() & kind.isin(*TRANSITION_TYPES)
+    return F.when(raw.isNotNull() & kind.isin(*TRANSITION_TYPES), kind).otherwise(F.lit("none"))
+
 
-    def length(key: str) -> Column:
-        """A zero length counts as unset."""
-        value = first_set(raw, key)
-        return F.when(F.coalesce(value.try_cast("double"), F.lit(1.0)) != 0, value)
+def transition_length(raw: Column) -> Column:
+    """Length text of a transition map; a zero counts as unset, and 0.3 stands in where none is set."""
+    zero = "^0(\\.0*)?$"
+    lengths = [F.nullif(F.regexp_replace(first_set(raw, k), zero, ""), F.lit("")) for k in ("durationSec", "duration_sec", "duration")]
+    return F.coalesce(*lengths, F.lit("0.3"))
 
-    seconds = clamp_number(F.coalesce(length("durationSec"), length("duration_sec"), length("duration"), F.lit("0.3")), 0, 5, 0.3)
+
+def transition(raw: Column) -> Column:
+    """Struct (type, seconds, direction, color, easing) from a transition map."""
+    kind = transition_kind(raw)
+    known = kind != "none"
     paint = first_set(raw, "color", "dipColor")
     return F.struct(
-        F.when(known, kind).otherwise(F.lit("none")).alias("type"),
-        F.when(known, seconds).otherwise(F.lit(0.0)).alias("seconds"),
+        kind.alias("type"),
+        F.when(known, clamp_number(transition_length(raw), 0, 5, 0.3)).otherwise(F.lit(0.0)).alias("seconds"),
         F.when(known, F.lower(first_set(raw, "direction", "dir", default=F.lit("left")))).otherwise(F.lit("left")).alias("direction"),
         F.when(known & paint.isNotNull(), hex_colour(paint)).otherwise(F.lit("#000000")).alias("color"),
         F.when(known, F.lower(first_set(raw, "easing", "ease", default=F.lit("linear")))).otherwise(F.lit("linear")).alias("easing"),

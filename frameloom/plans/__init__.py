@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["intake", "ledger", "settings", "captioning"]
+MODULES = ["intake", "ledger", "settings", "captioning", "timelines"]
 
 
 def load_all() -> None:
