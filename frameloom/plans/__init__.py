@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["intake", "ledger", "settings", "captioning", "timelines"]
+MODULES = ["intake", "ledger", "settings", "captioning", "timelines", "rasters"]
 
 
 def load_all() -> None:
