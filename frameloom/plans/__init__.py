@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["intake", "ledger", "settings", "captioning", "timelines", "rasters"]
+MODULES = ["intake", "ledger", "settings", "captioning", "timelines", "rasters", "signals"]
 
 
 def load_all() -> None:
