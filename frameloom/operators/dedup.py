@@ -25,7 +25,9 @@ def dct_hash(df: DataFrame, n: int = 32, size: int = 8) -> DataFrame:
     """``img_id, hash`` from grey pictures of n x n pixels ``img_id, y, x, v``.
 
     The lowest size x size cosine coefficients against their median. The transform is separable and every
-    coefficient is a sum, so both passes combine before their shuffle.
+    coefficient is a sum, so both passes combine before their shuffle. A coefficient counts as above the median
+    only beyond a small margin: those of flat pictures differ from it by rounding alone, which would make
+    their bits depend on the order of summation.
     """
     basis = [[math.cos(math.pi * (2 * x + 1) * u / (2 * n)) for x in range(n)] for u in range(size)]
 
@@ -40,7 +42,7 @@ def dct_hash(df: DataFrame, n: int = 32, size: int = 8) -> DataFrame:
     ranked, half = F.array_sort("k"), size * size // 2
     middle = (F.element_at(ranked, half) + F.element_at(ranked, half + 1)) / 2.0
     split = coefficients.withColumn("_m", middle)
-    return split.select("img_id", _pack(F.transform("k", lambda c: c > F.col("_m"))).alias("hash"))
+    return split.select("img_id", _pack(F.transform("k", lambda c: c > F.col("_m") + 1e-6)).alias("hash"))
 
 
 def _cells(df: DataFrame) -> DataFrame:
@@ -112,7 +114,8 @@ def nearest_earlier(hashes: DataFrame, max_dist: int) -> DataFrame:
 
     A later copy of a hash has distance 0; only first pictures of different hashes are compared.
     """
-    distinct = distinct_hashes(hashes)
+    hashes = cut_lineage(hashes)  # two narrow columns, read three times below
+    distinct = cut_lineage(distinct_hashes(hashes))
     best = near_hashes(distinct, max_dist).groupBy(F.col("b").alias("hash")).agg(F.min("dist").alias("_d"))
     return (
         hashes.join(distinct.select("hash", "first_id").join(best, "hash", "left"), "hash")

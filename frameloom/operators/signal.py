@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dimensions import SMOOTH_KERNEL
+from ..session import cut_lineage
 from .ordered import exact_quantiles, with_halo
 
 CHUNK = 1 << 16
@@ -226,7 +227,8 @@ def rhythm_profile(df: DataFrame, rate: float, frame: int, hop: int, min_frames:
     Tempo from the autocorrelation; where that is weak, from the distances of strong peaks.
     """
     env_rate = rate / hop
-    strength = onset_strength(df, frame, hop, min_frames, chunk)
+    # one row per hop of samples, read by six branches below
+    strength = cut_lineage(onset_strength(df, frame, hop, min_frames, chunk))
     estimate = tempo(autocorr(strength, *lag_range(env_rate), chunk), env_rate)
     thr = exact_quantiles(strength, ["src"], "v", {"thr": 0.85})
     gap = max(2, int(env_rate * 60.0 / 196.0))

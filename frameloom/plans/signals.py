@@ -12,6 +12,7 @@ from ..operators import augment as A
 from ..operators import dedup as U
 from ..operators import signal as S
 from ..operators.ordered import exact_quantiles
+from ..session import cut_lineage
 from . import fixtures as fx
 from .catalog import query
 from .ledger import SEED, draw
@@ -42,7 +43,7 @@ pk AS (SELECT src, unnest(list_reduce(list_transform(list(i ORDER BY i), lambda
 
 
 def strength(spark, sf_dir):
-    return S.onset_strength(fx.signal(spark, sf_dir), FRAME, HOP, 64, CHUNK)
+    return cut_lineage(S.onset_strength(fx.signal(spark, sf_dir), FRAME, HOP, 64, CHUNK))
 
 
 def rounded(df, n, *cols):
@@ -160,7 +161,7 @@ def packed(bit: str, pos: str) -> str:
     return f"sum(CASE WHEN {bit} THEN (1::HUGEINT << ({pos})::INTEGER) ELSE 0::HUGEINT END)::HUGEINT"
 
 
-_DCT = _DUP + f""", hashes AS (SELECT img_id, {_SIGNED} AS hash FROM (SELECT img_id, {packed('k > m', 't * 8 + u')} AS h FROM coef JOIN med USING (img_id) GROUP BY img_id))"""
+_DCT = _DUP + f""", hashes AS (SELECT img_id, {_SIGNED} AS hash FROM (SELECT img_id, {packed('k > m + 1e-6', 't * 8 + u')} AS h FROM coef JOIN med USING (img_id) GROUP BY img_id))"""
 
 
 @query("dct_hash", _DCT + " SELECT img_id, hash FROM hashes")
@@ -190,8 +191,8 @@ def nearest_earlier(spark, sf_dir):
 
 @query("similar_pairs", _NEAR + " SELECT a, b, dist FROM near")
 def similar_pairs(spark, sf_dir):
-    hashes = U.dct_hash(noisy(spark, sf_dir), 8)
-    return U.near_hashes(U.distinct_hashes(hashes), 10).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "dist")
+    distinct = cut_lineage(U.distinct_hashes(U.dct_hash(noisy(spark, sf_dir), 8)))
+    return U.near_hashes(distinct, 10).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "dist")
 
 
 @query("hash_stats", _DCT + """, dist AS (SELECT o.img_id // 4 AS vec_id, bit_count(xor(o.hash, v.hash))::INTEGER AS dist FROM hashes o JOIN hashes v ON v.img_id // 4 = o.img_id // 4 AND v.img_id > o.img_id WHERE o.img_id % 4 = 0)
