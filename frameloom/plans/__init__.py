@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["intake", "ledger", "settings", "captioning", "timelines", "rasters", "signals"]
+MODULES = ["intake", "ledger", "settings", "captioning", "timelines", "rasters", "signals", "flows"]
 
 
 def load_all() -> None:
