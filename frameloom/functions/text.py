@@ -63,36 +63,53 @@ def emoji_size(size: Column) -> Column:
     return F.greatest(F.lit(12), F.floor(size * 1.05))
 
 
-def text_width(text: Column, size: Column) -> Column:
-    """Width of one line in pixels. Emoji count as a square of 1.05 font sizes plus a gap of 8 %."""
-    emoji = emoji_size(size)
-    gap = F.greatest(F.lit(1), F.floor(emoji * 0.08))
-    clusters = F.regexp_count(text, F.lit(f"({EMOJI})"))
+def _advance(text: Column) -> tuple[Column, Column]:
+    """Plain advance in hundredths of the font size, and number of emoji clusters."""
     plain = F.regexp_replace(text, f"({EMOJI})", "")
-
     units = F.length(plain) * OTHER
     for pattern, advance in (NARROW, SLIM, BROAD, UPPER, FULL):
         units = units + F.regexp_count(plain, F.lit(pattern)) * (advance - OTHER)
+    return units, F.regexp_count(text, F.lit(f"({EMOJI})"))
+
+
+def _pixels(units: Column, clusters: Column, size: Column) -> Column:
+    emoji = emoji_size(size)
+    gap = F.greatest(F.lit(1), F.floor(emoji * 0.08))
     return units * size / 100.0 + clusters * (emoji + gap)
 
 
+def text_width(text: Column, size: Column) -> Column:
+    """Width of one line in pixels. Emoji count as a square of 1.05 font sizes plus a gap of 8 %."""
+    return _pixels(*_advance(text), size)
+
+
 def wrap(text: Column, size: Column, limit: Column) -> Column:
-    """Greedy word wrap per paragraph; blank lines stay. A word wider than the limit has its own line."""
+    """Greedy word wrap per paragraph; blank lines stay. A word wider than the limit has its own line.
+
+    Each word is measured once; a line's width is carried as a sum.
+    """
     empty = F.array().cast("array<string>")
+    space = SLIM[1]
+
+    def measured(w: Column) -> Column:
+        units, clusters = _advance(w)
+        return F.struct(w.alias("w"), units.alias("u"), clusters.alias("c"))
 
     def paragraph(p: Column) -> Column:
-        words = F.split(p, " ")
-        start = F.struct(empty.alias("lines"), F.element_at(words, 1).alias("line"))
+        ws = F.transform(F.split(p, " "), measured)
+        head = F.element_at(ws, 1)
+        start = F.struct(empty.alias("lines"), head["w"].alias("line"), head["u"].alias("u"), head["c"].alias("c"))
 
         def step(s: Column, w: Column) -> Column:
-            longer = F.concat(s["line"], F.lit(" "), w)
-            fits = text_width(longer, size) <= limit
+            fits = _pixels(s["u"] + space + w["u"], s["c"] + w["c"], size) <= limit
             return F.struct(
                 F.when(fits, s["lines"]).otherwise(F.array_append(s["lines"], s["line"])).alias("lines"),
-                F.when(fits, longer).otherwise(w).alias("line"),
+                F.when(fits, F.concat(s["line"], F.lit(" "), w["w"])).otherwise(w["w"]).alias("line"),
+                F.when(fits, s["u"] + space + w["u"]).otherwise(w["u"]).alias("u"),
+                F.when(fits, s["c"] + w["c"]).otherwise(w["c"]).alias("c"),
             )
 
-        rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+        rest = F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0)))
         return F.aggregate(rest, start, step, lambda s: F.array_append(s["lines"], s["line"]))
 
     return F.array_join(F.flatten(F.transform(F.split(text, "\n"), paragraph)), "\n")

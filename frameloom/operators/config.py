@@ -59,9 +59,7 @@ def editor_params(df: DataFrame, config: str = "config") -> DataFrame:
     Reads, casts and clamps are separate projections, so that no expression is repeated in generated code.
     """
     keep = [c for c in df.columns if c != config]
-    m = F.col(config)
-    texts = {name: C.first_set(m, *keys) for name, keys, *_ in D.EDITOR_NUMBERS}
-    texts |= {name: C.first_set(m, *keys) for name, keys in D.EDITOR_FLAGS}
+    names = {name: keys for name, keys, *_ in D.EDITOR_NUMBERS} | dict(D.EDITOR_FLAGS)
     for name, *keys in [
         ("trimEndSec", "trimEndSec", "trim_end_sec"), ("rotateDeg", "rotateDeg", "rotate_deg"),
         ("audioFadeInSec", "audioFadeInSec", "audio_fade_in_sec"), ("audioFadeOutSec", "audioFadeOutSec", "audio_fade_out_sec"),
@@ -69,8 +67,12 @@ def editor_params(df: DataFrame, config: str = "config") -> DataFrame:
         ("fit", "fit"), ("backgroundColor", "backgroundColor", "background_color"),
         ("videoCodec", "videoCodec", "video_codec"), ("preset", "preset"),
     ]:
-        texts[name] = C.first_set(m, *keys)
-    read = df.select(*keep, *[t.alias(name) for name, t in texts.items()])
+        names[name] = keys
+    # one pass turns the map into fields; a lookup per key would search the map some eighty times
+    fields = ", ".join(f"`{k}` string" for keys in names.values() for k in keys)
+    struct = df.select(*keep, F.from_json(F.to_json(config), fields).alias("_m"))
+    texts = {n: F.coalesce(*[F.nullif(F.col(f"_m.{k}"), F.lit("")) for k in keys]) for n, keys in names.items()}
+    read = struct.select(*keep, *[t.alias(n) for n, t in texts.items()])
 
     flags = [name for name, _ in D.EDITOR_FLAGS]
     words = ["fit", "backgroundColor", "videoCodec", "preset"]

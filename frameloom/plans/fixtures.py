@@ -55,9 +55,8 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("page"))
     head = F.regexp_extract("page", "^([^?#]*)", 1)
     tail = F.regexp_extract("page", "^[^?#]*(.*)$", 1)
-    swapped = head
-    for k, host in HOSTS.items():
-        swapped = F.when(F.col("id") % 19 == k, F.regexp_replace(head, "^https?://[^/]+", host)).otherwise(swapped)
+    host = choose(F.col("id") % 19, [HOSTS.get(k) for k in range(19)])
+    swapped = F.when(host.isNull(), head).otherwise(F.regexp_replace(head, F.lit("^https?://[^/]+"), host))
     url = F.concat(swapped, choose(F.col("id") % len(SUFFIXES), SUFFIXES), tail)
     return pages.select("id", F.when(F.col("id") % 19 == 7, F.lit("")).otherwise(url).alias("url"))
 

@@ -239,7 +239,7 @@ _KINDS = ["Cross-Fade", "wipe_left", "", "unknown", "SLIDE-UP", "glow", "zoompan
 
 @query("transition", f"""WITH t AS (SELECT event_id, {fx.sql_choose('event_id % 9', _KINDS)} AS kind, {RAW} AS raw FROM events),
 u AS (SELECT *, coalesce(nullif(replace(replace(lower(kind), '_', ''), '-', ''), ''), 'fade') AS k FROM t), v AS (SELECT *, k IN ({sql_list(D.TRANSITION_TYPES)}) AS known FROM u)
-SELECT event_id, CASE WHEN known THEN k ELSE 'none' END AS type, CASE WHEN known THEN {clamp_sql("coalesce(nullif(raw, ''), '0.3')", 0.0, 5.0, 0.3)} ELSE 0.0 END::DOUBLE AS seconds,
+SELECT event_id, CASE WHEN known THEN k ELSE 'none' END AS type, CASE WHEN known THEN {clamp_sql("CASE WHEN regexp_full_match(raw, '0(\\.0*)?') OR nullif(raw, '') IS NULL THEN '0.3' ELSE raw END", 0.0, 5.0, 0.3)} ELSE 0.0 END::DOUBLE AS seconds,
   CASE WHEN known AND event_id % 2 = 0 THEN 'up' ELSE 'left' END AS direction, CASE WHEN known AND event_id % 3 = 0 THEN '#aabbcc' ELSE '#000000' END AS color, 'linear' AS easing FROM v""")
 def transition(spark, sf_dir):
     e = F.col("event_id")
@@ -350,5 +350,6 @@ def active_overlays(spark, sf_dir):
     overlays = conv.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("id"), (F.col("turn") * 0.5).alias("start"),
                            (F.col("turn") * 0.5 + 1.0 + F.col("conv_id") % 3).alias("end"))
     frames = conv.groupBy(F.col("conv_id").alias("job_id")).agg(F.count("*").alias("n")).select(
-        "job_id", (F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") * 3 - 1)) / 4.0).alias("t"))
+        "job_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") * 3 - 1)).alias("f"))
+    frames = frames.select("job_id", (F.col("f") / 4.0).alias("t"))
     return L.active_overlays(frames, overlays).groupBy("job_id", "t").agg(F.count("*").alias("active"), F.min("id").alias("first_id"))
