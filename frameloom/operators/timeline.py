@@ -21,7 +21,7 @@ LISTS = ["video", "videos", "clips", "items", "segments", "effects", "text", "ca
 LABELS = ["type", "trackType", "track_type", "kind", "name"]
 LIST_SCHEMA = ", ".join(f"{n} array<string>" for n in LISTS)
 ROOT_SCHEMA = f"tracks string, textOverlays array<string>, text_overlays array<string>, {LIST_SCHEMA}"
-TRACK_SCHEMA = f"array<struct<{', '.join(f'{n}: string' for n in LABELS)}, {', '.join(f'{n}: array<string>' for n in LISTS)}>>"
+TRACK_SCHEMA = ", ".join(f"{n} string" for n in LABELS) + ", " + LIST_SCHEMA
 TRACK_KINDS = {
     "video": (["video", "videos", "media", "main"], ["clips", "items", "segments", "video"]),
     "effects": (["effect", "effects", "fx", "filters"], ["effects", "clips", "items", "segments"]),
@@ -66,7 +66,8 @@ def shred_timeline(df: DataFrame, json: str = "json") -> DataFrame:
     split = rooted.select(
         "*",
         F.when(tracks.startswith("{"), F.from_json(tracks, LIST_SCHEMA)).alias("_obj"),
-        F.when(tracks.startswith("["), F.from_json(tracks, TRACK_SCHEMA)).alias("_arr"),
+        F.when(tracks.startswith("["), F.transform(
+            _objects(F.from_json(tracks, "array<string>")), lambda t: F.from_json(t, TRACK_SCHEMA))).alias("_arr"),
     )
 
     def from_list(kind: str) -> Column:
@@ -77,7 +78,7 @@ def shred_timeline(df: DataFrame, json: str = "json") -> DataFrame:
             fits = F.replace(F.lower(F.trim(label)), F.lit("_"), F.lit("-")).isin(*names)
             return F.when(fits, _first_of(t, keys)).otherwise(F.array().cast("array<string>"))
 
-        return F.flatten(F.transform(F.filter(F.col("_arr"), lambda t: t.isNotNull()), payload))
+        return F.flatten(F.transform(F.col("_arr"), payload))
 
     found = split.select(
         *keep, "_root", "_given", "_ok",
