@@ -50,6 +50,15 @@ def with_parts(*names: str) -> str:
     return "WITH " + ", ".join(FRAGMENTS[n] for n in names) + " "
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal packed rows out before they unfold into many, if the scan has fewer tasks than there are cores.
+
+    A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, url``: page addresses with media extensions and some hosts that must be refused."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("page"))
@@ -58,7 +67,9 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = choose(F.col("id") % 19, [HOSTS.get(k) for k in range(19)])
     swapped = F.when(host.isNull(), head).otherwise(F.regexp_replace(head, F.lit("^https?://[^/]+"), host))
     url = F.concat(swapped, choose(F.col("id") % len(SUFFIXES), SUFFIXES), tail)
-    return pages.select("id", F.when(F.col("id") % 19 == 7, F.lit("")).otherwise(url).alias("url"))
+    url = F.when(F.col("id") % 19 == 7, F.lit("")).otherwise(url)
+    # a generator keeps later filters from repeating this derivation, as a stored column would
+    return pages.select("id", F.explode(F.array(url)).alias("url"))
 
 
 def _urls_sql() -> str:
@@ -156,7 +167,7 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(turn % 3 == 0, F.concat(F.lit("##Part "), turn.cast("string"), F.lit("## "), text)).otherwise(text)
     text = F.when(turn % 2 == 1, F.concat(text, F.lit('&&&it\'s "done"'))).otherwise(text)
     text = F.when(turn % 4 == 2, F.concat(choose(F.col("conv_id") % 6, EMOJI_BITS), F.lit(" "), text, F.lit("🎬🎬 end"))).otherwise(text)
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations")).select(
         F.col("conv_id").alias("job_id"), F.col("turn").alias("idx"), text.alias("text"), "role"
     )
 
@@ -170,7 +181,8 @@ _CAPTIONS_SQL = f"""captions AS (SELECT conv_id AS job_id, turn AS idx, role,
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``img_id, y, x, v``: every vector as an 8 x 8 grey picture."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.posexplode("embedding").alias("pos", "e"))
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    e = e.select(F.col("vec_id").alias("img_id"), F.posexplode("embedding").alias("pos", "e"))
     level = F.floor((F.col("e").cast("double") + 0.6) / 1.2 * 255)
     return e.select(
         "img_id", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).cast("int").alias("x"),
@@ -185,9 +197,8 @@ _PIXELS_SQL = """pixels AS (SELECT img_id, (pos // 8)::INTEGER AS y, (pos % 8)::
 
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``img_id, y, x, band, v``: the first 48 elements as a 4 x 4 colour picture."""
-    e = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("img_id"), F.posexplode(F.slice("embedding", 1, 48)).alias("pos", "e")
-    )
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    e = e.select(F.col("vec_id").alias("img_id"), F.posexplode(F.slice("embedding", 1, 48)).alias("pos", "e"))
     level = F.floor((F.col("e").cast("double") + 0.6) / 1.2 * 255)
     cell = F.floor(F.col("pos") / 3)
     return e.select(

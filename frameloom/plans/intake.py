@@ -255,7 +255,8 @@ def _zips(df):
 UNION ALL SELECT doc_id::VARCHAR, 'clips/' || doc_id || '.MP4', strlen(text) + 1, sha256(text || 'x'), '.mp4', true FROM documents
 UNION ALL SELECT doc_id::VARCHAR, 'a/../../' || doc_id || '.png', 3, sha256('out'), '.png', false FROM documents""")
 def expand_archives(spark, sf_dir):
-    packed = _zips(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text"))
+    docs = fx.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    packed = _zips(docs.select(F.col("doc_id").cast("string").alias("key"), "text"))
     return archives.expand_archives(packed, IMAGE_EXTENSIONS + VIDEO_EXTENSIONS).drop("pos")
 
 

@@ -232,10 +232,9 @@ def rotate(spark, sf_dir):
     return R.rotate(sized(spark, sf_dir), 30.0).drop("w", "h")
 
 
-def normal_sql(*parts: str) -> str:
-    *head, name = parts
-    a, b = draw(*head, f"{name} || '.a'"), draw(*head, f"{name} || '.b'")
-    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {a}::DOUBLE)) * cos({d(6.283185307179586)} * {b}::DOUBLE))"
+def normal_sql(seed: str, name: str, slot: str = "0") -> str:
+    unit = lambda at: f"(('0x' || substr(sha256({seed} || '_' || {name}), ({slot}) * 16 + {at}, 8))::BIGINT / 4294967296.0)"
+    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {unit(1)}::DOUBLE)) * cos({d(6.283185307179586)} * {unit(9)}::DOUBLE))"
 
 
 def over(fn: str, e: str, along: str, r: int) -> str:
@@ -243,7 +242,7 @@ def over(fn: str, e: str, along: str, r: int) -> str:
     return f"{fn}({e}) OVER (PARTITION BY img_id, band, {across} ORDER BY {along} ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
 
 
-_F = lambda axis: normal_sql("img_id", f"'f.' || y || '.' || x || '.{axis}'")
+_F = lambda axis: normal_sql("img_id", "'f.' || y || '.' || x", "0" if axis == "x" else "1")
 
 
 @query("elastic", remap_sql("floor(greatest(0.0, least(y + dy, 3.0)))", "floor(greatest(0.0, least(x + dx, 3.0)))", None,
@@ -284,7 +283,7 @@ def channel_shift(spark, sf_dir):
     return R.channel_shift(rgb(spark, sf_dir), 1, 0.4)
 
 
-@query("grain", RGB + f"SELECT {COLS}, {st('v + ' + normal_sql('img_id', "'g.' || y || '.' || x || '.' || band") + ' * 2.0::DOUBLE * 3.0::DOUBLE')} AS v FROM rgb")
+@query("grain", RGB + f"SELECT {COLS}, {st('v + ' + normal_sql('img_id', "'g.' || y || '.' || x", 'band') + ' * 2.0::DOUBLE * 3.0::DOUBLE')} AS v FROM rgb")
 def grain(spark, sf_dir):
     return R.grain(rgb(spark, sf_dir), 2.0, "g")
 

@@ -45,7 +45,7 @@ def _timelines(spark, sf_dir):
                        track("Caption", "captions", titles), F.lit("]}"))
     at_root = F.to_json(F.struct(clips.alias("clips"), effects.alias("effects"), titles.alias("captions")))
     json = F.when(job % 50 == 49, "{broken").when(job % 3 == 0, as_object).when(job % 3 == 1, as_list).otherwise(at_root)
-    return table(spark, sf_dir, "orders").select(job.alias("job_id"), json.alias("json"))
+    return fx.spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(job.alias("job_id"), json.alias("json"))
 
 
 _GOOD = "job_id % 50 <> 49"
@@ -111,7 +111,8 @@ def effect_stacks(spark, sf_dir):
     own = clips.where("ord % 2 = 0").select("job_id", "clip_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"),
                                             F.create_map(F.lit("type"), F.lit("own")).alias("effect"))
     out = L.effect_stacks(own, tracked, clips)
-    return out.select("job_id", "clip_id", "at.track", "at.ord", C.get(F.col("effect"), "type").alias("type"))
+    own_first = (F.col("at") >= L.TRACKED).cast("int").alias("track")
+    return out.select("job_id", "clip_id", own_first, (F.col("at") % L.TRACKED).alias("ord"), C.get(F.col("effect"), "type").alias("type"))
 
 
 _TYPES = ["brightness", "Contrast", "SAT", "gamma", "Hue-Rotate", "bw", "gaussian_blur", "hqdn3d", "unsharp", "rotate", "h_flip",
