@@ -51,12 +51,10 @@ def camel_case(key: Column) -> Column:
 
 def normalise_keys(config: Column) -> Column:
     """Map with camel-case keys; of two keys that fall together the later one stays."""
-    entries = F.transform(F.map_entries(config), lambda e: F.struct(camel_case(e["key"]).alias("k"), e["value"].alias("v")))
-    keep = F.filter(
-        F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i"))),
-        lambda e: ~F.exists(F.slice(entries, e["i"] + 2, F.size(entries)), lambda later: later["k"] == e["k"]),
-    )
-    return F.map_from_entries(F.transform(keep, lambda e: F.struct(e["k"], e["v"])))
+    renamed = F.transform(F.map_entries(config), lambda e: F.struct(camel_case(e["key"]).alias("k"), e["value"].alias("v")))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    kept = F.aggregate(renamed, none, lambda seen, e: F.array_append(F.filter(seen, lambda s: s["k"] != e["k"]), e))
+    return F.map_from_entries(kept)
 
 
 def to_number(value: Column) -> Column:

@@ -21,6 +21,11 @@ def _pack(bits: Column) -> Column:
     return F.aggregate(words, zero, lambda a, w: a.bitwiseOR(w))
 
 
+def _above(cells: str, level: Column, n: int) -> Column:
+    """Bits of the cells above a level. Repeating the level first keeps it out of the per-cell function."""
+    return _pack(F.zip_with(cells, F.array_repeat(level, n), lambda c, m: c > m))
+
+
 def dct_hash(df: DataFrame, n: int = 32, size: int = 8) -> DataFrame:
     """``img_id, hash`` from grey pictures of n x n pixels ``img_id, y, x, v``.
 
@@ -29,20 +34,21 @@ def dct_hash(df: DataFrame, n: int = 32, size: int = 8) -> DataFrame:
     only beyond a small margin: those of flat pictures differ from it by rounding alone, which would make
     their bits depend on the order of summation.
     """
-    basis = [[math.cos(math.pi * (2 * x + 1) * u / (2 * n)) for x in range(n)] for u in range(size)]
-
-    def weight(u: int, c: str) -> Column:
-        return F.element_at(F.array(*[F.lit(b) for b in basis[u]]), F.col(c) + 1)
-
-    lines = df.groupBy("img_id", "y").agg(*[F.sum(F.col("v") * weight(u, "x")).alias(f"c{u}") for u in range(size)])
-    down = lines.groupBy("img_id").agg(
-        *[F.sum(F.col(f"c{u}") * weight(t, "y")).alias(f"k{t}_{u}") for t in range(size) for u in range(size)]
-    )
-    coefficients = down.select("img_id", F.array(*[f"k{t}_{u}" for t in range(size) for u in range(size)]).alias("k"))
-    ranked, half = F.array_sort("k"), size * size // 2
+    basis = F.array(*[
+        F.array(*[F.lit(math.cos(math.pi * (2 * x + 1) * u / (2 * n))) for u in range(size)]) for x in range(n)
+    ])
+    weights = F.element_at(basis, F.col("x") + 1)
+    lines = df.select("img_id", "y", "v", weights.alias("_w")).groupBy("img_id", "y").agg(
+        *[F.sum(F.col("v") * F.col("_w")[u]).alias(f"c{u}") for u in range(size)])
+    down = lines.select("img_id", *[f"c{u}" for u in range(size)], F.posexplode(F.element_at(basis, F.col("y") + 1)).alias("t", "_w"))
+    rows = down.groupBy("img_id", "t").agg(*[F.sum(F.col(f"c{u}") * F.col("_w")).alias(f"c{u}") for u in range(size)])
+    # size rows of size coefficients per picture: a bounded group
+    ordered = F.array_sort(F.collect_list(F.struct("t", F.array(*[f"c{u}" for u in range(size)]).alias("k"))))
+    coefficients = rows.groupBy("img_id").agg(ordered.alias("_r")).select(
+        "img_id", F.flatten(F.transform("_r", lambda r: r["k"])).alias("k"))
+    ranked, half = F.sort_array("k"), size * size // 2
     middle = (F.element_at(ranked, half) + F.element_at(ranked, half + 1)) / 2.0
-    split = coefficients.withColumn("_m", middle)
-    return split.select("img_id", _pack(F.transform("k", lambda c: c > F.col("_m") + 1e-6)).alias("hash"))
+    return coefficients.select("img_id", _above("k", middle + 1e-6, size * size).alias("hash"))
 
 
 def _cells(df: DataFrame) -> DataFrame:
@@ -52,8 +58,8 @@ def _cells(df: DataFrame) -> DataFrame:
 
 def average_hash(df: DataFrame) -> DataFrame:
     """``img_id, hash`` of 8 x 8 grey pictures: cells above their mean."""
-    cells = _cells(df).withColumn("_m", F.aggregate("k", F.lit(0.0), lambda a, v: a + v) / 64.0)
-    return cells.select("img_id", _pack(F.transform("k", lambda c: c > F.col("_m"))).alias("hash"))
+    mean = F.aggregate("k", F.lit(0.0), lambda a, v: a + v) / 64.0
+    return _cells(df).select("img_id", _above("k", mean, 64).alias("hash"))
 
 
 def difference_hash(df: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def effect_stacks(own: DataFrame, tracked: DataFrame, clips: DataFrame) -> DataF
     """Effects of every clip in long form, own ones before tracked ones: no clip's stack is gathered in a row.
 
     ``own``: job_id, clip_id, ord, effect. ``tracked``: job_id, target, ord, effect. A clip without effects
-    keeps one row with a null effect. ``at`` orders the stack: a whole number, so that folds over it hash.
+    keeps one row with a null effect. ``at`` orders the stack.
     """
     stack = own.select("job_id", "clip_id", F.col("ord").cast("long").alias("at"), "effect")
     moved = tracked.select("job_id", F.trim("target").alias("clip_id"), (F.col("ord") + TRACKED).alias("at"), "effect")
@@ -177,9 +177,7 @@ def resolve_effects(effects: DataFrame, keys: Sequence[str], clip_duration: str
     """Fold each clip's effects to one settings row: the last valid value of every setting, clamped.
 
     ``effects``: keys, ``at`` (order, a long), ``effect`` map, ``clip_duration``. An ordered fold is not
-    needed: the last valid value is a maximum by order, which combines before the shuffle. Names of motion
-    presets are text, which a hash aggregate cannot hold: it keeps their position, and the few rows that win
-    are read back.
+    needed: the last valid value is a maximum by order, which combines before the shuffle.
     """
     m = F.col("effect")
     enabled = C.as_flag(C.get(m, "enabled"), True)
@@ -216,14 +214,10 @@ def resolve_effects(effects: DataFrame, keys: Sequence[str], clip_duration: str
         return F.max_by(F.col(name), F.when(ok, F.col("at"))).alias(name)
 
     turn = F.col("rotateDeg")
-    names = [n for n in number if n != "rotateDeg"] + D.EFFECT_FLAGS
-    named = F.col("motionPreset").isNotNull()
+    names = [n for n in number if n != "rotateDeg"] + D.EFFECT_FLAGS + ["motionPreset"]
     folded = wide.groupBy(*keys).agg(
-        *[last(n) for n in names], last("rotateDeg", turn.isin(0.0, 90.0, 180.0, 270.0)), F.max(clip_duration).alias("_dur"),
-        F.max(F.when(named, F.col("at"))).alias("_preset_at"),
+        *[last(n) for n in names], last("rotateDeg", turn.isin(0.0, 90.0, 180.0, 270.0)), F.max(clip_duration).alias("_dur")
     )
-    presets = wide.where(named).select(*keys, F.col("at").alias("_preset_at"), "motionPreset")
-    folded = folded.join(presets, [*keys, "_preset_at"], "left")
     longest = F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.col("_dur")))
     return folded.select(
         *keys,
