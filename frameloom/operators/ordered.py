@@ -78,7 +78,7 @@ def exact_quantiles(
     width = (F.col("_hi") - F.col("_lo")) / resolution
     bucketed = counts.join(span, keys).withColumn(
         "_b", F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width)).otherwise(F.lit(0)).cast("long")
-    )
+    ).repartition(*keys, "_b")  # the join may have left a heavy key in one partition
     up_to = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = (
         bucketed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))

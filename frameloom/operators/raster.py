@@ -180,6 +180,13 @@ def rotate(df: DataFrame, degrees: float) -> DataFrame:
     return remap(df, F.floor(cy + dx * F.sin(a) + dy * F.cos(a) + 0.5 + P.EPS), F.floor(cx + dx * F.cos(a) - dy * F.sin(a) + 0.5 + P.EPS), fill=0.0)
 
 
+def by_line(df: DataFrame, along: str) -> DataFrame:
+    """Spread pixels by line. Explicit, because a window would accept pixels that an earlier join has left
+    partitioned by picture, and a very large picture would then stay in one task."""
+    across = "y" if along == "x" else "x"
+    return df.repartition("img_id", across, *(["band"] if "band" in df.columns else []))
+
+
 def _line(df: DataFrame, along: str, fn, r: int) -> Column:
     across = "y" if along == "x" else "x"
     keys = ["img_id", across] + (["band"] if "band" in df.columns else [])
@@ -189,7 +196,7 @@ def _line(df: DataFrame, along: str, fn, r: int) -> Column:
 def smooth(df: DataFrame, r: int, columns: list[str]) -> DataFrame:
     """Mean over a (2r + 1) square of each column, one pass along the lines and one across them."""
     for along in ("x", "y"):
-        df = df.withColumns({c: _line(df, along, F.avg(c), r) for c in columns})
+        df = by_line(df, along).withColumns({c: _line(df, along, F.avg(c), r) for c in columns})
     return df
 
 
@@ -219,7 +226,7 @@ def edges(df: DataFrame, strength: float = 1.0) -> DataFrame:
     """Blend in the 3 x 3 edge picture; pixels on the rim count as their own edge value."""
     summed = df.withColumn("_n", F.lit(1)).withColumn("_sum", F.col("v"))
     for along in ("x", "y"):
-        summed = summed.withColumns({"_sum": _line(summed, along, F.sum("_sum"), 1), "_n": _line(summed, along, F.sum("_n"), 1)})
+        summed = by_line(summed, along).withColumns({"_sum": _line(summed, along, F.sum("_sum"), 1), "_n": _line(summed, along, F.sum("_n"), 1)})
     edge = F.when(F.col("_n") == 9, P.store(F.col("v") * 9.0 - F.col("_sum"))).otherwise(F.col("v"))
     return summed.withColumn("v", P.store(F.col("v") * (1.0 - strength) + edge * strength + P.EPS)).drop("_n", "_sum")
 
@@ -228,17 +235,17 @@ def median3(df: DataFrame) -> DataFrame:
     """3 x 3 median, rim pixels repeated outwards: neighbours are read by offset, no pixel is copied nine times."""
     row = Window.partitionBy("img_id", "band", "y").orderBy("x")
     col = Window.partitionBy("img_id", "band", "x").orderBy("y")
-    three = df.withColumn("_a", F.array(F.lag("v", 1).over(row), F.col("v"), F.lead("v", 1).over(row)))
+    three = by_line(df, "x").withColumn("_a", F.array(F.lag("v", 1).over(row), F.col("v"), F.lead("v", 1).over(row)))
     three = three.withColumn("_a", F.transform("_a", lambda e: F.coalesce(e, F.col("v"))))
     nine = F.concat(F.coalesce(F.lag("_a", 1).over(col), F.col("_a")), F.col("_a"), F.coalesce(F.lead("_a", 1).over(col), F.col("_a")))
-    return three.withColumn("v", F.element_at(F.array_sort(nine), 5)).drop("_a")
+    return by_line(three, "y").withColumn("v", F.element_at(F.sort_array(nine), 5)).drop("_a")
 
 
 def channel_shift(df: DataFrame, n: int, blend: float) -> DataFrame:
     """Move red right and blue left by n pixels and blend with the picture; vacated pixels are black."""
     row = Window.partitionBy("img_id", "band", "y").orderBy("x")
     moved = P.by_band(F.col("band"), F.lag("v", n, 0.0).over(row), F.col("v"), F.lead("v", n, 0.0).over(row))
-    return df.withColumn("_m", moved).withColumn("v", P.store(F.col("v") * (1.0 - blend) + F.col("_m") * blend + P.EPS)).drop("_m")
+    return by_line(df, "x").withColumn("_m", moved).withColumn("v", P.store(F.col("v") * (1.0 - blend) + F.col("_m") * blend + P.EPS)).drop("_m")
 
 
 def grain(df: DataFrame, strength: float, seed: str) -> DataFrame:
