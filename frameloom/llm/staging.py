@@ -18,3 +18,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def keep_row(df: DataFrame, *derived):
     """All input columns as one struct ``row`` beside derived ones, so that no name can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *derived)
+
+
+#: A side with at most so many rows (some tens of bytes each) is broadcast, a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of short rows, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
