@@ -11,7 +11,7 @@ from frameloom.plans.catalog import QUERIES, table
 from frameloom.session import local_session
 
 HEADLINE = [
-    "plan_batch", "file_index", "worker_distribution", "throughput", "transfer_summary", "download_once", "verify", "lpt_assign",
+    "plan_batch", "file_index", "worker_distribution", "throughput", "transfer_summary", "download_once", "verify", "balanced_assign",
     "apply_preset", "layout_by_frame", "caption_cycle", "first_placement",
     "clip_cursor", "resolve_effects", "template_overlays",
     "gain", "hue_shift", "box_blur", "median3", "auto_levels", "augment",
@@ -30,7 +30,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     items = table(spark, sf_dir, "lineitem").count()
-    pixels = table(spark, sf_dir, "embeddings").count() * 48
+    pixels = table(spark, sf_dir, "embeddings").count() * 192
     rates = {
         "batch_items_per_s": round(items / seconds["file_index"]),
         "timeline_clips_per_s": round(items / seconds["clip_cursor"]),

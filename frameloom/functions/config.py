@@ -41,7 +41,7 @@ def either_case(config: Column, key: str, default: Column | None = None) -> Colu
 def camel_case(key: Column) -> Column:
     """Camel-case form of a snake-case key: known keys by table, others word by word."""
     words = F.split(key, "_")
-    tail = F.transform(F.slice(words, 2, 1 << 20), F.initcap)
+    tail = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.initcap)
     return F.coalesce(
         lookup(KNOWN_KEYS, key),
         F.when(key.contains("_"), F.concat(F.element_at(words, 1), F.array_join(tail, ""))),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,8 +70,9 @@ def gradient(v: Column, x: Column, y: Column, w: Column, h: Column, s: float) ->
     return store(v * (1.0 + ((x / w + y / h) / 2.0 - 0.5) * s * 2.0) + EPS)
 
 
-def scanline(v: Column, y: Column, s: float) -> Column:
-    return store(v * (1.0 + F.sin(y * 3.141592653589793) * s) + EPS)
+def scanline(v: Column, y: Column, s: float, period: float = 2.0) -> Column:
+    """Lines lighter and darker in turn; at a period of two whole lines the wave is 0 on every line."""
+    return store(v * (1.0 + F.sin(y * (2.0 * math.pi / period)) * s) + EPS)
 
 
 def channel_mix(r: Column, g: Column, b: Column, mix: float) -> tuple[Column, Column, Column]:

@@ -97,9 +97,12 @@ def stage_progress(total: Column, downloads: Column, processed: Column, uploads:
 
 
 def backoff(attempt: Column, base: Column, multiplier: Column, seed: Column, cap: float = 30.0) -> Column:
-    """Wait before the next attempt: exponential, within 25 % either way, capped."""
+    """Wait before the next attempt: exponential, within 25 % either way, capped.
+
+    The power stops rising after 100 attempts, where it is long above the cap and still a finite number.
+    """
     jitter = 0.75 + unit_draw(seed, "jitter") * 0.5
-    return F.least(base * F.pow(multiplier, attempt - 1) * jitter, F.lit(cap))
+    return F.least(base * F.pow(multiplier, F.least(attempt - 1, F.lit(100))) * jitter, F.lit(cap))
 
 
 def render_span(start: Column, end: Column, duration: Column, rate: Column) -> Column:

@@ -104,8 +104,8 @@ def step_extension(tool: Column, ext: Column) -> Column:
 
 
 def variant_url(url: Column, k: Column) -> Column:
-    """Insert ``_v0000`` before the last dot, or append it where there is no dot."""
-    tag = F.concat(F.lit("_v"), F.lpad(k.cast("string"), 4, "0"))
+    """Insert ``_v0000`` before the last dot, or append it where there is no dot; longer numbers stay whole."""
+    tag = F.format_string("_v%04d", k.cast("long"))
     head = F.regexp_extract(url, r"(?s)^(.*)\.([^.]*)$", 1)
     tail = F.regexp_extract(url, r"(?s)^(.*)\.([^.]*)$", 2)
     return F.when(url.contains("."), F.concat(head, tag, F.lit("."), tail)).otherwise(F.concat(url, tag))

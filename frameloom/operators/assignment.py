@@ -1,4 +1,4 @@
-"""Size-balanced assignment: largest first, always to the worker with the least load."""
+"""Size-balanced assignment: by rank in alternating direction, or largest first to the worker with the least load."""
 
 from __future__ import annotations
 
@@ -99,3 +99,17 @@ def lpt_assign(items: DataFrame, workers: int, memory: Sequence[int] | None = No
     places = sequence_index(places, ["job_id", "size"], ["_key", "worker", "_k"], [coarse], "_rank")
     ranked = sequence_index(items, ["job_id", "size"], ["idx"], [F.floor(F.col("idx") / BLOCK)], "_rank")
     return ranked.join(places.select("job_id", "size", "_rank", "worker"), ["job_id", "size", "_rank"]).drop("_rank")
+
+
+def balanced_assign(items: DataFrame, workers: int) -> DataFrame:
+    """Add ``worker`` to ``job_id, idx, size``: ranks by falling size are dealt forth and back over the workers.
+
+    The rank is a distributed position, so a job of any size is many tasks' work. Loads of two workers differ by the largest
+    item at most.
+    """
+    ordered = items.withColumn("_neg", -F.col("size"))
+    coarse = [F.col("_neg"), F.floor(F.col("idx") / 65536)]  # items of one size are many chunks if need be
+    ranked = sequence_index(ordered, ["job_id"], ["_neg", "idx"], coarse, "_rank")
+    place = F.col("_rank") % workers
+    forth = F.floor(F.col("_rank") / workers) % 2 == 0
+    return ranked.withColumn("worker", F.when(forth, place).otherwise(workers - 1 - place).cast("int")).drop("_neg", "_rank")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dimensions import RETRY_POLICIES, TOOL_PATHS
 from ..functions.keyed import keyed_seed
-from ..functions.urls import is_image, is_video, variant_url
+from ..functions.urls import is_image, is_video, unsafe_reason, variant_url
 
 MB = 1024.0 * 1024.0
 
@@ -34,6 +34,30 @@ def expand_variants(items: DataFrame, n: int, salt: str = "") -> DataFrame:
     return out.withColumn("seed", keyed_seed(F.col("input_url"), F.col("variant"), F.lit(salt))).withColumn("output_url", url)
 
 
+def refuse_unsafe(items: DataFrame, url: str = "input_url") -> DataFrame:
+    """Add ``error``: why an input is refused, null where it is not. Refused rows stay in the batch."""
+    return items.withColumn("error", unsafe_reason(F.col(url)))
+
+
+REASONS = ["required", "scheme", "missing host", "localhost", "private network"]
+
+
+def validate_batches(addresses: DataFrame) -> DataFrame:
+    """Per job the first refused address: ``job_id, side, idx, reason``, all null for a sound job.
+
+    ``addresses`` has job_id, side (0 input, 1 output), idx and url. Inputs come before outputs. Side, place and reason
+    are one long, whose least value is a hash aggregate that combines before the shuffle.
+    """
+    reason = unsafe_reason(F.col("url"))
+    number = F.array_position(F.array(*[F.lit(r) for r in REASONS]), reason) - 1
+    packed = F.when(reason.isNotNull(), (F.col("side").cast("long") * (1 << 55) + F.col("idx").cast("long") * 8 + number))
+    first = addresses.groupBy("job_id").agg(F.min(packed).alias("m"))
+    place = F.col("m") % (1 << 55)
+    return first.select(
+        "job_id", F.when(F.col("m") >= (1 << 55), "output").when(F.col("m").isNotNull(), "input").alias("side"),
+        F.floor(place / 8).alias("idx"), F.get(F.array(*[F.lit(r) for r in REASONS]), (place % 8).cast("int")).alias("reason"))
+
+
 def round_robin(idx: Column, workers: int) -> Column:
     return F.pmod(idx, F.lit(workers))
 
@@ -101,7 +125,9 @@ def queue_totals(assigned: DataFrame, workers: int) -> DataFrame:
 def least_loaded(assigned: DataFrame) -> DataFrame:
     """Per job the worker with the fewest items, lowest id first."""
     counts = assigned.groupBy("job_id", "worker").agg(F.count("*").alias("n"))
-    return counts.groupBy("job_id").agg(F.min(F.struct("n", "worker")).alias("m")).select("job_id", "m.worker", "m.n")
+    packed = F.col("n") * (1 << 20) + F.col("worker")  # one long, so that the minimum is a hash aggregate
+    least = counts.groupBy("job_id").agg(F.min(packed).alias("m"))
+    return least.select("job_id", (F.col("m") % (1 << 20)).cast(counts.schema["worker"].dataType).alias("worker"), F.floor(F.col("m") / (1 << 20)).alias("n"))
 
 
 def primary_output(outputs: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -25,6 +25,12 @@ def by_chunk(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column]) -> Da
     return df.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
 
 
+def chunk_counts(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column]) -> DataFrame:
+    """Rows per key and chunk, counted before the rows move: only a few rows per chunk are shuffled."""
+    chunk = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(coarse)])
+    return df.withColumn("_chunk", chunk).groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+
+
 def sequence_index(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], coarse: Sequence[Column], out: str = "idx"
 ) -> DataFrame:
@@ -37,8 +43,7 @@ def sequence_index(
     local = part.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order)) - 1)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        part.groupBy(*keys, "_chunk")
-        .agg(F.count("*").alias("_n"))
+        chunk_counts(df, keys, coarse)
         .withColumn("_off", F.sum("_n").over(before))
         .where(F.col("_off").isNotNull())  # the first chunk of a key carries nothing in
         .select(*keys, "_chunk", "_off")

@@ -132,18 +132,24 @@ def crop(df: DataFrame, left: Column, top: Column, right: Column, bottom: Column
     return kept.select("img_id", shift("y", top), shift("x", left), "band", "v")
 
 
-def flip(df: DataFrame, horizontal: bool) -> DataFrame:
-    if horizontal:
-        return df.withColumn("x", (F.col("w") - 1 - F.col("x")).cast("int"))
-    return df.withColumn("y", (F.col("h") - 1 - F.col("y")).cast("int"))
+def flip(df: DataFrame, horizontal: Column | bool) -> DataFrame:
+    """Mirror left and right, or top and bottom; the choice may differ from row to row."""
+    across = F.lit(horizontal) if isinstance(horizontal, bool) else horizontal
+    x = F.when(across, F.col("w") - 1 - F.col("x")).otherwise(F.col("x"))
+    y = F.when(across, F.col("y")).otherwise(F.col("h") - 1 - F.col("y"))
+    return df.withColumns({"x": x.cast("int"), "y": y.cast("int")})
 
 
-def rotate_quarter(df: DataFrame, degrees: int) -> DataFrame:
-    """Turn by a multiple of 90 degrees, clockwise."""
+def rotate_quarter(df: DataFrame, degrees: Column | int) -> DataFrame:
+    """Turn by a multiple of 90 degrees, clockwise; the angle may differ from row to row."""
     w, h, x, y = F.col("w"), F.col("h"), F.col("x"), F.col("y")
-    ny, nx = {0: (y, x), 90: (x, h - 1 - y), 180: (h - 1 - y, w - 1 - x), 270: (w - 1 - x, y)}[degrees % 360]
-    turned = df.withColumns({"y": ny.cast("int"), "x": nx.cast("int")})
-    return turned.withColumns({"w": h, "h": w}) if degrees % 180 else turned
+    turn = F.pmod(F.lit(degrees) if isinstance(degrees, int) else degrees, F.lit(360))
+    places = {90: (x, h - 1 - y), 180: (h - 1 - y, w - 1 - x), 270: (w - 1 - x, y)}
+    ny, nx = y, x
+    for angle, (to_y, to_x) in places.items():
+        ny, nx = F.when(turn == angle, to_y).otherwise(ny), F.when(turn == angle, to_x).otherwise(nx)
+    side = turn % 180 == 90
+    return df.withColumns({"y": ny.cast("int"), "x": nx.cast("int"), "w": F.when(side, h).otherwise(w), "h": F.when(side, w).otherwise(h)})
 
 
 def remap(df: DataFrame, sy: Column, sx: Column, fill: float | None = None) -> DataFrame:

@@ -25,6 +25,8 @@ HOSTS = {
 TOOLS = ["augment", "captioner", "vignettes", "resize", "pic_to_video", "bg_remove", "upscale", "video_reframe", "editor", "sharpener"]
 MODES = {"1-URGENT": "maximum", "2-HIGH": "strong", "3-MEDIUM": "light", "4-NOT SPECIFIED": "unheard", "5-LOW": "minimal"}
 STATUS = {"A": "completed", "R": "failed", "N": "upload_failed"}
+#: Microseconds in one chunk of events; smaller steps where events are denser.
+STEP_US = 3_600_000_000
 ITEM_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate",
 ]
@@ -50,13 +52,9 @@ def with_parts(*names: str) -> str:
     return "WITH " + ", ".join(FRAGMENTS[n] for n in names) + " "
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal packed rows out before they unfold into many, if the scan has fewer tasks than there are cores.
-
-    A table of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal packed rows out by their key before they unfold into many."""
+    return df.repartition(key)
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +135,16 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JOBS_SQL = f"jobs AS (SELECT o_orderkey AS job_id, {sql_case('o_orderpriority', MODES)} AS mode FROM orders)"
 
 
+def time_step(ts: str, step: int = STEP_US) -> Column:
+    """Number of the step in which a moment falls: as many chunks as the time covered asks for."""
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / step)
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``item_id, attempt, code, retryable``: the events of a user read as attempts of one item."""
     codes = {"view": None, "purchase": "HASH_MISMATCH", "click": "TIMEOUT", "signup": "NETWORK_ERROR", "error": "NOT_FOUND"}
     ev = table(spark, sf_dir, "events")
-    numbered = sequence_index(ev, ["user_id"], ["ts", "event_id"], [F.to_date("ts")], "attempt")
+    numbered = sequence_index(ev, ["user_id"], ["ts", "event_id"], [time_step("ts")], "attempt")
     code = F.lit(None).cast("string")
     for k, v in codes.items():
         code = F.when(F.col("event_type") == k, F.lit(v)).otherwise(code)
@@ -167,7 +170,7 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(turn % 3 == 0, F.concat(F.lit("##Part "), turn.cast("string"), F.lit("## "), text)).otherwise(text)
     text = F.when(turn % 2 == 1, F.concat(text, F.lit('&&&it\'s "done"'))).otherwise(text)
     text = F.when(turn % 4 == 2, F.concat(choose(F.col("conv_id") % 6, EMOJI_BITS), F.lit(" "), text, F.lit("🎬🎬 end"))).otherwise(text)
-    return spread(table(spark, sf_dir, "conversations")).select(
+    return spread(table(spark, sf_dir, "conversations"), "turn").select(
         F.col("conv_id").alias("job_id"), F.col("turn").alias("idx"), text.alias("text"), "role"
     )
 
@@ -181,7 +184,7 @@ _CAPTIONS_SQL = f"""captions AS (SELECT conv_id AS job_id, turn AS idx, role,
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``img_id, y, x, v``: every vector as an 8 x 8 grey picture."""
-    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     e = e.select(F.col("vec_id").alias("img_id"), F.posexplode("embedding").alias("pos", "e"))
     level = F.floor((F.col("e").cast("double") + 0.6) / 1.2 * 255)
     return e.select(
@@ -190,34 +193,38 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Add the size that the packed row implies: 64 elements are 8 by 8."""
+    return df.withColumns({"w": F.lit(8), "h": F.lit(8)})
+
+
 _PIXELS_SQL = """pixels AS (SELECT img_id, (pos // 8)::INTEGER AS y, (pos % 8)::INTEGER AS x,
   greatest(0, least(255, floor((e::DOUBLE + 0.6) / 1.2 * 255)))::DOUBLE AS v
   FROM (SELECT vec_id AS img_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings))"""
 
 
 def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``img_id, y, x, band, v``: the first 48 elements as a 4 x 4 colour picture."""
-    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-    e = e.select(F.col("vec_id").alias("img_id"), F.posexplode(F.slice("embedding", 1, 48)).alias("pos", "e"))
+    """``img_id, y, x, band, v``: every vector as an 8 x 8 colour picture; band b of pixel p is element p + 21 b, in a circle."""
+    e = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    e = e.select(F.col("vec_id").alias("img_id"), F.posexplode("embedding").alias("pos", "e"))
     level = F.floor((F.col("e").cast("double") + 0.6) / 1.2 * 255)
-    cell = F.floor(F.col("pos") / 3)
+    e = e.withColumn("band", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    cell = F.pmod(F.col("pos") - 21 * F.col("band"), F.lit(64))
     return e.select(
-        "img_id", F.floor(cell / 4).cast("int").alias("y"), (cell % 4).cast("int").alias("x"),
-        (F.col("pos") % 3).cast("int").alias("band"),
+        "img_id", F.floor(cell / 8).cast("int").alias("y"), (cell % 8).cast("int").alias("x"), "band",
         F.greatest(F.lit(0), F.least(F.lit(255), level)).cast("double").alias("v"),
     )
 
 
-_RGB_SQL = """rgb AS (SELECT img_id, (pos // 12)::INTEGER AS y, ((pos // 3) % 4)::INTEGER AS x, (pos % 3)::INTEGER AS band,
-  greatest(0, least(255, floor((e::DOUBLE + 0.6) / 1.2 * 255)))::DOUBLE AS v
-  FROM (SELECT vec_id AS img_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
-  WHERE pos < 48)"""
+_RGB_SQL = """rgb AS (SELECT img_id, (p // 8)::INTEGER AS y, (p % 8)::INTEGER AS x, band,
+  greatest(0, least(255, floor((embedding[(p + 21 * band) % 64 + 1]::DOUBLE + 0.6) / 1.2 * 255)))::DOUBLE AS v
+  FROM (SELECT vec_id AS img_id, embedding, unnest(range(64)) AS p FROM embeddings), (SELECT unnest([0, 1, 2])::INTEGER AS band))"""
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``src, i, v``: the values of an event type in time order."""
     ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("src"), "ts", "event_id", F.col("value").alias("v"))
-    return sequence_index(ev, ["src"], ["ts", "event_id"], [F.to_date("ts")], "i").select("src", "i", "v")
+    return sequence_index(ev, ["src"], ["ts", "event_id"], [time_step("ts")], "i").select("src", "i", "v")
 
 
 _SIGNAL_SQL = """signal AS (SELECT event_type AS src,

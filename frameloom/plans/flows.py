@@ -97,22 +97,22 @@ def stream_results_sink(spark, sf_dir):
 
 # --- tools --------------------------------------------------------------------------------------------------
 
-CHAIN = [("tone", {"brightness": 10, "contrast": -10}), ("flip", {"horizontal": True}), ("blur", {"radius": 1}), ("resize", {"width": 6, "height": 5})]
+CHAIN = [("tone", {"brightness": 10, "contrast": -10}), ("flip", {"horizontal": True}), ("blur", {"radius": 1}), ("resize", {"width": 12, "height": 10})]
 _TONE = st(f"128.0::DOUBLE + ({st(f'v * {d(1.1)}')} - 128.0::DOUBLE) * {d(1.0 + -10 / 100.0)}")
 _W = "OVER (PARTITION BY img_id, band, {a} ORDER BY {b} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
 
 
-@query("tool_chain", RGB + f""", t AS (SELECT img_id, y, 3 - x AS x, band, {_TONE} AS v FROM rgb), b1 AS (SELECT {COLS}, avg(v) {_W.format(a='y', b='x')} AS v FROM t),
-b2 AS (SELECT {COLS}, {stp('avg(v) ' + _W.format(a='x', b='y'))} AS v FROM b1), oy AS (SELECT unnest(range(5))::INTEGER AS p), ox AS (SELECT unnest(range(6))::INTEGER AS p)
-SELECT img_id, oy.p AS y, ox.p AS x, band, v FROM oy, ox, b2 WHERE b2.y = oy.p * 4 // 5 AND b2.x = ox.p * 4 // 6""")
+@query("tool_chain", RGB + f""", t AS (SELECT img_id, y, 7 - x AS x, band, {_TONE} AS v FROM rgb), b1 AS (SELECT {COLS}, avg(v) {_W.format(a='y', b='x')} AS v FROM t),
+b2 AS (SELECT {COLS}, {stp('avg(v) ' + _W.format(a='x', b='y'))} AS v FROM b1), oy AS (SELECT unnest(range(10))::INTEGER AS p), ox AS (SELECT unnest(range(12))::INTEGER AS p)
+SELECT img_id, oy.p AS y, ox.p AS x, band, v FROM oy, ox, b2 WHERE b2.y = oy.p * 8 // 10 AND b2.x = ox.p * 8 // 12""")
 def chain(spark, sf_dir):
-    return tool_chain(fx.rgb(spark, sf_dir), CHAIN)[0]
+    return tool_chain(fx.sized(fx.rgb(spark, sf_dir)), CHAIN)[0]
 
 
 @query("tool_registry", f"""SELECT vec_id AS img_id, t.tool, CASE WHEN t.known THEN 'completed' ELSE 'failed' END AS status, CASE WHEN NOT t.known THEN 'Unknown tool: ' || t.tool END AS error
 FROM embeddings, (VALUES {', '.join(f"('{t}', {str(t in TOOLS).lower()})" for t in ('vignettes', 'flip', 'bg_remove'))}) t(tool, known)""")
 def registry(spark, sf_dir):
-    px = fx.rgb(spark, sf_dir)
+    px = fx.sized(fx.rgb(spark, sf_dir))
     parts = []
     for name in ("vignettes", "flip", "bg_remove"):
         out, failed = apply_tool(px, name, {})

@@ -158,11 +158,14 @@ def file_names(spark, sf_dir):
     )
 
 
+VARIANTS = [0, 1, 2, 9999, 12345, 1234567]
+
+
 @query("variant_url", fx.with_parts("urls") + """SELECT id, k, CASE WHEN contains(url, '.')
-  THEN regexp_extract(url, '(?s)^(.*)\\.([^.]*)$', 1) || '_v' || lpad(k::VARCHAR, 4, '0') || '.' || regexp_extract(url, '(?s)^(.*)\\.([^.]*)$', 2)
-  ELSE url || '_v' || lpad(k::VARCHAR, 4, '0') END AS variant FROM urls, (SELECT unnest([0, 1, 2]) AS k)""")
+  THEN regexp_extract(url, '(?s)^(.*)\\.([^.]*)$', 1) || '_v' || printf('%04d', k) || '.' || regexp_extract(url, '(?s)^(.*)\\.([^.]*)$', 2)
+  ELSE url || '_v' || printf('%04d', k) END AS variant FROM urls, (SELECT unnest([0, 1, 2, 9999, 12345, 1234567]) AS k)""")
 def variant_url(spark, sf_dir):
-    df = fx.urls(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    df = fx.urls(spark, sf_dir).withColumn("k", F.explode(F.array(*[F.lit(k) for k in VARIANTS])))
     return df.select("id", "k", U.variant_url(F.col("url"), F.col("k")).alias("variant"))
 
 
@@ -255,7 +258,7 @@ def _zips(df):
 UNION ALL SELECT doc_id::VARCHAR, 'clips/' || doc_id || '.MP4', strlen(text) + 1, sha256(text || 'x'), '.mp4', true FROM documents
 UNION ALL SELECT doc_id::VARCHAR, 'a/../../' || doc_id || '.png', 3, sha256('out'), '.png', false FROM documents""")
 def expand_archives(spark, sf_dir):
-    docs = fx.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = fx.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     packed = _zips(docs.select(F.col("doc_id").cast("string").alias("key"), "text"))
     return archives.expand_archives(packed, IMAGE_EXTENSIONS + VIDEO_EXTENSIONS).drop("pos")
 

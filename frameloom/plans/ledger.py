@@ -24,18 +24,31 @@ def draw(*parts: str) -> str:
     return f"({SEED.format(' || chr(95) || '.join(parts))} / 4294967296.0)"
 
 
-VARIANT_SQL = """CASE WHEN contains({u}, '.') THEN regexp_extract({u}, '(?s)^(.*)\\.([^.]*)$', 1) || '_v' || lpad({k}::VARCHAR, 4, '0')
- || '.' || regexp_extract({u}, '(?s)^(.*)\\.([^.]*)$', 2) ELSE {u} || '_v' || lpad({k}::VARCHAR, 4, '0') END"""
+VARIANT_SQL = """CASE WHEN contains({u}, '.') THEN regexp_extract({u}, '(?s)^(.*)\\.([^.]*)$', 1) || '_v' || printf('%04d', {k})
+ || '.' || regexp_extract({u}, '(?s)^(.*)\\.([^.]*)$', 2) ELSE {u} || '_v' || printf('%04d', {k}) END"""
 
 
-def _plan(spark, sf_dir):
-    df = fx.urls(spark, sf_dir)
-    ok = df.where(U.unsafe_reason(F.col("url")).isNull()).select(
+def _inputs(spark, sf_dir):
+    """Inputs of the batches, with the reason for those that are refused."""
+    rows = fx.urls(spark, sf_dir).select(
         U.url_host(F.col("url")).alias("job_id"), "id", F.col("url").alias("input_url"),
         U.classify_extension(F.col("url")).alias("ext"),
         F.concat(F.lit("https://out.example.com/"), F.col("id").cast("string"), F.lit(".jpg")).alias("output_url"),
     )
-    variants = L.expand_variants(ok, 3, "batch")
+    return L.refuse_unsafe(rows)
+
+
+def _variants(spark, sf_dir):
+    """Variants of the accepted inputs; a refused one stays as a single row with its error."""
+    rows = _inputs(spark, sf_dir)
+    made = L.expand_variants(rows.where("error is null"), 3, "batch")
+    none = F.lit(None)
+    refused = rows.where("error is not null").withColumns({"variant": none.cast("int"), "seed": none.cast("long"), "output_url": none.cast("string")})
+    return made.unionByName(refused)
+
+
+def _plan(spark, sf_dir):
+    variants = _variants(spark, sf_dir).where("error is null")
     numbered = sequence_index(variants, ["job_id"], ["id", "variant"], [F.floor(F.col("id") / 65536)])
     return numbered.withColumn("worker", L.round_robin(F.col("idx"), G))
 
@@ -48,29 +61,39 @@ _PLAN_SQL = fx.with_parts("urls") + f""", {SAFE_SQL}, plan AS (SELECT host AS jo
 
 
 @query("plan_batch", _PLAN_SQL + f"""SELECT j.job_id, w.worker::INTEGER AS worker, count(p.id) AS items, count(DISTINCT p.id) AS inputs,
-  coalesce(max(p.seed), -1) AS max_seed FROM (SELECT DISTINCT job_id FROM plan) j CROSS JOIN (SELECT unnest(range({G})) AS worker) w
+  coalesce(max(p.seed), -1) AS max_seed, max(j.refused) AS refused
+  FROM (SELECT host AS job_id, count(*) FILTER (reason IS NOT NULL) AS refused FROM safe GROUP BY host) j CROSS JOIN (SELECT unnest(range({G})) AS worker) w
   LEFT JOIN plan p ON p.job_id = j.job_id AND p.idx % {G} = w.worker GROUP BY ALL""")
 def plan_batch(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
-    per = plan.groupBy("job_id", "worker").agg(
+    per = _plan(spark, sf_dir).groupBy("job_id", "worker").agg(
         F.count("*").alias("items"), F.count_distinct("id").alias("inputs"), F.max("seed").alias("max_seed"))
-    # idle workers get their zero row from the aggregate itself, so no join is needed
-    idle = [F.coalesce(F.max(F.when(F.col("worker") == w, F.struct("items", "inputs", "max_seed"))),
-                       F.struct(F.lit(0).cast("long").alias("items"), F.lit(0).cast("long").alias("inputs"), F.lit(-1).cast("long").alias("max_seed"))).alias(f"w{w}")
-            for w in range(G)]
-    wide = per.groupBy("job_id").agg(*idle)
-    return wide.select("job_id", F.posexplode(F.array(*[f"w{w}" for w in range(G)])).alias("worker", "s")).select("job_id", "worker", "s.*")
+    no = F.lit(None).cast("long")
+    turned = _inputs(spark, sf_dir).groupBy("job_id").agg(F.count("error").alias("refused"))
+    rows = per.withColumn("refused", no).unionByName(turned.withColumns({"worker": no, "items": no, "inputs": no, "max_seed": no}))
+    # idle workers get their zero row from the aggregate itself, and plain maxima combine in a hash table
+    parts = [F.coalesce(F.max(F.when(F.col("worker") == w, F.col(c))), F.lit(empty).cast("long")).alias(f"{c}{w}")
+             for w in range(G) for c, empty in (("items", 0), ("inputs", 0), ("max_seed", -1))]
+    wide = rows.groupBy("job_id").agg(*parts, F.max("refused").alias("refused"))
+    each = F.array(*[F.struct(*[F.col(f"{c}{w}").alias(c) for c in ("items", "inputs", "max_seed")]) for w in range(G)])
+    return wide.select("job_id", "refused", F.posexplode(each).alias("worker", "s")).select("job_id", "worker", "s.*", "refused")
+
+
+@query("expand_variants", _PLAN_SQL + f"""SELECT job_id, id, variant, ext, seed, output_url, NULL::VARCHAR AS error FROM plan
+  UNION ALL SELECT host, id, NULL, {EXT_SQL}, NULL, NULL, reason FROM safe WHERE reason IS NOT NULL""")
+def expand_variants(spark, sf_dir):
+    return _variants(spark, sf_dir).drop("input_url")
 
 
-@query("expand_variants", _PLAN_SQL + "SELECT job_id, id, variant, ext, seed, output_url FROM plan")
-def expand_variants(spark, sf_dir):
-    df = fx.urls(spark, sf_dir)
-    ok = df.where(U.unsafe_reason(F.col("url")).isNull()).select(
-        U.url_host(F.col("url")).alias("job_id"), "id", F.col("url").alias("input_url"),
-        U.classify_extension(F.col("url")).alias("ext"),
-        F.concat(F.lit("https://out.example.com/"), F.col("id").cast("string"), F.lit(".jpg")).alias("output_url"),
-    )
-    return L.expand_variants(ok, 3, "batch").drop("input_url")
+@query("batch_validate", fx.with_parts("urls") + f""", {SAFE_SQL}, a AS (SELECT id % 60 AS job_id, 0 AS side, id // 60 AS idx, reason FROM safe
+  UNION ALL SELECT id % 60, 1, id // 60, CASE WHEN id % 23 = 5 THEN 'required' WHEN id % 29 = 3 THEN 'scheme' END FROM urls),
+f AS (SELECT job_id, arg_min(struct_pack(side := side, idx := idx, reason := reason), side * 1000000000 + idx) FILTER (reason IS NOT NULL) AS f FROM a GROUP BY job_id)
+SELECT job_id, CASE f.side WHEN 0 THEN 'input' WHEN 1 THEN 'output' END AS side, f.idx::BIGINT AS idx, f.reason AS reason FROM f""")
+def batch_validate(spark, sf_dir):
+    rows = fx.urls(spark, sf_dir)
+    at = [(F.col("id") % 60).alias("job_id"), F.floor(F.col("id") / 60).alias("idx")]
+    out = F.when(F.col("id") % 23 == 5, "").when(F.col("id") % 29 == 3, "ftp://out.example.com/x").otherwise("https://out.example.com/x")
+    both = F.array(F.struct(F.lit(0).alias("side"), F.col("url")), F.struct(F.lit(1).alias("side"), out.alias("url")))
+    return L.validate_batches(rows.select(*at, F.inline(both)))
 
 
 @query("round_robin", _PLAN_SQL + f"SELECT job_id, id, variant, idx, idx % {G} AS worker FROM plan")
@@ -263,12 +286,12 @@ def retry_policy(spark, sf_dir):
 
 
 @query("backoff", fx.with_parts("attempts") + f""", pol(code, base_s, multiplier) AS ({_POL})
-SELECT a.event_id, round(least(coalesce(p.base_s, 1.0) * pow(coalesce(p.multiplier, 2.0), (a.attempt - 1) % 8)
+SELECT a.event_id, round(least(coalesce(p.base_s, 1.0) * pow(coalesce(p.multiplier, 2.0), least(a.attempt - 1, 100))
   * (0.75 + {draw("a.event_id", "'jitter'")} * 0.5), 30.0), 6) AS wait_s
 FROM attempts a LEFT JOIN pol p ON p.code = a.code""")
 def backoff(spark, sf_dir):
     df = L.retry_policies(fx.attempts(spark, sf_dir))
-    wait = T.backoff((F.col("attempt") - 1) % 8 + 1, F.col("base_s"), F.col("multiplier"), F.col("event_id"))
+    wait = T.backoff(F.col("attempt"), F.col("base_s"), F.col("multiplier"), F.col("event_id"))
     return df.select("event_id", F.round(wait, 6).alias("wait_s"))
 
 
@@ -323,3 +346,9 @@ def lpt_assign(spark, sf_dir):
 def lpt_totals(spark, sf_dir):
     assigned = A.lpt_assign(fx.items(spark, sf_dir).select("job_id", "idx", "size"), G, [24, 24, 12, 48])
     return L.queue_totals(assigned, G)
+
+
+@query("balanced_assign", fx.with_parts("items") + f""", r AS (SELECT job_id, idx, size, row_number() OVER (PARTITION BY job_id ORDER BY size DESC, idx) - 1 AS rk FROM items)
+SELECT job_id, idx, size, (CASE WHEN rk // {G} % 2 = 0 THEN rk % {G} ELSE {G} - 1 - rk % {G} END)::INTEGER AS worker FROM r""")
+def balanced_assign(spark, sf_dir):
+    return A.balanced_assign(fx.items(spark, sf_dir).select("job_id", "idx", "size"), G)

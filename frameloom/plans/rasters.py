@@ -42,7 +42,7 @@ def rgb(spark, sf_dir):
 
 
 def sized(spark, sf_dir):
-    return R.with_size(fx.rgb(spark, sf_dir))
+    return fx.sized(fx.rgb(spark, sf_dir))
 
 
 def point(name: str, sql: str, fn):
@@ -61,7 +61,7 @@ point("tint", st("v + " + bands("8.5", "-3.25", "40.0")), lambda v, band: P.tint
 point("temperature", st("v + " + bands("30.0 * 0.4", "0.0", "-30.0 * 0.4")), lambda v, band: P.temperature(v, band, 0.4))
 point("levels", st(f"(v - 12) * {d(255.0 / (255.0 - 24))}"), lambda v, band: P.levels(v, 12))
 
-_D2 = "((pow(x - 2.0::DOUBLE, 2.0) + pow(y - 2.0::DOUBLE, 2.0)) / 8.0::DOUBLE)"
+_D2 = "((pow(x - 4.0::DOUBLE, 2.0) + pow(y - 4.0::DOUBLE, 2.0)) / 32.0::DOUBLE)"
 
 
 @query("vignette", RGB + f"SELECT {COLS}, {stp(f'v * greatest(0.0, least(1.0, 1.0::DOUBLE - {_D2} * {d(0.6)}))')} AS v FROM rgb")
@@ -79,15 +79,15 @@ def vignette_overlay(spark, sf_dir):
     return sized(spark, sf_dir).withColumn("v", P.vignette_overlay(*at, 0.5, P.by_band(F.col("band"), 10, 20, 200))).drop("w", "h")
 
 
-@query("gradient", RGB + f"SELECT {COLS}, {stp(f'v * (1.0::DOUBLE + ((x / 4.0::DOUBLE + y / 4.0::DOUBLE) / 2.0::DOUBLE - 0.5::DOUBLE) * {d(0.3)} * 2.0::DOUBLE)')} AS v FROM rgb")
+@query("gradient", RGB + f"SELECT {COLS}, {stp(f'v * (1.0::DOUBLE + ((x / 8.0::DOUBLE + y / 8.0::DOUBLE) / 2.0::DOUBLE - 0.5::DOUBLE) * {d(0.3)} * 2.0::DOUBLE)')} AS v FROM rgb")
 def gradient(spark, sf_dir):
     at = [F.col(c) for c in ("v", "x", "y", "w", "h")]
     return sized(spark, sf_dir).withColumn("v", P.gradient(*at, 0.3)).drop("w", "h")
 
 
-@query("scanline", RGB + f"SELECT {COLS}, {stp(f'v * (1.0::DOUBLE + sin(y * {d(math.pi)}) * {d(0.2)})')} AS v FROM rgb")
+@query("scanline", RGB + f"SELECT {COLS}, {stp(f'v * (1.0::DOUBLE + sin(y * {d(2.0 * math.pi / 5.0)}) * {d(0.2)})')} AS v FROM rgb")
 def scanline(spark, sf_dir):
-    return rgb(spark, sf_dir).withColumn("v", P.scanline(F.col("v"), F.col("y"), 0.2))
+    return rgb(spark, sf_dir).withColumn("v", P.scanline(F.col("v"), F.col("y"), 0.2, 5.0))
 
 
 def wide_query(name: str, with_sql: str, fn):
@@ -124,13 +124,13 @@ wide_query("hsv_round_trip", hsv_sql("h0", "s0", "v0"), lambda df: R.map_hsv(df,
 wide_query("hue_shift", hsv_sql(_FM("h0 + 25"), "s0", "v0"), lambda df: R.hue_shift(df, 25))
 wide_query("vibrance", hsv_sql("h0", stp(f"s0 + (1.0::DOUBLE - s0 / 255.0::DOUBLE) * {d(0.8)} * 50.0::DOUBLE"), "v0"), lambda df: R.vibrance(df, 0.8))
 wide_query("adjust_hsv", hsv_sql(_FM("h0 + -40"), stp(f"s0 * {d(1.3)}"), stp(f"v0 * {d(0.8)}")), lambda df: R.adjust_hsv(df, -40, 1.3, 0.8))
-_BLOCK = draw("img_id", "'blocks.' || y || '.' || x")
+_BLOCK = draw("img_id", "'blocks.' || (y // 2) || '.' || (x // 2)")
 
 
 @query("block_hue", WIDE + ", " + hsv_sql(f"floor({_FM(f'h0 + (-30 + 60 * {_BLOCK}) / 2.0')})", "s0", "v0") +
        " SELECT img_id, y, x, 0 AS band, r AS v FROM out UNION ALL SELECT img_id, y, x, 1, g FROM out UNION ALL SELECT img_id, y, x, 2, b FROM out")
 def block_hue(spark, sf_dir):
-    wide = R.with_size(R.to_wide(rgb(spark, sf_dir)))
+    wide = fx.sized(R.to_wide(rgb(spark, sf_dir)))
     return R.to_long(R.block_hue(wide, 30, "blocks")).select(*R.PIXEL, "band", "v")
 
 
@@ -176,29 +176,29 @@ def image_mean(spark, sf_dir):
     return df.groupBy("img_id").agg(F.round(F.max("mean"), 6).alias("mean"), F.count("*").alias("n"))
 
 
-@query("crop", RGB + """, m AS (SELECT *, (img_id % 2)::INTEGER AS l, ((img_id // 2) % 3)::INTEGER AS t, 0 AS r, 0 AS bt FROM rgb), n AS (SELECT *, l + r >= 4 * 0.5 OR t + bt >= 4 * 0.5 AS no FROM m)
+@query("crop", RGB + """, m AS (SELECT *, (img_id % 2)::INTEGER AS l, ((img_id // 2) % 3)::INTEGER AS t, 0 AS r, 0 AS bt FROM rgb), n AS (SELECT *, l + r >= 8 * 0.5 OR t + bt >= 8 * 0.5 AS no FROM m)
 SELECT img_id, CASE WHEN no THEN y ELSE y - t END AS y, CASE WHEN no THEN x ELSE x - l END AS x, band, v FROM n WHERE no OR (x >= l AND y >= t)""")
 def crop(spark, sf_dir):
     i = F.col("img_id")
     return R.crop(sized(spark, sf_dir), i % 2, F.floor(i / 2) % 3, F.lit(0), F.lit(0))
 
 
-@query("flip", RGB + "SELECT img_id, CASE WHEN img_id % 2 = 1 THEN 3 - y ELSE y END AS y, CASE WHEN img_id % 2 = 0 THEN 3 - x ELSE x END AS x, band, v FROM rgb")
+@query("flip", RGB + "SELECT img_id, CASE WHEN img_id % 2 = 1 THEN 7 - y ELSE y END AS y, CASE WHEN img_id % 2 = 0 THEN 7 - x ELSE x END AS x, band, v FROM rgb")
 def flip(spark, sf_dir):
     df = sized(spark, sf_dir)
-    both = R.flip(df.where("img_id % 2 = 0"), True).unionByName(R.flip(df.where("img_id % 2 = 1"), False))
-    return both.drop("w", "h")
+    across = F.col("img_id") % 2 == 0
+    return R.flip(df, across).drop("w", "h")
 
 
 @query("rotate_quarter", GREY + """SELECT img_id, 90 AS turn, x AS y, 7 - y AS x, v FROM pixels UNION ALL SELECT img_id, 180, 7 - y, 7 - x, v FROM pixels UNION ALL SELECT img_id, 270, 7 - x, y, v FROM pixels""")
 def rotate_quarter(spark, sf_dir):
-    df = R.with_size(fx.pixels(spark, sf_dir))
-    turns = [R.rotate_quarter(df, t).select("img_id", F.lit(t).alias("turn"), "y", "x", "v") for t in (90, 180, 270)]
-    return turns[0].unionByName(turns[1]).unionByName(turns[2])
+    df = fx.sized(fx.pixels(spark, sf_dir))
+    each = df.withColumn("turn", F.explode(F.array(*[F.lit(t) for t in (90, 180, 270)])))
+    return R.rotate_quarter(each, F.col("turn")).select("img_id", "turn", "y", "x", "v")
 
 
 def remap_sql(sy: str, sx: str, fill=None, pre: str = "") -> str:
-    hold = lambda e: f"greatest(0, least({e}, 3))::INTEGER" if fill is None else f"({e})::INTEGER"
+    hold = lambda e: f"greatest(0, least({e}, 7))::INTEGER" if fill is None else f"({e})::INTEGER"
     join, v = ("JOIN", "s.v") if fill is None else ("LEFT JOIN", f"coalesce(s.v, {d(fill)})")
     return RGB + f"""{pre}, m AS (SELECT {COLS}, {hold(sy)} AS sy, {hold(sx)} AS sx FROM {'moved' if pre else 'rgb'})
 SELECT m.img_id, m.y, m.x, m.band, {v} AS v FROM m {join} rgb s ON s.img_id = m.img_id AND s.band = m.band AND s.y = m.sy AND s.x = m.sx"""
@@ -209,8 +209,8 @@ def remap(spark, sf_dir):
     return R.remap(sized(spark, sf_dir), F.col("y") + 1, F.col("x") - 2).drop("w", "h")
 
 
-_B = "(1.0::DOUBLE + (((x - 2.0::DOUBLE) / 2.0::DOUBLE) * ((x - 2.0::DOUBLE) / 2.0::DOUBLE) + ((y - 2.0::DOUBLE) / 2.0::DOUBLE) * ((y - 2.0::DOUBLE) / 2.0::DOUBLE)) * 0.3::DOUBLE)"
-_T = lambda c: f"trunc((({c} - 2.0::DOUBLE) / 2.0::DOUBLE) * {_B} * 4 / 2.0::DOUBLE + 2.0::DOUBLE + 1e-9::DOUBLE)"
+_B = "(1.0::DOUBLE + (((x - 4.0::DOUBLE) / 4.0::DOUBLE) * ((x - 4.0::DOUBLE) / 4.0::DOUBLE) + ((y - 4.0::DOUBLE) / 4.0::DOUBLE) * ((y - 4.0::DOUBLE) / 4.0::DOUBLE)) * 0.3::DOUBLE)"
+_T = lambda c: f"trunc((({c} - 4.0::DOUBLE) / 4.0::DOUBLE) * {_B} * 8 / 2.0::DOUBLE + 4.0::DOUBLE + 1e-9::DOUBLE)"
 
 
 @query("barrel", remap_sql(_T("y"), _T("x")))
@@ -218,7 +218,7 @@ def barrel(spark, sf_dir):
     return R.barrel(sized(spark, sf_dir), 0.3).drop("w", "h")
 
 
-@query("shear", remap_sql("y", "floor(x + (y - 2.0::DOUBLE) * 0.5::DOUBLE + 1e-9::DOUBLE)", 0.0))
+@query("shear", remap_sql("y", "floor(x + (y - 4.0::DOUBLE) * 0.5::DOUBLE + 1e-9::DOUBLE)", 0.0))
 def shear(spark, sf_dir):
     return R.shear(sized(spark, sf_dir), 0.5).drop("w", "h")
 
@@ -226,8 +226,8 @@ def shear(spark, sf_dir):
 _A = d(math.radians(30.0))
 
 
-@query("rotate", remap_sql(f"floor(1.5::DOUBLE + (x - 1.5::DOUBLE) * sin({_A}) + (y - 1.5::DOUBLE) * cos({_A}) + 0.5::DOUBLE + 1e-9::DOUBLE)",
-                           f"floor(1.5::DOUBLE + (x - 1.5::DOUBLE) * cos({_A}) - (y - 1.5::DOUBLE) * sin({_A}) + 0.5::DOUBLE + 1e-9::DOUBLE)", 0.0))
+@query("rotate", remap_sql(f"floor(3.5::DOUBLE + (x - 3.5::DOUBLE) * sin({_A}) + (y - 3.5::DOUBLE) * cos({_A}) + 0.5::DOUBLE + 1e-9::DOUBLE)",
+                           f"floor(3.5::DOUBLE + (x - 3.5::DOUBLE) * cos({_A}) - (y - 3.5::DOUBLE) * sin({_A}) + 0.5::DOUBLE + 1e-9::DOUBLE)", 0.0))
 def rotate(spark, sf_dir):
     return R.rotate(sized(spark, sf_dir), 30.0).drop("w", "h")
 
@@ -245,7 +245,7 @@ def over(fn: str, e: str, along: str, r: int) -> str:
 _F = lambda axis: normal_sql("img_id", "'f.' || y || '.' || x", "0" if axis == "x" else "1")
 
 
-@query("elastic", remap_sql("floor(greatest(0.0, least(y + dy, 3.0)))", "floor(greatest(0.0, least(x + dx, 3.0)))", None,
+@query("elastic", remap_sql("floor(greatest(0.0, least(y + dy, 7.0)))", "floor(greatest(0.0, least(x + dx, 7.0)))", None,
        f""", f0 AS (SELECT {COLS}, {_F('x')} * 1.5::DOUBLE AS dx, {_F('y')} * 1.5::DOUBLE AS dy FROM rgb),
 f1 AS (SELECT {COLS}, {over('avg', 'dx', 'x', 1)} AS dx, {over('avg', 'dy', 'x', 1)} AS dy FROM f0), moved AS (SELECT {COLS}, {over('avg', 'dx', 'y', 1)} AS dx, {over('avg', 'dy', 'y', 1)} AS dy FROM f1)"""))
 def elastic(spark, sf_dir):
@@ -272,7 +272,7 @@ def edges(spark, sf_dir):
 
 
 @query("median3", RGB + f""", o AS (SELECT unnest([-1, 0, 1]) AS o) SELECT r.img_id, r.y, r.x, r.band, list_sort(list(s.v))[5] AS v FROM rgb r, o a, o b, rgb s
-WHERE s.img_id = r.img_id AND s.band = r.band AND s.y = greatest(0, least(3, r.y + a.o)) AND s.x = greatest(0, least(3, r.x + b.o)) GROUP BY ALL""")
+WHERE s.img_id = r.img_id AND s.band = r.band AND s.y = greatest(0, least(7, r.y + a.o)) AND s.x = greatest(0, least(7, r.x + b.o)) GROUP BY ALL""")
 def median3(spark, sf_dir):
     return R.median3(rgb(spark, sf_dir))
 
@@ -290,22 +290,22 @@ def grain(spark, sf_dir):
 
 @query("resize_area", GREY + f"SELECT img_id, (y * 3 // 8)::INTEGER AS y, (x * 3 // 8)::INTEGER AS x, {stp('avg(v)')} AS v FROM pixels GROUP BY ALL")
 def resize_area(spark, sf_dir):
-    return R.resize_area(R.with_size(fx.pixels(spark, sf_dir)), 3, 3)
+    return R.resize_area(fx.sized(fx.pixels(spark, sf_dir)), 3, 3)
 
 
 @query("resize_nearest", GREY + """, o AS (SELECT unnest(range(11))::INTEGER AS p) SELECT img_id, a.p AS y, b.p AS x, v FROM o a, o b, pixels s WHERE s.y = a.p * 8 // 11 AND s.x = b.p * 8 // 11""")
 def resize_nearest(spark, sf_dir):
-    return R.resize_nearest(R.with_size(fx.pixels(spark, sf_dir)), 11, 11)
+    return R.resize_nearest(fx.sized(fx.pixels(spark, sf_dir)), 11, 11)
 
 
 @query("down_up", GREY + f""", small AS (SELECT img_id, (y * 4 // 8)::INTEGER AS y, (x * 4 // 8)::INTEGER AS x, {stp('avg(v)')} AS v FROM pixels GROUP BY ALL), o AS (SELECT unnest(range(8))::INTEGER AS p)
 SELECT img_id, a.p AS y, b.p AS x, v FROM o a, o b, small s WHERE s.y = a.p * 4 // 8 AND s.x = b.p * 4 // 8""")
 def down_up(spark, sf_dir):
-    return R.down_up(R.with_size(fx.pixels(spark, sf_dir)), 4, 4, 8, 8)
+    return R.down_up(fx.sized(fx.pixels(spark, sf_dir)), 4, 4, 8, 8)
 
 
-@query("border", RGB + f""", o AS (SELECT unnest(range(8))::INTEGER AS p), b AS (SELECT unnest([0, 1, 2])::INTEGER AS band)
-SELECT img_id, y + 2 AS y, x + 2 AS x, band, v FROM rgb UNION ALL SELECT i.img_id, a.p, c.p, band, {bands('9.0', '8.0', '7.0')} FROM (SELECT DISTINCT img_id FROM rgb) i, o a, o c, b WHERE a.p < 2 OR a.p >= 6 OR c.p < 2 OR c.p >= 6""")
+@query("border", RGB + f""", o AS (SELECT unnest(range(12))::INTEGER AS p), b AS (SELECT unnest([0, 1, 2])::INTEGER AS band)
+SELECT img_id, y + 2 AS y, x + 2 AS x, band, v FROM rgb UNION ALL SELECT i.img_id, a.p, c.p, band, {bands('9.0', '8.0', '7.0')} FROM (SELECT DISTINCT img_id FROM rgb) i, o a, o c, b WHERE a.p < 2 OR a.p >= 10 OR c.p < 2 OR c.p >= 10""")
 def border(spark, sf_dir):
     return R.border(sized(spark, sf_dir), 2, 9, 8, 7)
 
@@ -316,7 +316,7 @@ _OFF = lambda c: f"greatest(2.5::DOUBLE - ({c} + 0.5::DOUBLE), ({c} + 0.5::DOUBL
 @query("frame", GREY + f"""SELECT img_id, y, x, CASE WHEN x < 1 OR y < 1 OR x >= 7 OR y >= 7 THEN 40.0 ELSE v END::DOUBLE AS square,
   CASE WHEN x < 1 OR y < 1 OR x >= 7 OR y >= 7 OR {_OFF('x')} * {_OFF('x')} + {_OFF('y')} * {_OFF('y')} > 2.25 THEN 40.0 ELSE v END::DOUBLE AS rounded FROM pixels""")
 def frame(spark, sf_dir):
-    df = R.with_size(fx.pixels(spark, sf_dir)).withColumn("band", F.lit(0)).withColumn("v0", F.col("v"))
+    df = fx.sized(fx.pixels(spark, sf_dir)).withColumn("band", F.lit(0)).withColumn("v0", F.col("v"))
     square = R.frame(df, 1, 40, 0, 0).withColumn("square", F.col("v")).withColumn("v", F.col("v0"))
     return R.frame(square, 1, 40, 0, 0, 1.5).select("img_id", "y", "x", "square", F.col("v").alias("rounded"))
 
@@ -334,5 +334,5 @@ def composite(spark, sf_dir):
 back AS (SELECT img_id, y, x, {st(f'{stp("soft")} * {d(0.7)}')} AS v FROM s2), fore AS (SELECT img_id, a.p + 2 AS y, b.p AS x, v AS top FROM oy a, ox b, pixels s WHERE a.p < 12 AND b.p < 12 AND s.y = a.p * 8 // 12 AND s.x = b.p * 8 // 12)
 SELECT b.img_id, b.y, b.x, CASE WHEN top IS NULL THEN v ELSE top END AS v FROM back b LEFT JOIN fore USING (img_id, y, x)""")
 def blur_background_fit(spark, sf_dir):
-    df = R.with_size(fx.pixels(spark, sf_dir))
+    df = fx.sized(fx.pixels(spark, sf_dir))
     return R.blur_background_fit(df, 8, 8, 12, 16, 1, 0.7)

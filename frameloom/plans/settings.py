@@ -57,7 +57,7 @@ def normalise_keys(spark, sf_dir):
         F.struct(F.concat(F.lit("some_"), "event_type", F.lit("_value")).alias("k"), F.lit("x").alias("v")),
         F.struct(F.lit("plain").alias("k"), F.col("value").cast("string").alias("v")),
     )
-    events = fx.spread(table(spark, sf_dir, "events").select("event_id", "event_type", "value"))
+    events = fx.spread(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id")
     df = events.select("event_id", C.normalise_keys(F.map_from_entries(entries)).alias("m"))
     return df.select("event_id", F.explode("m").alias("key", "value"))
 
@@ -354,7 +354,7 @@ def editor_params(spark, sf_dir):
               F.lit("audioLowpassHz"), F.when(e % 2 == 0, "0").otherwise(text(e * 7)),
               F.lit("fit"), fx.choose(e % 4, ["cover", "CONTAIN", "stretch", "zoom"]), F.lit("backgroundColor"), F.lit("0A0B0C"),
               F.lit("videoCodec"), fx.choose(e % 3, ["HEVC", "vp9", "h265"]), F.lit("preset"), fx.choose(e % 3, ["Fast", "warp", "slow"])]
-    df = fx.spread(table(spark, sf_dir, "events").select("event_id", "value")).select("event_id", F.create_map(*pairs).alias("config"))
+    df = fx.spread(table(spark, sf_dir, "events").select("event_id", "value"), "event_id").select("event_id", F.create_map(*pairs).alias("config"))
     return O.editor_params(df)
 
 

@@ -224,15 +224,15 @@ def _augment_sql():
     strength = {k: f"({d(BASE[k] * scale[s])} * (1.0::DOUBLE + (-0.5 + 1.0 * {u(k)})))" for k, s in A.TIERS}
     fac = lambda k, lo, hi: f"greatest({lo}, least({hi}, 1.0::DOUBLE + (-1 + 2 * {u(k + '.draw')}) * {strength[k]}))::DOUBLE AS {k}"
     tints = ", ".join(f"(-1 + 2 * {u('tint.' + c)}) * {strength['tint']} AS tint_{c}" for c in "rgb")
-    margins = ", ".join(f"floor(4 * ({u('crop.' + s)} * {strength['crop']} / 100.0))::INTEGER AS m_{s}" for s in ("left", "right", "top", "bottom"))
+    margins = ", ".join(f"floor(8 * ({u('crop.' + s)} * {strength['crop']} / 100.0))::INTEGER AS m_{s}" for s in ("left", "right", "top", "bottom"))
     tone = lambda c: st(f"128.0::DOUBLE + ({stp(f'pow({st(f'{c} * brightness')} / 255.0::DOUBLE, gamma) * 255.0::DOUBLE')} - 128.0::DOUBLE) * contrast")
     sat = lambda c: st(f"{stp(f'grey + ({c} - grey) * saturation')} + tint_{c}")
     noise = lambda c: st(f"{c} + {normal_sql('seed', "'noise.' || y || '.' || x", str('rgb'.index(c)))} * noise * 2.0::DOUBLE")
     return fx.with_parts("rgb") + f""", wide AS (SELECT img_id, y, x, max(v) FILTER (band = 0) AS r, max(v) FILTER (band = 1) AS g, max(v) FILTER (band = 2) AS b FROM rgb GROUP BY ALL),
 par AS (SELECT img_id, variant, seed, {u('flip')} > 0.5 AS flip, {margins}, {fac('brightness', '0.0', '10.0')}, {fac('gamma', '0.5', '2.0')}, {fac('contrast', '0.5', '1.5')}, {fac('saturation', '0.5', '1.5')}, {tints}, {strength['noise']} AS noise
   FROM (SELECT img_id, k AS variant, {SEED.format("img_id || '_' || k || '_aug'")} AS seed FROM (SELECT DISTINCT img_id FROM rgb), (SELECT unnest([0, 1]) AS k))),
-a AS (SELECT w.* REPLACE (CASE WHEN flip THEN 3 - x ELSE x END AS x), p.* EXCLUDE (img_id), m_left + m_right >= 4 * 0.5 OR m_top + m_bottom >= 4 * 0.5 AS whole FROM wide w JOIN par p USING (img_id)),
-c AS (SELECT a.* REPLACE (CASE WHEN whole THEN x ELSE x - m_left END AS x, CASE WHEN whole THEN y ELSE y - m_top END AS y) FROM a WHERE whole OR (x >= m_left AND x < 4 - m_right AND y >= m_top AND y < 4 - m_bottom)),
+a AS (SELECT w.* REPLACE (CASE WHEN flip THEN 7 - x ELSE x END AS x), p.* EXCLUDE (img_id), m_left + m_right >= 8 * 0.5 OR m_top + m_bottom >= 8 * 0.5 AS whole FROM wide w JOIN par p USING (img_id)),
+c AS (SELECT a.* REPLACE (CASE WHEN whole THEN x ELSE x - m_left END AS x, CASE WHEN whole THEN y ELSE y - m_top END AS y) FROM a WHERE whole OR (x >= m_left AND x < 8 - m_right AND y >= m_top AND y < 8 - m_bottom)),
 t AS (SELECT * REPLACE ({tone('r')} AS r, {tone('g')} AS g, {tone('b')} AS b) FROM c),
 s AS (SELECT *, floor(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE + 1e-9::DOUBLE) AS grey FROM t),
 s2 AS (SELECT * REPLACE ({sat('r')} AS r, {sat('g')} AS g, {sat('b')} AS b) FROM s), o AS (SELECT img_id, variant, y, x, {noise('r')} AS r, {noise('g')} AS g, {noise('b')} AS b FROM s2)

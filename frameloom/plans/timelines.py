@@ -45,7 +45,7 @@ def _timelines(spark, sf_dir):
                        track("Caption", "captions", titles), F.lit("]}"))
     at_root = F.to_json(F.struct(clips.alias("clips"), effects.alias("effects"), titles.alias("captions")))
     json = F.when(job % 50 == 49, "{broken").when(job % 3 == 0, as_object).when(job % 3 == 1, as_list).otherwise(at_root)
-    return fx.spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(job.alias("job_id"), json.alias("json"))
+    return fx.spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(job.alias("job_id"), json.alias("json"))
 
 
 _GOOD = "job_id % 50 <> 49"
@@ -195,7 +195,7 @@ walk AS (SELECT job_id, k, ord, start AS b, start + dur AS e FROM r WHERE k = 1
   UNION ALL SELECT r.job_id, r.k, r.ord, greatest(w.e, r.start), greatest(w.e, r.start) + r.dur FROM walk w JOIN r ON r.job_id = w.job_id AND r.k = w.k + 1)
 SELECT job_id, ord, round(b, 4) AS "begin", round(e, 4) AS "end" FROM walk""")
 def clip_cursor(spark, sf_dir):
-    out = L.clip_cursor(_item_clips(spark, sf_dir), [F.floor(F.col("start") / 4)])
+    out = L.clip_cursor(_item_clips(spark, sf_dir), [F.col("start"), F.floor(F.col("ord") / 65536)])
     return out.select("job_id", "ord", F.round("begin", 4).alias("begin"), F.round("end", 4).alias("end"))
 
 

@@ -12,10 +12,11 @@ from .operators import raster as R
 
 Tool = Callable[[DataFrame, dict], DataFrame]
 TOOLS: dict[str, Tool] = {}
+COLUMNS = ["img_id", "y", "x", "band", "v"]
 
 
 def tool(name: str) -> Callable[[Tool], Tool]:
-    """Register a picture tool. It is given the picture size ``w, h`` and returns pixel rows."""
+    """Register a picture tool. It is given pixel rows with the picture size ``w, h`` and returns the same, with the new size."""
 
     def add(fn: Tool) -> Tool:
         TOOLS[name] = fn
@@ -32,7 +33,8 @@ def vignettes(df: DataFrame, config: dict) -> DataFrame:
 
 @tool("resize")
 def resize(df: DataFrame, config: dict) -> DataFrame:
-    return R.resize_nearest(df, int(config["width"]), int(config["height"]))
+    width, height = int(config["width"]), int(config["height"])
+    return R.resize_nearest(df, width, height).withColumns({"w": F.lit(width), "h": F.lit(height)})
 
 
 @tool("tone")
@@ -56,17 +58,20 @@ def apply_tool(df: DataFrame, name: str, config: dict) -> tuple[DataFrame, DataF
     if fn is None:
         failed = df.select("img_id").distinct().withColumn("status", F.lit("failed")).withColumn("error", F.lit(f"Unknown tool: {name}"))
         return df.limit(0), failed
-    columns = ["img_id", "y", "x", "band", "v"]
-    return R.with_size(df.select(*columns)).transform(fn, config).select(*columns), None
+    sized = df if {"w", "h"} <= set(df.columns) else R.with_size(df)
+    return sized.transform(fn, config).select(*COLUMNS, "w", "h"), None
 
 
 def tool_chain(df: DataFrame, steps: Sequence[tuple[str, dict]]) -> tuple[DataFrame, DataFrame | None]:
-    """Feed pictures through named tools in order: one lazy plan. The first missing tool ends the chain."""
+    """Feed pictures through named tools in order: one lazy plan. The first missing tool ends the chain.
+
+    The size is measured once, if the pictures arrive without it, and carried from tool to tool.
+    """
     for name, config in steps:
         df, failed = apply_tool(df, name, config)
         if failed is not None:
             return df, failed
-    return df, None
+    return df.select(*COLUMNS), None
 
 
 def caption_index(source_idx: Column, step_idx: Column, per_source: bool) -> Column:

@@ -25,5 +25,5 @@ def test_every_check_has_a_query():
 
 def test_entry_has_rows(spark):
     out = entry(spark)
-    assert out.columns == ["job_id", "worker", "items", "inputs", "max_seed"]
+    assert out.columns == ["job_id", "worker", "items", "inputs", "max_seed", "refused"]
     assert out.count() > 0
