@@ -56,7 +56,8 @@ def randomise_params(settings: DataFrame, variation: Column) -> DataFrame:
 def editor_params(df: DataFrame, config: str = "config") -> DataFrame:
     """Replace a config map by its clamped and aliased editor parameters, one column each.
 
-    Reads, casts and clamps are separate projections, so that no expression is repeated in generated code.
+    Reads, casts and clamps are separate projections, so that no expression is repeated in generated code. A value that is
+    not a number, NaN included, gives the default.
     """
     keep = [c for c in df.columns if c != config]
     names = {name: keys for name, keys, *_ in D.EDITOR_NUMBERS} | dict(D.EDITOR_FLAGS)
@@ -80,7 +81,7 @@ def editor_params(df: DataFrame, config: str = "config") -> DataFrame:
     unset = {n: F.col(n).isNull() for n in ("trimEndSec", "audioFadeInSec", "audioFadeOutSec")}
     unset |= {n: F.coalesce(F.col(n), F.lit("0")) == "0" for n in ("audioHighpassHz", "audioLowpassHz")}
     cast = read.select(
-        *keep, *flags, *words, *[C.to_number(F.col(n)).alias(n) for n in numeric],
+        *keep, *flags, *words, *[F.nullif(C.to_number(F.col(n)), F.lit(float("nan"))).alias(n) for n in numeric],
         *[u.alias(f"_no_{n}") for n, u in unset.items()],
     )
 

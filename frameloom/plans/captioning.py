@@ -133,15 +133,15 @@ _POS = ["top", "center", "bottom", "custom", "elsewhere"]
 
 
 def _placed(spark, sf_dir):
-    """Pictures with a wanted placement, and one to three boxes each, from the vectors."""
+    """Pictures with a wanted placement and boxes: four elements of the vector are a box, the last four the caption."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.transform("embedding", lambda v: (v.cast("double") + 0.6) / 1.2).alias("u"))
     i = F.col("img_id")
     pictures = e.select(
-        "img_id", F.round(F.col("u")[12] * 0.8, 3).alias("cap_w"), F.round(F.col("u")[13] * 0.4, 3).alias("cap_h"),
-        fx.choose(i % 5, _POS).alias("position"), fx.choose(i % 3, ["left", "center", "right"]).alias("align"), F.round(F.col("u")[14], 3).alias("custom_y"))
-    boxes = e.select("img_id", "u", F.explode(F.sequence(F.lit(0), (i % 4).cast("int"))).alias("k")).where(F.col("k") < 3)
+        "img_id", F.round(F.element_at("u", -4) * 0.4, 3).alias("cap_w"), F.round(F.element_at("u", -3) * 0.2, 3).alias("cap_h"),
+        fx.choose(i % 5, _POS).alias("position"), fx.choose(i % 3, ["left", "center", "right"]).alias("align"), F.round((F.element_at("u", -2) + F.element_at("u", -1)) / 2, 3).alias("custom_y"))
+    boxes = e.select("img_id", "u", F.explode(F.sequence(F.lit(0), F.floor(F.size("u") / 4).cast("int") - 2)).alias("k"))
     at = lambda o: F.element_at("u", F.col("k") * 4 + o + 1)
-    boxes = boxes.select("img_id", F.round(at(0), 3).alias("x"), F.round(at(1), 3).alias("y"), F.round(at(2) / 2, 3).alias("w"), F.round(at(3) / 2, 3).alias("h"))
+    boxes = boxes.select("img_id", F.round(at(0), 3).alias("x"), F.round(at(1), 3).alias("y"), F.round(at(2) / 8, 3).alias("w"), F.round(at(3) / 8, 3).alias("h"))
     return pictures, boxes
 
 
@@ -149,9 +149,9 @@ def _cands_sql():
     rows = [(4 + k, p, y, a) for k, (p, y, a) in enumerate(L._fixed_candidates())]
     fixed = ", ".join(f"({k}, '{p}', {y}::DOUBLE, '{a}')" for k, p, y, a in rows)
     return f"""WITH e AS (SELECT vec_id AS img_id, list_transform(embedding, lambda v: (v::DOUBLE + 0.6) / 1.2) AS u FROM embeddings),
-pics AS (SELECT img_id, u, round(u[13] * 0.8, 3) AS cw, round(u[14] * 0.4, 3) AS ch, {fx.sql_choose('img_id % 5', _POS)} AS position, {fx.sql_choose('img_id % 3', ['left', 'center', 'right'])} AS align, round(u[15], 3) AS cy FROM e),
-boxes AS (SELECT img_id, round(u[k * 4 + 1], 3) AS x, round(u[k * 4 + 2], 3) AS y, round(u[k * 4 + 3] / 2, 3) AS w, round(u[k * 4 + 4] / 2, 3) AS h
-  FROM (SELECT img_id, u, unnest(range(least(3, img_id % 4 + 1))) AS k FROM e)),
+pics AS (SELECT img_id, u, round(u[-4] * 0.4, 3) AS cw, round(u[-3] * 0.2, 3) AS ch, {fx.sql_choose('img_id % 5', _POS)} AS position, {fx.sql_choose('img_id % 3', ['left', 'center', 'right'])} AS align, round((u[-2] + u[-1]) / 2, 3) AS cy FROM e),
+boxes AS (SELECT img_id, round(u[k * 4 + 1], 3) AS x, round(u[k * 4 + 2], 3) AS y, round(u[k * 4 + 3] / 8, 3) AS w, round(u[k * 4 + 4] / 8, 3) AS h
+  FROM (SELECT img_id, u, unnest(range(len(u) // 4 - 1)) AS k FROM e)),
 own AS (SELECT *, CASE position WHEN 'top' THEN 0.15 WHEN 'bottom' THEN 0.82 WHEN 'custom' THEN cy ELSE 0.5 END::DOUBLE AS py FROM pics),
 cand AS (SELECT img_id, cw, ch, 0 AS rank, position, py AS y, align FROM own
   UNION ALL SELECT img_id, cw, ch, a.r, position, py, a.a FROM own, (VALUES (1, 'center'), (2, 'left'), (3, 'right')) a(r, a)

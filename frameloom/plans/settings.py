@@ -315,7 +315,7 @@ def _editor_sql():
     cols = []
     val = {}
     for pos, (name, keys, lo, hi, default) in enumerate(D.EDITOR_NUMBERS):
-        v = f"(CASE WHEN (event_id + {pos}) % 4 = 0 THEN NULL ELSE nullif(raw, '') END)"
+        v = f"(CASE WHEN (event_id + {pos}) % 4 = 0 THEN NULL ELSE nullif(nullif(raw, ''), 'NaN') END)"
         n = clamp_sql(v, f"{float(lo)}", f"{float(hi)}", f"{float(default)}")
         val[name] = n
         if name in D.EDITOR_WHOLE:
@@ -335,13 +335,13 @@ def _editor_sql():
     cols.append("'#0a0b0c' AS \"backgroundColor\"")
     cols.append(f"{fx.sql_choose('event_id % 3', ['libx265', 'libx264', 'libx265'])} AS \"videoCodec\"")
     cols.append(f"{fx.sql_choose('event_id % 3', ['fast', 'medium', 'slow'])} AS preset")
-    return f"SELECT event_id, {', '.join(cols)} FROM (SELECT *, CASE WHEN ({RAW}) IN ('NaN') THEN '3' ELSE {RAW} END AS raw FROM events)"
+    return f"SELECT event_id, {', '.join(cols)} FROM (SELECT *, {RAW} AS raw FROM events)"
 
 
 @query("editor_params", _editor_sql())
 def editor_params(spark, sf_dir):
     e = F.col("event_id")
-    raw = F.when(raw_value() == "NaN", "3").otherwise(raw_value())
+    raw = raw_value()
     pairs = []
     for pos, (name, keys, *_rest) in enumerate(D.EDITOR_NUMBERS):
         absent = (e + pos) % 4 == 0
