@@ -7,6 +7,8 @@ statistics of a picture combine before the shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -340,3 +342,67 @@ def blur_background_fit(df: DataFrame, w: int, h: int, tw: int, th: int, r: int,
     back = back.withColumns({"x": (F.col("x") - left).cast("int"), "y": (F.col("y") - top).cast("int")}).drop("w", "h")
     back = box_blur(back, r).withColumn("v", P.gain(F.col("v"), dim))
     return composite(back, resize_nearest(df, fw, fh), cut(tw, fw), cut(th, fh))
+
+
+def gaussian_blur(df: DataFrame, sigma: float, r: int) -> DataFrame:
+    """Weighted mean along the lines and then across them; at the edge the weights that are left count as one."""
+    weights = {k: math.exp(-k * k / (2.0 * sigma * sigma)) for k in range(-r, r + 1)}
+    for along in ("x", "y"):
+        across = "y" if along == "x" else "x"
+        line = Window.partitionBy("img_id", "band", across).orderBy(along)
+        seen = {k: F.lag("v", -k).over(line) for k in weights}
+        df = by_line(df, along).withColumns({f"_{k + r}": seen[k] for k in weights})
+        total, weight = F.lit(0.0), F.lit(0.0)
+        for k, w in weights.items():
+            total = total + F.coalesce(F.col(f"_{k + r}") * w, F.lit(0.0))
+            weight = weight + F.when(F.col(f"_{k + r}").isNotNull(), w).otherwise(0.0)
+        df = df.withColumn("v", total / weight).drop(*[f"_{k + r}" for k in weights])
+    return df.withColumn("v", P.store(F.col("v") + P.EPS))
+
+
+def lanczos(t: Column, lobes: int) -> Column:
+    """The windowed sinc of t, 1 at 0."""
+    x = t * math.pi
+    return F.when(F.abs(t) < 1e-12, 1.0).otherwise(F.sin(x) / x * F.sin(x / lobes) / (x / lobes))
+
+
+def resize_lanczos(df: DataFrame, tw: int, th: int, lobes: int = 3) -> DataFrame:
+    """Scale with a windowed sinc, one axis after the other. Needs ``w``, ``h``.
+
+    Each source pixel writes its weighted part to the targets in reach, and sums combine before the shuffle; nothing is joined.
+    """
+    extra = ["band"] if "band" in df.columns else []
+    for axis, size, n, other in (("x", "w", tw, ["y", "h"]), ("y", "h", th, ["x"])):
+        ratio = F.col(size) / n
+        reach = F.greatest(ratio, F.lit(1.0)) * lobes
+        at = F.col(axis) + 0.5
+        first = F.greatest(F.lit(0.0), F.ceil((at - reach) / ratio - 0.5))
+        last = F.least(F.lit(n - 1.0), F.floor((at + reach) / ratio - 0.5))
+        targets = F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+        weight = lanczos((at - (F.col("_t") + 0.5) * ratio) / F.greatest(ratio, F.lit(1.0)), lobes)
+        parts = df.withColumn("_t", F.explode(targets)).select("img_id", *other, *extra, F.col("_t").alias(axis), "v", weight.alias("_w"))
+        df = parts.groupBy("img_id", *other, *extra, axis).agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("v"))
+    return df.select(*PIXEL, *extra, P.store(F.col("v") + 0.5).alias("v"))
+
+
+def saturation(df: DataFrame, factor: float) -> DataFrame:
+    """Blend every colour of a wide table with its grey: 0 is grey, 1 leaves it, more is stronger."""
+    grey = F.floor(F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114 + P.EPS)
+    df = df.withColumn("_grey", grey)
+    return df.withColumns({c: P.store(F.col("_grey") + (F.col(c) - F.col("_grey")) * factor + P.EPS) for c in "rgb"}).drop("_grey")
+
+
+def remap_bilinear(df: DataFrame, sy: Column, sx: Column) -> DataFrame:
+    """Every pixel reads the four pixels around (sy, sx), held at the edge, weighted by nearness. Needs ``w``, ``h``."""
+    hold = lambda c, n: F.greatest(F.lit(0.0), F.least(c, F.col(n) - 1.0))
+    at = df.withColumn("_fy", hold(sy, "h")).withColumn("_fx", hold(sx, "w"))
+    fy, fx = F.col("_fy") - F.floor("_fy"), F.col("_fx") - F.floor("_fx")
+    corners = F.array(*[
+        F.struct(
+            F.least(F.floor("_fy") + dy, F.col("h") - 1).cast("int").alias("_sy"), F.least(F.floor("_fx") + dx, F.col("w") - 1).cast("int").alias("_sx"),
+            ((fy if dy else 1.0 - fy) * (fx if dx else 1.0 - fx)).alias("_part"))
+        for dy in (0, 1) for dx in (0, 1)
+    ])
+    source = df.select("img_id", "band", F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.col("v").alias("_v"))
+    read = at.select("img_id", "y", "x", "band", F.inline(corners)).join(source, ["img_id", "band", "_sy", "_sx"])
+    return read.groupBy(*PIXEL, "band").agg(F.sum(F.col("_v") * F.col("_part")).alias("v")).withColumn("v", P.store(F.col("v") + P.EPS))

@@ -336,3 +336,48 @@ SELECT b.img_id, b.y, b.x, CASE WHEN top IS NULL THEN v ELSE top END AS v FROM b
 def blur_background_fit(spark, sf_dir):
     df = fx.sized(fx.pixels(spark, sf_dir))
     return R.blur_background_fit(df, 8, 8, 12, 16, 1, 0.7)
+
+
+_GAUSS = {k: math.exp(-k * k / (2.0 * 1.1 * 1.1)) for k in range(-2, 3)}
+
+
+def _gauss_sql(source: str, along: str) -> str:
+    across = "y" if along == "x" else "x"
+    near = lambda k: f"lag(v, {-k}) OVER (PARTITION BY img_id, band, {across} ORDER BY {along})"
+    total = " + ".join(f"coalesce({near(k)} * {d(w)}, 0.0::DOUBLE)" for k, w in _GAUSS.items())
+    weight = " + ".join(f"CASE WHEN {near(k)} IS NOT NULL THEN {d(w)} ELSE 0.0::DOUBLE END" for k, w in _GAUSS.items())
+    return f"SELECT {COLS}, ({total}) / ({weight}) AS v FROM {source}"
+
+
+@query("gaussian_blur", RGB + f", g1 AS ({_gauss_sql('rgb', 'x')}), g2 AS ({_gauss_sql('g1', 'y')}) SELECT {COLS}, {stp('v')} AS v FROM g2")
+def gaussian_blur(spark, sf_dir):
+    return R.gaussian_blur(rgb(spark, sf_dir), 1.1, 2)
+
+
+def _lanczos_sql(source: str, axis: str, other: str, n: int) -> str:
+    ratio, scale = f"(8.0::DOUBLE / {n})", f"greatest(8.0::DOUBLE / {n}, 1.0::DOUBLE)"
+    t = f"(({axis} + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {ratio}) / {scale})"
+    x = f"({t} * {d(math.pi)})"
+    weight = f"CASE WHEN abs({t}) < 1e-12 THEN 1.0::DOUBLE ELSE sin({x}) / {x} * sin({x} / 3) / ({x} / 3) END"
+    return f"""SELECT img_id, {other}, o AS {axis}, sum(v * k) / sum(k) AS v FROM (SELECT img_id, {other}, o, v, {weight} AS k
+  FROM {source}, (SELECT unnest(range({n}))::INTEGER AS o) WHERE abs({axis} + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {ratio}) <= 3 * {scale}) GROUP BY ALL"""
+
+
+@query("resize_lanczos", GREY + f", l1 AS ({_lanczos_sql('pixels', 'x', 'y', 5)}), l2 AS ({_lanczos_sql('l1', 'y', 'x', 11)}) SELECT img_id, y, x, {st('v + 0.5::DOUBLE')} AS v FROM l2")
+def resize_lanczos(spark, sf_dir):
+    return R.resize_lanczos(fx.sized(fx.pixels(spark, sf_dir)), 5, 11)
+
+
+wide_query("saturation", f"""s AS (SELECT *, floor(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE + 1e-9::DOUBLE) AS grey FROM wide),
+out AS (SELECT img_id, y, x, {', '.join(f"{stp(f'grey + ({c} - grey) * {d(1.4)}')} AS {c}" for c in 'rgb')} FROM s)""",
+           lambda df: R.saturation(df, 1.4))
+
+
+@query("remap_bilinear", RGB + f""", m AS (SELECT {COLS}, greatest(0.0, least(y * 0.8::DOUBLE + 0.3::DOUBLE, 7.0))::DOUBLE AS fy, greatest(0.0, least(x * 0.9::DOUBLE + y * 0.25::DOUBLE - 0.5::DOUBLE, 7.0))::DOUBLE AS fx FROM rgb),
+c AS (SELECT {COLS}, least(floor(fy) + dy, 7)::INTEGER AS sy, least(floor(fx) + dx, 7)::INTEGER AS sx,
+  (CASE dy WHEN 1 THEN fy - floor(fy) ELSE 1.0::DOUBLE - (fy - floor(fy)) END) * (CASE dx WHEN 1 THEN fx - floor(fx) ELSE 1.0::DOUBLE - (fx - floor(fx)) END) AS part
+  FROM m, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dy, dx))
+SELECT c.img_id, c.y, c.x, c.band, {stp('sum(s.v * part)')} AS v FROM c JOIN rgb s ON s.img_id = c.img_id AND s.band = c.band AND s.y = c.sy AND s.x = c.sx GROUP BY ALL""")
+def remap_bilinear(spark, sf_dir):
+    y, x = F.col("y"), F.col("x")
+    return R.remap_bilinear(sized(spark, sf_dir), y * 0.8 + 0.3, x * 0.9 + y * 0.25 - 0.5)

@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import random
 import zipfile
 
 import numpy as np
@@ -21,6 +22,9 @@ from frameloom.operators import raster as R
 from frameloom.operators import signal as S
 from frameloom.operators import timeline as L
 from frameloom.registry import apply_tool, tool_chain
+from frameloom.functions.urls import variant_url
+from frameloom.operators.assignment import balanced_assign
+from frameloom.operators.ledger import validate_batches
 from frameloom.sources.archives import expand_archives
 from frameloom.sources.objects import scan_objects
 from frameloom.sources.requests import read_requests
@@ -260,3 +264,35 @@ def test_normal_path_is_idempotent_and_matches(spark, parts, rooted):
     path = ("/" if rooted else "") + "/".join(parts)
     got = one(spark, L.normal_path(F.col("p")), p=path)[0]
     assert got == posixpath.normpath("/" + path.lstrip("/") if path.startswith("/") else path)
+
+
+def test_long_variant_numbers_stay_whole(spark):
+    df = spark.createDataFrame([("a.jpg", k) for k in (0, 7, 1234, 12340, 12345)], "url string, k int")
+    got = [r[0] for r in df.select(variant_url(F.col("url"), F.col("k"))).collect()]
+    assert got == ["a_v0000.jpg", "a_v0007.jpg", "a_v1234.jpg", "a_v12340.jpg", "a_v12345.jpg"]
+
+
+def test_first_refused_address_of_a_batch(spark):
+    ok, bad = "https://a.example.com/x", "http://10.0.0.1/x"
+    rows = [(1, 0, 0, ok), (1, 1, 0, bad), (1, 0, 7, ""), (2, 1, 3, bad), (2, 1, 2, "ftp://a/x"), (2, 0, 0, ok), (3, 0, 0, ok)]
+    got = validate_batches(spark.createDataFrame(rows, "job_id long, side int, idx long, url string")).collect()
+    assert {r["job_id"]: (r["side"], r["idx"], r["reason"]) for r in got} == {1: ("input", 7, "required"), 2: ("output", 2, "scheme"), 3: (None, None, None)}
+
+
+@pytest.mark.parametrize("steps", [2, 6])
+def test_a_chain_of_tools_reads_its_source_once(spark, steps):
+    from frameloom.plans import fixtures
+    from frameloom.registry import tool_chain
+
+    chain = [("tone", {"brightness": 5}), ("flip", {}), ("resize", {"width": 6, "height": 9}), ("blur", {"radius": 1}), ("vignettes", {}), ("flip", {"horizontal": False})]
+    out, failed = tool_chain(fixtures.sized(fixtures.rgb(spark, "/root/testdata/sf0.001")), chain[:steps])
+    assert failed is None and out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert out.columns == ["img_id", "y", "x", "band", "v"]
+
+
+def test_balanced_loads_of_a_heavy_job(spark):
+    rng = random.Random(4)
+    sizes = [rng.choice([0, 5, 5, 7, 100, 1000]) for _ in range(997)]
+    out = balanced_assign(spark.createDataFrame([(1, k, s) for k, s in enumerate(sizes)], "job_id int, idx long, size long"), 4).collect()
+    load = [sum(r["size"] for r in out if r["worker"] == w) for w in range(4)]
+    assert len(out) == 997 and max(load) - min(load) <= 1000
