@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dimensions import KNOWN_KEYS
 
 NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)\s*$"
 
@@ -27,8 +26,8 @@ def first_set(config: Column, *keys: str, default: Column | None = None) -> Colu
 
 
 def camel_to_snake(key: Column) -> Column:
-    split_words = F.regexp_replace(key, "(.)([A-Z][a-z]+)", "$1_$2")
-    return F.lower(F.regexp_replace(split_words, "([a-z0-9])([A-Z])", "$1_$2"))
+    """An underscore where a word begins: before a capital after small letters, and before the last capital of a row."""
+    return F.lower(F.regexp_replace(key, "(?<=[a-z0-9])(?=[A-Z])|(?<=.)(?=[A-Z][a-z])", "_"))
 
 
 def either_case(config: Column, key: str, default: Column | None = None) -> Column:
@@ -39,14 +38,10 @@ def either_case(config: Column, key: str, default: Column | None = None) -> Colu
 
 
 def camel_case(key: Column) -> Column:
-    """Camel-case form of a snake-case key: known keys by table, others word by word."""
+    """Camel-case form of a snake-case key, word by word."""
     words = F.split(key, "_")
     tail = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.initcap)
-    return F.coalesce(
-        lookup(KNOWN_KEYS, key),
-        F.when(key.contains("_"), F.concat(F.element_at(words, 1), F.array_join(tail, ""))),
-        key,
-    )
+    return F.when(key.contains("_"), F.concat(F.element_at(words, 1), F.array_join(tail, ""))).otherwise(key)
 
 
 def normalise_keys(config: Column) -> Column:

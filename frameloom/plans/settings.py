@@ -42,13 +42,19 @@ def config_of(camel: str, snake: str):
     return F.create_map(key, raw_value())
 
 
-@query("normalise_keys", f"""WITH known(snake, camel) AS ({sql_values(D.KNOWN_KEYS.items())}), k AS (SELECT *, row_number() OVER (ORDER BY rowid) - 1 AS pos FROM
-  (SELECT unnest([{sql_list(D.KNOWN_KEYS)}]) AS snake, unnest([{sql_list(D.KNOWN_KEYS.values())}]) AS camel, unnest(range({len(D.KNOWN_KEYS)})) AS rowid))
-SELECT event_id, camel AS key, 'new' AS value FROM events JOIN k ON k.pos = event_id % {len(D.KNOWN_KEYS)}
+KEYS = {
+    "font_size": "fontSize", "line_2_gap": "line2Gap", "a_long_name_of_words": "aLongNameOfWords", "x_y": "xY",
+    "tilt_range_max": "tiltRangeMax", "is_HD_ready": "isHdReady",
+}
+
+
+@query("normalise_keys", f"""WITH k AS (SELECT *, row_number() OVER (ORDER BY rowid) - 1 AS pos FROM
+  (SELECT unnest([{sql_list(KEYS)}]) AS snake, unnest([{sql_list(KEYS.values())}]) AS camel, unnest(range({len(KEYS)})) AS rowid))
+SELECT event_id, camel AS key, 'new' AS value FROM events JOIN k ON k.pos = event_id % {len(KEYS)}
 UNION ALL SELECT event_id, 'some' || upper(event_type[1]) || substr(event_type, 2) || 'Value', 'x' FROM events
 UNION ALL SELECT event_id, 'plain', value::VARCHAR FROM events""")
 def normalise_keys(spark, sf_dir):
-    snake, camel = list(D.KNOWN_KEYS), list(D.KNOWN_KEYS.values())
+    snake, camel = list(KEYS), list(KEYS.values())
     pos = F.col("event_id") % len(snake)
     # the camel-case form comes first, so the later snake-case value has to replace it where both differ
     entries = F.array(
@@ -62,7 +68,7 @@ def normalise_keys(spark, sf_dir):
     return df.select("event_id", F.explode("m").alias("key", "value"))
 
 
-_NAMES = list(D.KNOWN_KEYS.values()) + ["HTTPServer2Go", "already_snake", "x", "aB", "topBlurPercent", "parseXMLDoc"]
+_NAMES = list(KEYS.values()) + ["HTTPServer2Go", "already_snake", "x", "aB", "topBlurPercent", "parseXMLDoc"]
 
 
 @query("camel_to_snake", f"""SELECT event_id, name, lower(regexp_replace(regexp_replace(name, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake
