@@ -79,7 +79,7 @@ class Shard:
         to_pivot = np.sqrt(np.maximum(size - 2 * self.pivots[:, :-1] @ exact + (self.pivots**2).sum(axis=1), 0))[self.pivot]
         bound = np.maximum(np.maximum(to_pivot - self.outer, self.inner - to_pivot), 0)
         # as a score: distance^2 = size + norm - 2 * product; a little room for rounding
-        best = (size + self.norm - bound**2) / 2 + 1e-6 * (size + self.norm) + 1e-6
+        best = np.maximum((size + self.norm - bound**2) / 2 + 1e-6 * (size + self.norm) + 1e-6, -(2.0**63))
         order = np.argsort(-best, kind="stable")
         ids, scores, at, step = np.zeros(0, np.int64), np.zeros(0, object if not safe else np.int64), 0, 4
         while at < len(order):
@@ -91,12 +91,16 @@ class Shard:
             at, step = at + step, step * 4
             rows = np.concatenate([np.arange(self.starts[r], self.stops[r]) for r in rings])
             rows = rows[self.ids[rows] != own]
-            new = np.rint(self.exact[rows] @ exact).astype(np.int64) if safe else self.vectors[rows].astype(object) @ query.astype(object)
+            new = np.rint(self.exact[rows] @ exact).astype(np.int64) if safe else _limited(self.vectors[rows].astype(object) @ query.astype(object))
             ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, new])
             top = np.lexsort((ids, -scores)) if safe else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])), dtype=np.int64)
             ids, scores = ids[top[:k]], scores[top[:k]]
-        lo, hi = -(2**63), 2**63 - 1
-        return [(min(max(int(s), lo), hi), int(i)) for s, i in zip(scores, ids, strict=True)]
+        return [(int(s), int(i)) for s, i in zip(scores, ids, strict=True)]
+
+
+def _limited(scores: np.ndarray) -> np.ndarray:
+    """Python integers, held in the range of a long."""
+    return np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in scores], dtype=object)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
