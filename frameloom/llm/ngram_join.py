@@ -3,7 +3,8 @@
 Which documents meet: the hash range of shingles is cut into K segments, K above the number of shingles in which two linked
 sets can differ, so linked sets agree on at least one whole segment. A document sends one signature per segment (about a
 fifth of its shingles); signatures that only one text has are dropped, and so is a document of whose segments too few are
-left. This is exact at every size. What remains are near copies, grouped by the signatures they share.
+left; of the others only the rarest are needed. This is exact at every size. What remains are near copies, grouped by the
+signatures they share.
 
 How they are joined: groups are cut into chunks, and each pair of chunks is joined in one task. The sets of one chunk stand
 in a prefix tree in one global order (common shingles first), sets of the other walk down it, so an overlap with a shared
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm.components import components
@@ -98,14 +99,21 @@ class Segments:
         return out
 
 
-def signatures(tokens: np.ndarray, c: int, k: int) -> np.ndarray:
-    """One value per segment of the hash range: the hashes inside it, added up."""
+def signatures(tokens: np.ndarray, c: int, k: int, need: int) -> tuple[np.ndarray, int]:
+    """One value per segment of the hash range: the hashes inside it, added up; and how many must be shared.
+
+    Empty segments agree between any two sets, so they are left out, and so many fewer must be shared; that leaves one at
+    least, or else all segments count and one must be shared.
+    """
     segment = ((tokens >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-    sums = np.zeros(k, dtype=np.uint64)
-    if len(tokens):
-        cut = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        sums[segment[cut]] = np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), cut)
-    return mix(sums + mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 32)))
+    cut = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+    sums = np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), cut)
+    full, empty = segment[cut], k - len(cut)
+    if need <= empty:
+        every = np.zeros(k, dtype=np.uint64)
+        every[full] = sums
+        sums, full = every, np.arange(k)
+    return mix(sums + mix(full.astype(np.uint64) + np.uint64(c << 32))), max(1, need - empty)
 
 
 def signed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, spread: float) -> DataFrame:
@@ -131,8 +139,9 @@ def signed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, spr
                         plan = Segments(percent, spread, 2 * n)
                     node = node_of(own)
                     for j, (c, k, need) in enumerate(plan.of(n)):
-                        sigs.append(signatures(own, c, k))
-                        rows.append((key, node, n, j == 0, c, need, k))
+                        values, least = signatures(own, c, k, need)
+                        sigs.append(values)
+                        rows.append((key, node, n, j == 0, c, least, len(values)))
             if not rows:
                 continue
             cols = list(zip(*rows, strict=True))
@@ -145,7 +154,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, spr
 
 
 def candidates(rows: DataFrame, peels: int = 2) -> DataFrame:
-    """sig, node of the signatures that different sets share, less sets of which too few segments are shared."""
+    """sig, node, scheme, need of signatures that different sets share, less sets of which too few segments are shared."""
     every = rows.where("node is not null").select(F.explode("sigs").alias("sig"), "node", "scheme", "need")
     shared = stage(every.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"), "shared")
     left = stage(every.join(bounded(shared), "sig").groupBy("sig", "node").agg(F.first("scheme").alias("scheme"), F.first("need").alias("need")), "postings")
@@ -155,7 +164,20 @@ def candidates(rows: DataFrame, peels: int = 2) -> DataFrame:
         held = left.join(bounded(enough), ["node", "scheme"], "left_semi")
         again = stage(held.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"), "shared")
         left = stage(held.join(bounded(again), "sig", "left_semi"), "postings")
-    return left.select("sig", "node")
+    return left
+
+
+def rarest(posts: DataFrame) -> DataFrame:
+    """sig, node: of a set's m signatures, of which a partner shares ``need``, the m - need + 1 rarest; one is shared.
+
+    The order by count and signature is the same for all sets, so signatures of passages that many documents share come last
+    and hardly ever bring anyone together.
+    """
+    often = stage(posts.groupBy("sig").agg(F.count("*").alias("often")), "often")
+    own = Window.partitionBy("node", "scheme")
+    ranked = posts.join(bounded(often), "sig").select(
+        "sig", "node", "need", F.row_number().over(own.orderBy("often", "sig")).alias("r"), F.count("*").over(own).alias("m"))
+    return stage(ranked.where("r <= m - need + 1").select("sig", "node"), "rarest")
 
 
 class Trie:
@@ -286,7 +308,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     rows = stage(signed(docs, doc_id, text, size, percent, spread), "signed")
     ids = rows.where("first").select("doc_id", "node", "n")
     nodes = stage(ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "nodes")
-    posts = candidates(rows)
+    posts = rarest(candidates(rows))
     leads = stage(posts.groupBy("sig").agg(F.min("node").alias("lead")), "leads")
     pairs = posts.join(bounded(leads), "sig").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     group = components(pairs)
