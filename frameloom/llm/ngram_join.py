@@ -157,7 +157,7 @@ def candidates(rows: DataFrame, peels: int = 2) -> DataFrame:
     """sig, node, scheme, need of signatures that different sets share, less sets of which too few segments are shared."""
     every = rows.where("node is not null").select(F.explode("sigs").alias("sig"), "node", "scheme", "need")
     shared = stage(every.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"), "shared")
-    left = stage(every.join(bounded(shared), "sig").groupBy("sig", "node").agg(F.first("scheme").alias("scheme"), F.first("need").alias("need")), "postings")
+    left = stage(every.join(shared, "sig").groupBy("sig", "node").agg(F.first("scheme").alias("scheme"), F.first("need").alias("need")), "postings")
     for _ in range(peels):
         enough = stage(left.groupBy("node", "scheme").agg(F.count("*").alias("m"), F.max("need").alias("least"))
                        .where("m >= least").select("node", "scheme"), "enough")
