@@ -7,7 +7,7 @@ posteriors of its words by forward-backward, and its prediction the label with t
 
 The classifier learns from a sample of labelled documents, about ``per_lang`` of each language, chosen by a hash of the
 text and id; the sample is what reaches the driver, so its bound is a parameter. Prediction runs in Arrow batches over whole
-texts; forward-backward advances many texts of similar length together, with memory for one group of texts.
+texts; forward-backward advances many texts of similar length together; a task holds one batch of texts and their scores.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text where nothing could be learned. Ties go
 to the smaller label. Repeated rows are predicted one by one, further columns travel in ``row``, an empty table gives an
@@ -31,7 +31,7 @@ PER_LANG = 300
 UNKNOWN = "und"
 #: Words of one training sequence, and of one stretch in it.
 SEQUENCE, STRETCH = 48, 12
-GROUP_WORDS = 1 << 17
+GROUP_WORDS = 1 << 20
 
 
 class Field(NamedTuple):
@@ -63,15 +63,31 @@ def features(words: Words, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return np.concatenate(kinds), np.concatenate(places)
 
 
-def emissions(words: Words, emission: np.ndarray) -> np.ndarray:
-    """Score of every label for every word; equal words are computed once."""
-    if not len(words.starts):
-        return np.zeros((0, emission.shape[1]))
-    _, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    kind, place = features(words, words.starts[first], words.ends[first])
-    order = np.argsort(place, kind="stable")
-    heads = np.searchsorted(place[order], np.arange(len(first)))
-    return np.add.reduceat(emission[kind[order]], heads, axis=0)[back]
+class Emissions:
+    """Score of every label for words; those of the words met last are kept in a table of fixed size."""
+
+    SLOTS = 20
+
+    def __init__(self, emission: np.ndarray):
+        self.emission = emission
+        self.keys = np.zeros(1 << self.SLOTS, dtype=np.uint64)
+        self.values = np.zeros((1 << self.SLOTS, emission.shape[1]), dtype=np.float32)
+
+    def __call__(self, words: Words) -> np.ndarray:
+        h = words.hashes()
+        slot = (h >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        out = self.values[slot]
+        missed = np.flatnonzero(self.keys[slot] != h)
+        if len(missed):
+            new, first, back = np.unique(h[missed], return_index=True, return_inverse=True)
+            spot = missed[first]
+            kind, place = features(words, words.starts[spot], words.ends[spot])
+            order = np.argsort(place, kind="stable")
+            heads = np.searchsorted(place[order], np.arange(len(spot)))
+            scores = np.add.reduceat(self.emission[kind[order]], heads, axis=0)
+            out[missed] = scores[back]
+            self.keys[slot[spot]], self.values[slot[spot]] = new, scores
+        return out
 
 
 def posteriors(scores: np.ndarray, bounds: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -80,7 +96,7 @@ def posteriors(scores: np.ndarray, bounds: np.ndarray, transition: np.ndarray, s
     length = np.diff(bounds)
     by_length = np.argsort(-length, kind="stable")
     step = np.exp(transition - transition.max())
-    local = np.exp(scores - scores.max(axis=1, keepdims=True))
+    local = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
     at = 0
     while at < len(by_length) and length[by_length[at]]:
         n = int(length[by_length[at]])
@@ -202,18 +218,19 @@ def identify(docs: DataFrame, field: Field | None, text: str = "text") -> DataFr
 
     def measure():
         own = Field(*held.value)
+        emit = Emissions(own.emission)
         names = np.array([*own.labels, UNKNOWN], dtype=object)
 
         def derive(column: pa.Array) -> list[pa.Array]:
-            best, score = [], []
+            scores, bounds = [], [np.zeros(1, np.int64)]
             for words in parts(column):
-                scores = emissions(words, own.emission).astype(np.float64)
-                word = posteriors(scores, words.bounds, own.transition, own.start) if len(scores) else scores
-                upto = np.concatenate([np.zeros((1, len(own.labels))), np.cumsum(word, axis=0)])
-                mean = (upto[words.bounds[1:]] - upto[words.bounds[:-1]]) / np.maximum(np.diff(words.bounds), 1)[:, None]
-                best.append(mean.argmax(axis=1))
-                score.append(mean.max(axis=1))
-            best, score = np.concatenate(best), np.clip(np.concatenate(score), 0, 1)
+                scores.append(emit(words))
+                bounds.append(words.bounds[1:] + bounds[-1][-1])
+            bounds = np.concatenate(bounds)
+            word = posteriors(np.concatenate(scores), bounds, own.transition, own.start)
+            upto = np.concatenate([np.zeros((1, len(own.labels))), np.cumsum(word, axis=0, dtype=np.float64)])
+            mean = (upto[bounds[1:]] - upto[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)[:, None]
+            best, score = mean.argmax(axis=1), np.clip(mean.max(axis=1), 0, 1)
             letters = np.array([t is not None and any(map(str.isalpha, t)) for t in column.to_pylist()], dtype=bool)
             best[~letters], score[~letters] = len(own.labels), 0
             return [pa.array(names[best], type=pa.string()), pa.array(score)]
