@@ -102,7 +102,9 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES, least_words: int = 5
     )
     parts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word",
              "stop_word_share", "duplicate_line_share", "repeat_word_share", "base_failed"]
-    return ratios.select("row", F.struct(*parts, (~F.col("base_failed") & _verdict(rules)).alias("kept")).alias("quality"))
+    quality = F.struct(*parts, (~F.col("base_failed") & _verdict(rules)).alias("kept"))
+    # a generator keeps a filter on the verdict above the measures; pushed down, it would repeat them word by word
+    return ratios.select("row", F.explode(F.array(quality)).alias("quality"))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

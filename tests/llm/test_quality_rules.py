@@ -37,3 +37,10 @@ def test_junk_goes_and_clean_text_stays(spark):
 
 def test_empty_table(none):
     assert judge(none).count() == 0
+
+
+def test_a_filter_on_the_verdict_measures_once(docs):
+    long = docs.where("doc_id = 10")  # 30,000 words with very many repeated windows
+    kept = judge(docs).where("quality.kept").select("row.doc_id").collect()
+    assert sorted(r["doc_id"] or -1 for r in kept) == sorted(r["doc_id"] or -1 for r in keep_good(docs).collect())
+    assert judge(long).where("quality.n_repeat_words >= 0").count() == 1
