@@ -34,6 +34,7 @@ from frameloom.llm.textbytes import Words, mix, parts
 
 #: Sets in one chunk of a group; a task holds the texts of two chunks.
 CHUNK = 96
+FILTER_BITS = 27
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -78,7 +79,7 @@ class Segments:
         self.percent = percent
         floors = [1]
         while floors[-1] <= most:
-            floors.append(max(floors[-1] + 1, floors[-1] * 5 // 4))
+            floors.append(max(floors[-1] + 1, floors[-1] * 8 // 5))
         self.floors = floors
         self.pieces = [max(1, int(np.ceil(spread * (self._differ(top - 1) + 1)))) for top in floors[1:]]
 
@@ -153,11 +154,37 @@ def signed(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, spr
     return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
+def sift(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """sig, node, scheme, need of the signatures in ``rows`` that are probably shared, so that few rows meet in the join.
+
+    The filter is one bit for each of 2**27 remainders, 16 MB whatever the data; with more shared signatures it lets more
+    pass, and the join decides.
+    """
+    place = F.pmod(F.col("sig"), F.lit(1 << FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    found = shared.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**21 rows at most
+    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    bits[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint64)
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = held.value
+        for batch in batches:
+            sigs = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            at = (sigs.astype(np.uint64) & np.uint64((1 << FILTER_BITS) - 1))
+            hit = (mask[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            row = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(3).value_lengths()))[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[hit]), *(batch.column(k).take(row) for k in range(3))], names=["sig", "node", "scheme", "need"])
+
+    full = rows.where("node is not null").select("node", "scheme", "need", "sigs")
+    return full.mapInArrow(run, "sig long, node long, scheme int, need int")
+
+
 def candidates(rows: DataFrame, peels: int = 2) -> DataFrame:
     """sig, node, scheme, need of signatures that different sets share, less sets of which too few segments are shared."""
-    every = rows.where("node is not null").select(F.explode("sigs").alias("sig"), "node", "scheme", "need")
+    every = rows.where("node is not null").select(F.explode("sigs").alias("sig"), "node")
     shared = stage(every.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"), "shared")
-    left = stage(every.join(shared, "sig").groupBy("sig", "node").agg(F.first("scheme").alias("scheme"), F.first("need").alias("need")), "postings")
+    left = stage(sift(rows, shared).join(shared, "sig").groupBy("sig", "node").agg(F.first("scheme").alias("scheme"), F.first("need").alias("need")), "postings")
     for _ in range(peels):
         enough = stage(left.groupBy("node", "scheme").agg(F.count("*").alias("m"), F.max("need").alias("least"))
                        .where("m >= least").select("node", "scheme"), "enough")
