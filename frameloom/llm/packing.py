@@ -27,7 +27,7 @@ LIMIT = 2048
 END_ID = 0
 #: Entries of the word cache of one Python worker; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
-BLOCK = 50_000
+BLOCK = 1_000
 
 # Cutting before a run of ASCII white space never splits a pre-token, unless other white space stands beside it.
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
