@@ -5,10 +5,15 @@ embeddings are added, pass through tanh, and a two-level softmax gives the proba
 in its class, so the conditional probabilities of a position add up to 1. A document's score is the sum of the conditional
 log-probabilities of all its words.
 
-The vocabulary is the most frequent words, counted over the whole corpus; other words share hashed entries. Training masks a
-share of the positions of every document, whole corpus, in two rounds: each partition trains a copy in numpy from the common
-state, and the copies are averaged, weighted by their words, in groups of at most ``FAN`` until few are left. What is
-gathered grows with the corpus; what reaches the driver at once does not.
+The network has a vocabulary of fixed size: the most frequent words, counted over the whole corpus; other words share hashed
+entries. What it predicts for a shared entry is divided among the words of the entry by their counts over the whole corpus:
+a word's share is its count less a discount, and what the discounts leave is spread evenly over the 64-bit hashes of the
+entry, so the shares of an entry add up to 1 and a word never met has a small share too. The table of counts grows with the
+corpus and stays distributed: the most frequent ``HEAD`` words are broadcast, the others are joined by word.
+
+Training masks a share of the positions of every document, whole corpus, in two rounds: each partition trains a copy in numpy
+from the common state, and the copies are averaged, weighted by their words, in groups of at most ``FAN`` until few are
+left. The size of the network, and so what the averages gather per copy, does not grow.
 
 Null and empty texts have no word and score 0. Repeated rows are scored one by one. Further columns travel in ``row``. With an
 empty table nothing is learned and the result is empty.
@@ -17,6 +22,7 @@ empty table nothing is learned and the result is empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,7 @@ CLASSES = 32
 PER_CLASS = 32
 VOCABULARY = CLASSES * PER_CLASS
 FREQUENT = 768
+SHARED = VOCABULARY - FREQUENT  # a power of two
 PAD = VOCABULARY
 WIDTH = 32
 WINDOW = (-2, -1, 1, 2)
@@ -39,24 +46,57 @@ ROUNDS = 2
 BATCH = 2048
 RATE = 0.1
 FAN = 32
+#: Words whose counts are broadcast; the counts of all others are joined.
+HEAD = 1 << 19
+DISCOUNT = 0.75
 _SHAPES = {"embed": (len(WINDOW), VOCABULARY + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,),
            "to_word": (CLASSES, WIDTH, PER_CLASS), "word_bias": (CLASSES, PER_CLASS)}
 
 
+class Counts(NamedTuple):
+    """What is known of the words that share entries."""
+
+    words: np.ndarray  # sorted hashes of the most frequent of them
+    n: np.ndarray
+    total: np.ndarray  # occurrences of each entry's words
+    kinds: np.ndarray  # different words of each entry
+    every: bool  # no other word was counted
+
+    def log_share(self, entry: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log-probability of a word counted n times among those of its entry; 0 times for a word never met."""
+        even = SHARED / 2.0**64
+        total = self.total[entry]
+        part = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * self.kinds[entry] * even) / np.maximum(total, 1)
+        return np.log(np.where(total > 0, part, even))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Counts of words, 0 for those that are not here."""
+        if not len(self.words):
+            return np.zeros(len(hashes), dtype=np.int64)
+        spot = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[spot] == hashes, self.n[spot], 0)
+
+
 class Lexicon:
-    """Ids of word hashes: frequent words have their own, the others share by hash."""
+    """Ids of word hashes: frequent words have their own, the others share by hash.
 
-    def __init__(self, frequent: np.ndarray):
-        self.frequent = frequent
-        self.slot = np.zeros(1 << 20, dtype=np.int32)
-        self.slot[(frequent >> np.uint64(44)).astype(np.int64)] = np.arange(len(frequent))
+    ``counts`` and ``rest``, a stored table of the words (word, n) that are not in it, divide the shared entries.
+    """
+
+    def __init__(self, frequent: np.ndarray, counts: Counts | None = None, rest: DataFrame | None = None):
+        self.frequent, self.counts, self.rest = frequent, counts, rest
+        self.order = np.argsort(frequent)
+        self.near = np.zeros(1 << 20, dtype=bool)
+        self.near[(frequent >> np.uint64(44)).astype(np.int64)] = True
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        shared = FREQUENT + (hashes % np.uint64(VOCABULARY - FREQUENT)).astype(np.int64)
-        if not len(self.frequent):
-            return shared
-        guess = self.slot[(hashes >> np.uint64(44)).astype(np.int64)]
-        return np.where(self.frequent[guess] == hashes, guess, shared)
+        out = FREQUENT + (hashes % np.uint64(SHARED)).astype(np.int64)
+        at = np.flatnonzero(self.near[(hashes >> np.uint64(44)).astype(np.int64)])
+        if len(at):
+            spot = np.minimum(np.searchsorted(self.frequent, hashes[at], sorter=self.order), len(self.frequent) - 1)
+            hit = self.frequent[self.order[spot]] == hashes[at]
+            out[at[hit]] = self.order[spot[hit]]
+        return out
 
 
 def contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -162,7 +202,7 @@ class Trainer:
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> Lexicon:
-    """The most frequent words, by counts over all documents; ties by hash."""
+    """The most frequent words, by counts over all documents; ties by hash. The counts of all others divide the entries."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,8 +213,25 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Lexicon:
                 yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n)], names=["word", "n"])
 
     counts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "words")
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow().column(0).to_numpy()
-    return Lexicon(top.astype(np.uint64))
+    own = docs.sparkSession.createDataFrame([(int(w),) for w in top], "word long")
+    rare = counts.join(F.broadcast(own), "word", "left_anti")  # FREQUENT rows
+    entry = F.col("word").bitwiseAND(SHARED - 1).cast("int").alias("entry")
+    total, kinds = np.zeros(SHARED), np.zeros(SHARED)
+    for r in rare.groupBy(entry).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        total[r["entry"]], kinds[r["entry"]] = r["n"], r["kinds"]
+    # the least count from which on words are broadcast; the different counts are few, as their sum is at most all words
+    often = rare.groupBy("n").agg(F.count("*").alias("many")).toArrow()
+    n, many = (often.column(i).to_numpy() for i in range(2))
+    order = np.argsort(-n)
+    fit = np.flatnonzero(np.cumsum(many[order]) <= HEAD)
+    least = int(n[order][fit[-1]]) if len(fit) else int(n.max(initial=0)) + 1
+    head = rare.where(F.col("n") >= least).toArrow()  # HEAD rows at most
+    words, held = head.column("word").to_numpy().astype(np.uint64), head.column("n").to_numpy()
+    order = np.argsort(words)
+    found = Counts(words[order], held[order], total, kinds, len(words) == int(many.sum()))
+    return Lexicon(top.astype(np.uint64), found, None if found.every else rare.where(F.col("n") < least))
 
 
 def _average(rows: DataFrame) -> DataFrame:
@@ -229,19 +286,41 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, masked: flo
 
 def score(docs: DataFrame, model: tuple[Lexicon, Network], text: str = "text") -> DataFrame:
     """``row``, n_words and log_likelihood of every document."""
-    state = docs.sparkSession.sparkContext.broadcast((model[0].frequent, model[1].pack()))
+    lexicon, counts = model[0], model[0].counts
+    state = docs.sparkSession.sparkContext.broadcast((lexicon.frequent, tuple(counts), model[1].pack()))
 
     def measure():
-        lexicon, net = Lexicon(state.value[0]), Network.unpack(state.value[1])
+        lex, known, net = Lexicon(state.value[0]), Counts(*state.value[1]), Network.unpack(state.value[2])
 
         def derive(column: pa.Array) -> list[pa.Array]:
-            n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
+            n, total, left, cuts = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
             for words in parts(column, lower=True):
-                ids = lexicon.ids(words.hashes())
+                hashes = words.hashes()
+                ids = lex.ids(hashes)
+                value = net.log_probability(ids, contexts(ids, words.bounds))
+                at = np.flatnonzero(ids >= FREQUENT)
+                times = known.find(hashes[at])
+                here = (times > 0) | known.every
+                value[at[here]] += known.log_share(ids[at[here]] - FREQUENT, times[here])
+                away = at[~here]
                 n.append(np.diff(words.bounds))
-                total.append(sums_per_text(net.log_probability(ids, contexts(ids, words.bounds)), words.bounds))
-            return [pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(total))]
+                total.append(sums_per_text(value, words.bounds))
+                left.append(hashes[away].astype(np.int64))
+                cuts.append(np.searchsorted(away, words.bounds[1:]) + cuts[-1][-1])
+            lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(cuts)), pa.array(np.concatenate(left))).cast(pa.list_(pa.int64()))
+            return [pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(total)), lists]
 
         return derive
 
-    return annotate(docs, measure, "n_words long, log_likelihood double", text)
+    scored = annotate(docs, measure, "n_words long, log_likelihood double, left array<long>", text)
+    if counts.every:
+        return scored.drop("left")
+    scored = stage(scored.withColumn("place", F.monotonically_increasing_id()), "scored")
+    asked = scored.select("place", F.explode("left").alias("word")).groupBy("place", "word").agg(F.count("*").alias("times"))
+    stats = docs.sparkSession.createDataFrame([(e, float(a), float(b)) for e, (a, b) in enumerate(zip(counts.total, counts.kinds, strict=True))], "entry int, total double, kinds double")
+    even = F.lit(SHARED / 2.0**64)
+    part = (F.greatest(F.coalesce("n", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * even) / F.greatest("total", F.lit(1.0))
+    share = F.log(F.when(F.col("total") > 0, part).otherwise(even))
+    found = asked.join(lexicon.rest, "word", "left").join(F.broadcast(stats), F.col("word").bitwiseAND(SHARED - 1) == F.col("entry"))  # SHARED rows
+    sums = found.groupBy("place").agg(F.sum(F.col("times") * share).alias("rest"))
+    return scored.join(sums, "place", "left").select("row", "n_words", (F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0))).alias("log_likelihood"))

@@ -66,3 +66,47 @@ def test_odd_texts_and_empty(docs, rows, none):
     got = P.score(docs, P.train(docs))
     assert got.count() == len(rows) and got.where("log_likelihood is null or isnan(log_likelihood)").count() == 0
     assert P.score(none, P.train(none)).count() == 0
+
+
+def _many(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the", "of", f"q{rng.randrange(3000)}", f"q{rng.randrange(30)}"]) for _ in range(60)), "en", "a") for i in range(300)]
+    return make(spark, rows), rows
+
+
+def test_shared_entries_are_divided_among_their_words(spark):
+    docs, rows = _many(spark)
+    words = sorted({w for r in rows for w in r[1].split()})
+    lexicon, net = P.train(docs)
+    hashes = next(parts(pa.array([" ".join(words)]), lower=True)).hashes()
+    rare = [k for k in range(len(words)) if lexicon.ids(hashes[k: k + 1])[0] >= P.FREQUENT]
+    known = lexicon.counts
+    assert len(rare) == len(words) - P.FREQUENT == len(known.words)
+    for e in range(P.SHARED):
+        n = known.n[(known.words % np.uint64(P.SHARED)).astype(int) == e]
+        inside = np.exp(known.log_share(np.full(len(n), e), n)).sum()
+        never = np.exp(known.log_share(np.array([e]), np.array([0])))[0]
+        assert inside + never * 2.0**64 / P.SHARED == pytest.approx(1)
+    seen = {}
+    for k in rare:
+        seen.setdefault(int(hashes[k] % np.uint64(P.SHARED)), words[k])
+    # a word never met scores below one of the same entry
+    odd = next(w for w in (f"zzz{i}" for i in range(100)) if int(next(parts(pa.array([w]))).hashes()[0] % np.uint64(P.SHARED)) in seen)
+    twin = seen[int(next(parts(pa.array([odd]))).hashes()[0] % np.uint64(P.SHARED))]
+    probe = make(spark, [(0, f"the {twin} of", "en", "a"), (1, f"the {odd} of", "en", "a")])
+    got = {r["doc_id"]: r["log_likelihood"] for r in P.score(probe, (lexicon, net)).select("row.doc_id", "log_likelihood").collect()}
+    assert got[0] > got[1] + 5
+
+
+def test_joined_counts_give_the_scores_of_broadcast_ones(spark, monkeypatch):
+    docs, rows = _many(spark)
+    probe = docs.union(make(spark, [(900, "the never met of never q1", "en", "a"), (901, None, "en", "a"), (901, None, "en", "a")])).union(docs.limit(1))
+    got = []
+    for head in (P.HEAD, 40, 0):
+        monkeypatch.setattr(P, "HEAD", head)
+        lexicon = P.vocabulary(docs)
+        assert lexicon.counts.every == (head > 40) and len(lexicon.counts.words) <= head
+        scored = P.score(probe, (lexicon, P.Network.fresh()))
+        assert scored.columns == ["row", "n_words", "log_likelihood"]
+        got.append(sorted((r["doc_id"], r["n_words"], round(r["log_likelihood"], 6)) for r in scored.select("row.doc_id", "n_words", "log_likelihood").collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows) + 4
