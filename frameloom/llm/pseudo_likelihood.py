@@ -11,9 +11,9 @@ a word's share is its count less a discount, and what the discounts leave is spr
 entry, so the shares of an entry add up to 1 and a word never met has a small share too. The table of counts grows with the
 corpus and stays distributed: the most frequent ``HEAD`` words are broadcast, the others are joined by word.
 
-Training masks a share of the positions of every document, whole corpus, in two rounds: each partition trains a copy in numpy
-from the common state, and the copies are averaged, weighted by their words, in groups of at most ``FAN`` until few are
-left. The size of the network, and so what the averages gather per copy, does not grow.
+Training predicts every word of every document, whole corpus, once: its position falls in one of two rounds by hash. In a
+round each partition trains a copy in numpy from the common state, and the copies are averaged, weighted by their words, in
+groups of at most ``FAN`` until few are left. The size of the network, and so what the averages gather per copy, does not grow.
 
 Null and empty texts have no word and score 0. Repeated rows are scored one by one. Further columns travel in ``row``. With an
 empty table nothing is learned and the result is empty.
@@ -21,6 +21,7 @@ empty table nothing is learned and the result is empty.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,7 +42,6 @@ SHARED = VOCABULARY - FREQUENT  # a power of two
 PAD = VOCABULARY
 WIDTH = 32
 WINDOW = (-2, -1, 1, 2)
-MASKED = 0.15
 ROUNDS = 2
 BATCH = 2048
 RATE = 0.1
@@ -165,24 +165,31 @@ class Network:
 
     def gradients(self, ids: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean log-probability."""
-        h, n = self.hidden(around), len(ids)
+        n = len(ids)
+        order = np.argsort((ids // PER_CLASS).astype(np.int16), kind="stable")
+        ids, around = ids[order], around[:, order]  # a class is one slice
+        h, every = self.hidden(around), np.arange(n)
         group, member = ids // PER_CLASS, ids % PER_CLASS
+        slices = [(c, slice(a, b)) for c, (a, b) in enumerate(itertools.pairwise(np.searchsorted(group, np.arange(CLASSES + 1)))) if a < b]
         g = {k: np.zeros_like(v) for k, v in self.p.items() if k != "embed"}
         d = -self._softmax(h @ self.p["to_class"] + self.p["class_bias"])
-        d[np.arange(n), group] += 1
+        d[every, group] += 1
         g["to_class"], g["class_bias"] = h.T @ d, d.sum(axis=0)
         back = d @ self.p["to_class"].T
-        for c in np.unique(group):
-            at = np.flatnonzero(group == c)
-            d = -self._softmax(h[at] @ self.p["to_word"][c] + self.p["word_bias"][c])
-            d[np.arange(len(at)), member[at]] += 1
-            g["to_word"][c], g["word_bias"][c] = h[at].T @ d, d.sum(axis=0)
-            back[at] += d @ self.p["to_word"][c].T
+        d = np.concatenate([h[at] @ self.p["to_word"][c] + self.p["word_bias"][c] for c, at in slices])
+        d = -self._softmax(d)
+        d[every, member] += 1
+        for c, at in slices:
+            g["to_word"][c], g["word_bias"][c] = h[at].T @ d[at], d[at].sum(axis=0)
+            back[at] += d[at] @ self.p["to_word"][c].T
         back *= 1 - h * h
         g["bias"] = back.sum(axis=0)
-        place = around + np.arange(len(WINDOW))[:, None] * (VOCABULARY + 1)
+        place = (around + np.arange(len(WINDOW))[:, None] * (VOCABULARY + 1)).ravel().astype(np.int16)  # fits, and sorts by radix
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         g["embed"] = np.zeros((len(WINDOW) * (VOCABULARY + 1), WIDTH), dtype=np.float32)
-        np.add.at(g["embed"], place.ravel(), np.tile(back, (len(WINDOW), 1)))
+        g["embed"][place[heads]] = np.add.reduceat(back[order % n], heads, axis=0)
         g["embed"] = g["embed"].reshape(_SHAPES["embed"])
         return {k: v / n for k, v in g.items()}
 
@@ -247,8 +254,14 @@ def _average(rows: DataFrame) -> DataFrame:
     return rows.withColumn("group", F.floor(F.col("part") / FAN)).groupBy("group").applyInPandas(mean, "part long, words long, params binary")
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, masked: float = MASKED) -> tuple[Lexicon, Network]:
-    """Count the vocabulary, then train and average ``rounds`` times over all documents."""
+def round_of(hashes: np.ndarray, bounds: np.ndarray, rounds: int) -> np.ndarray:
+    """Which round trains a position; by its word and its place in the text, so each time a text is read the same."""
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return (mix(hashes + mix(place.astype(np.uint64))) >> np.uint64(32)) % np.uint64(rounds)
+
+
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Lexicon, Network]:
+    """Count the vocabulary, then train and average ``rounds`` times over all documents, each position in one round."""
     context = docs.sparkSession.sparkContext
     lexicon, net = vocabulary(docs, text), Network.fresh()
     for k in range(rounds):
@@ -257,15 +270,12 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, masked: flo
         def run(batches: Iterator[pa.RecordBatch], state=state, k=k) -> Iterator[pa.RecordBatch]:
             words_of, flat = state.value
             lex, trainer = Lexicon(words_of), Trainer(Network.unpack(flat))
-            seed = np.uint64(k * 7919 + 1)
             for batch in batches:
                 for words in parts(batch.column(0), lower=True):
                     hashes = words.hashes()
                     ids = lex.ids(hashes)
                     around = contexts(ids, words.bounds)
-                    # the draw depends on the text alone, so a repeated task draws the same
-                    draw = mix(hashes + mix(np.arange(len(ids), dtype=np.uint64) + seed))
-                    chosen = np.flatnonzero((draw >> np.uint64(32)).astype(np.float64) < masked / rounds * 2**32)
+                    chosen = np.flatnonzero(round_of(hashes, words.bounds, rounds) == k)
                     for a in range(0, len(chosen), BATCH):
                         at = chosen[a: a + BATCH]
                         trainer.step(ids[at], around[:, at])

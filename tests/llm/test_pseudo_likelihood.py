@@ -110,3 +110,22 @@ def test_joined_counts_give_the_scores_of_broadcast_ones(spark, monkeypatch):
         assert scored.columns == ["row", "n_words", "log_likelihood"]
         got.append(sorted((r["doc_id"], r["n_words"], round(r["log_likelihood"], 6)) for r in scored.select("row.doc_id", "n_words", "log_likelihood").collect()))
     assert got[0] == got[1] == got[2] and len(got[0]) == len(rows) + 4
+
+
+def test_every_position_is_trained_once(spark, monkeypatch):
+    docs, rows = _many(spark)
+    weights, copies = [], P.stage
+
+    def watched(df, name):
+        out = copies(df, name)
+        if name == "copies":
+            weights.append(sum(r["words"] for r in out.select("words").collect()))
+        return out
+
+    monkeypatch.setattr(P, "stage", watched)
+    P.train(docs)
+    assert len(weights) == P.ROUNDS and min(weights) > 0
+    assert sum(weights) == sum(len(r[1].split()) for r in rows)
+    words = next(parts(pa.array([r[1] for r in rows[:9]]), lower=True))
+    alone = [P.round_of(w.hashes(), w.bounds, 2) for r in rows[:9] for w in parts(pa.array([r[1]]), lower=True)]
+    assert (P.round_of(words.hashes(), words.bounds, 2) == np.concatenate(alone)).all()
