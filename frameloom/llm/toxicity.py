@@ -1,15 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models over words and word pairs.
 
-Both classes share one Kneser-Ney model: pooled counts less a discount, and for the rest the number of different words
-before a word. A class departs from it only by what its own count exceeds its expected share by more than a discount of
-three standard deviations and two, so rare expressions, whose counts tell little, get the shared probability in both
-classes and add nothing to the difference. A text counts an expression once, and equal texts of the sample count as one, so
-that neither a repeated line nor a group of copies passes for evidence. A text's score is the difference of the two log-likelihoods per word, mapped to 0..1 by a
-logistic curve fitted to the same labelled texts.
+An expression's probability in a class is its probability in both, which cancels, times how much likelier the class is where
+the expression stands. That is estimated from counts per class less a discount each; what the discounts leave goes to the
+next form: from the pair to its second word, from there to the folded word (A-Z lowered, symbols at its edges stripped),
+from there to the share of toxic expressions in all. The counts weigh by how probable it is that the expression differs from
+its next form, which is never 0. So a rare expression counts by what is known of it, however little, and
+one never met has the ratio of the longest form of it that was met, or adds nothing. A text counts an expression once, and
+equal texts of the sample count as one, so that neither a repeated line nor a group of copies passes for evidence. A text's
+score is the difference of the two log-likelihoods per word, mapped to 0..1 by a logistic curve fitted to the same labelled
+texts, each by the counts of all others.
 
 The models learn from a sample of labelled documents, at most about ``per_class`` of each class, chosen by a hash of the id;
-only the words and pairs in which the classes differ reach the driver and are broadcast to the tasks that score, each of
-which holds one batch of texts. Only the sampled ids are broadcast to find their texts. Words are told apart by 64-bit hashes.
+the ratios of all their expressions, so many as the sample has, reach the driver and are broadcast to the tasks that score,
+each of which holds one batch of texts. Only the sampled ids are broadcast to find their texts. Words are told apart by 64-bit hashes.
 
 A null or empty text has no words and gets the score of a difference of 0. A null id is never learned from. Repeated rows
 are scored one by one; a document labelled both ways counts as toxic. Without labels of both classes every score is 0. An
@@ -26,21 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.staging import stage
-from frameloom.llm.textbytes import Words, annotate, mix, parts, sums_per_text
+from frameloom.llm.staging import bounded, stage
+from frameloom.llm.textbytes import _LOWER, Words, annotate, mix, parts, sums_per_text
 
 DISCOUNT = 0.75
-CLASS_DISCOUNT, DEVIATIONS = 2.0, 3.0
-ALONE = 1
-BACK = 0.5  # weight of the word behind what is left of a pair
+TELLING = 0.02  # share of expressions expected to differ from their next form
+ALONE, FOLDED = 1, 2  # in place of the word before
 PER_CLASS = 16_384
+_SYMBOL = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 class Model(NamedTuple):
-    words: np.ndarray  # sorted hashes of the words in which the classes differ
-    word_ratio: np.ndarray
-    pairs: np.ndarray  # the same of word pairs
-    pair_ratio: np.ndarray
+    keys: np.ndarray  # sorted hashes of pairs, words and folded words
+    ratio: np.ndarray
     slope: float
     shift: float
 
@@ -62,6 +63,19 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(0xD6E8FEB86659FD93) + w)
 
 
+def _folded(words: Words) -> np.ndarray:
+    """Hash of the folded form of each word; 0 for a word of symbols only."""
+    n, body = len(words.data), _LOWER[words.data]
+    solid, place = ~_SYMBOL[body], np.arange(n)
+    after = np.minimum.accumulate(np.where(solid, place, n)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(solid, place, -1))
+    a, b = after[words.starts], before[words.ends - 1] + 1
+    at = np.flatnonzero(a < words.ends)
+    out = np.zeros(len(a), dtype=np.uint64)
+    out[at] = Words(body, words.offsets).span(a[at], b[at])
+    return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, per_class: int, held_out_by: int) -> tuple[DataFrame, float]:
     """text and toxic of the sampled documents, stored; and the log of how much denser the toxic class was sampled."""
     learn = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder("doc_id", held_out_by) != 0))
@@ -76,80 +90,97 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, per_class
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and toxic texts that have a word (v is ``ALONE``) or a pair of words."""
+    """Texts and toxic texts that have a pair of words, a word (v is ``ALONE``; f is its folded form) or a folded word."""
     for batch in batches:
         toxic, at = batch.column(1).to_numpy(zero_copy_only=False), 0
         for words in parts(batch.column(0)):
-            h = words.hashes()
-            text = np.repeat(np.arange(len(words.bounds) - 1, dtype=np.uint64), np.diff(words.bounds))
-            for v in (np.full_like(h, ALONE), _before(h, words.bounds)):
-                key = _pair(v, h)
+            h, fold = words.hashes(), _folded(words)
+            every = np.repeat(np.arange(len(words.bounds) - 1, dtype=np.uint64), np.diff(words.bounds))
+            some, none = np.flatnonzero(fold), np.zeros_like(h)
+            for v, w, f, text in ((_before(h, words.bounds), h, none, every), (np.full_like(h, ALONE), h, fold, every),
+                                  (np.full_like(fold[some], FOLDED), fold[some], none[some], every[some])):
+                key = _pair(v, w)
                 _, first = np.unique(mix(key + text * np.uint64(0x9E3779B97F4A7C15)), return_index=True)  # once per text
                 own = toxic[at + text[first].astype(np.int64)]
                 _, head, place = np.unique(key[first], return_index=True, return_inverse=True)
                 t = np.bincount(place, weights=own, minlength=len(head)).astype(np.int64)
                 c = np.bincount(place, minlength=len(head)).astype(np.int64)
                 spot = first[head]
-                cols = [v[spot].astype(np.int64), h[spot].astype(np.int64), t, c]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["v", "w", "t", "c"])
+                cols = [v[spot].astype(np.int64), w[spot].astype(np.int64), f[spot].astype(np.int64), t, c]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["v", "w", "f", "t", "c"])
             at += len(words.bounds) - 1
 
 
-def _excess(t: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
-    """What the toxic count departs from its expected share, beyond the discount."""
-    off = t - c * share
-    return np.sign(off) * np.maximum(np.abs(off) - CLASS_DISCOUNT - DEVIATIONS * np.sqrt(c * share * (1 - share)), 0)
+def _toxic_given(t: Column, c: Column, above: Column) -> Column:
+    """Probability of the toxic class where t of c texts are toxic; ``above`` is that of the next form.
+
+    The discounted counts weigh as much as it is probable, by their likelihood with and without a share of their own (less
+    half a log for fitting it), that the expression differs from its next form. No count weighs nothing.
+    """
+    kinds = (t > 0).cast("int") + (c > t).cast("int")
+    own = (F.greatest(t - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * above) / c
+    gain = (F.when(t > 0, t * F.log(t / (c * above))).otherwise(0.0) + F.when(c > t, (c - t) * F.log((c - t) / (c * (1 - above)))).otherwise(0.0)
+            - F.log(c + 1.0) / 2)
+    tells = 1 / (1 + (1 - TELLING) / TELLING * F.exp(-gain))
+    return F.when(c > 0, above + tells * (own - above)).otherwise(above)
 
 
-def _log_ratio(shared: np.ndarray, excess: np.ndarray, n_toxic: np.ndarray, n_other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    floor = shared * 1e-3 + 1e-12
-    return np.maximum(shared + excess / n_toxic, floor), np.maximum(shared - excess / n_other, floor)
+def _known(share: float, *above: str) -> list[Column]:
+    """all, less_t and less_o: the toxic class by all texts, by all but one toxic and by all but one ordinary text."""
+    t, c = F.col("t"), F.col("c")
+    over = [F.coalesce(F.col(a), F.lit(share)) for a in above] or [F.lit(share)] * 3
+    return [_toxic_given(t, c, over[0]).alias("all"), _toxic_given(F.greatest(t - 1, F.lit(0)), F.greatest(c - 1, F.lit(0)), over[1]).alias("less_t"),
+            _toxic_given(t, F.greatest(c - 1, t), over[2]).alias("less_o")]
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v, w = (batch.column(i).to_numpy().astype(np.uint64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(_pair(v, w).astype(np.int64)), *(batch.column(i) for i in range(2, 5))], names=["key", "all", "less_t", "less_o"])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, held_out_by: int = 5) -> Model | None:
     """Count, compare and calibrate; None if a class has no text."""
     chosen, denser = sample(docs, labels, doc_id, text, per_class, held_out_by)
-    pairs = stage(chosen.select("text", "toxic").mapInArrow(_count, "v long, w long, t long, c long")
-                  .groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxic-pairs")
-    alone = F.col("v") == ALONE
-    words = stage(pairs.groupBy("w").agg(F.sum(F.when(alone, F.col("t"))).alias("t"), F.sum(F.when(alone, F.col("c"))).alias("c"),
-                                         F.count_if(~alone).alias("kinds")), "toxic-words")
-    total, toxic, kinds, types = words.agg(F.sum("c"), F.sum("t"), F.sum("kinds"), F.count("*")).first()
+    counts = stage(chosen.select("text", "toxic").mapInArrow(_count, "v long, w long, f long, t long, c long")
+                   .groupBy("v", "w").agg(F.max("f").alias("f"), F.sum("t").alias("t"), F.sum("c").alias("c")), "toxic-counts")
+    level = F.when(F.col("v").isin(ALONE, FOLDED), F.col("v")).otherwise(0)
+    total, toxic = counts.where(level == ALONE).agg(F.sum("c"), F.sum("t")).first()
     if not total or not 0 < toxic < total:
         return None
     share = toxic / total
+    names = ["all", "less_t", "less_o"]
+
+    def under(rows: DataFrame, table: DataFrame, by: str) -> DataFrame:
+        """``rows`` by the next form in ``table``, whose w is their ``by``."""
+        next_form = bounded(table.select(F.col("w").alias("w_next"), *[F.col(x).alias(f"{x}_next") for x in names]))
+        return rows.join(next_form, F.col(by) == F.col("w_next"), "left").select("v", "w", *_known(share, *[f"{x}_next" for x in names]))
+
+    folds = counts.where(level == FOLDED)
+    folds = stage(folds.select("v", "w", *_known(share)), "toxic-folds")
+    words = stage(under(counts.where(level == ALONE), folds, "f"), "toxic-words")
+    pairs = under(counts.where(level == 0), words, "w")
+    every = pairs.union(words).union(folds)
+    base = float(np.log(share / (1 - share)))
+    ratios = every.select("v", "w", *[(F.log(F.col(x) / (1 - F.col(x))) - base).cast("float").alias(x) for x in names])
+    found = ratios.mapInArrow(_keyed, "key long, all float, less_t float, less_o float").toArrow()  # the expressions of the sample
+    keys = found.column("key").to_numpy().astype(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    model = Model(keys, found.column("all").to_numpy()[order], 1.0, 0.0)
+    held = docs.sparkSession.sparkContext.broadcast((keys, *(found.column(x).to_numpy()[order] for x in names[1:])))
+
+    def measure():
+        own = held.value
+        tables = [Table(own[0], r) for r in own[1:]]
+        return lambda column: [pa.array(differences(column, t)) for t in tables]
 
-    def likely(t, c, kinds_of):
-        """Toxic and ordinary probability of words with these counts."""
-        shared = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * types * kinds_of / kinds) / total
-        return _log_ratio(shared, _excess(t, c, share), toxic, total - toxic)
-
-    def differ(df: DataFrame) -> DataFrame:
-        return df.where(F.abs(F.col("t") - F.col("c") * share) > CLASS_DISCOUNT + DEVIATIONS * F.sqrt(F.col("c") * (share * (1 - share))))
-
-    found = differ(words).select("w", "t", "c", "kinds").toArrow()
-    w, t, c, k = (found.column(i).to_numpy() for i in range(4))
-    p_t, p_o = likely(t, c, k)
-    word_keys, word_ratio = _in_order(w.astype(np.uint64), np.log(p_t / p_o))
-    odd = stage(differ(pairs.where(~alone)).select(F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("t").alias("t2"), F.col("c").alias("c2")), "toxic-odd")
-    context = words.select(F.col("w").alias("v2"), F.col("c").alias("n_v"))
-    both = odd.join(words, F.col("w2") == F.col("w")).join(context, "v2", "left").select("v2", "w2", "t2", "c2", "t", "c", "kinds", "n_v").toArrow()
-    v2, w2, t2, c2, t, c, k = (both.column(i).to_numpy() for i in range(7))
-    n_v = np.maximum(np.nan_to_num(both.column(7).to_numpy(zero_copy_only=False).astype(np.float64)), c2)
-    p_t, p_o = likely(t, c, k)
-    top_t, top_o = _log_ratio(c2 / n_v, _excess(t2, c2, share), n_v * share, n_v * (1 - share))
-    ratio = np.log((top_t + BACK * p_t) / (top_o + BACK * p_o))
-    model = Model(word_keys, word_ratio, *_in_order(_pair(v2.astype(np.uint64), w2.astype(np.uint64)), ratio), 1.0, 0.0)
-    scored = annotate(chosen, lambda: lambda column: [pa.array(differences(column, model))], "x double").select("x", "row.toxic").toArrow()
+    x = F.when(F.col("row.toxic") == 1, F.col("less_t")).otherwise(F.col("less_o")).alias("x")
+    scored = annotate(chosen, measure, "less_t double, less_o double").select(x, "row.toxic").toArrow()
     slope, shift = calibrate(scored.column(0).to_numpy(), scored.column(1).to_numpy())
     return model._replace(slope=slope, shift=shift - denser)
 
 
-def _in_order(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    return keys[order], values[order]
-
-
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve by Newton steps, with a weak pull towards 0 slope."""
     scale = float(x.std()) or 1.0
@@ -167,16 +198,17 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Table:
-    """Values of some 64-bit keys, 0 for all others."""
+    """Values of some 64-bit keys."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, self.values = keys, values
-        self.near = np.zeros(1 << 20, dtype=bool)
-        self.near[(keys >> np.uint64(44)).astype(np.int64)] = True
+        self.by = np.uint64(64 - min(26, max(16, len(keys).bit_length() + 2)))
+        self.near = np.zeros(1 << (64 - int(self.by)), dtype=bool)
+        self.near[(keys >> self.by).astype(np.int64)] = True
 
     def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the keys that are in the table, and their values."""
-        at = np.flatnonzero(self.near[(asked >> np.uint64(44)).astype(np.int64)])
+        at = np.flatnonzero(self.near[(asked >> self.by).astype(np.int64)])
         if not len(at):
             return at, np.zeros(0)
         spot = np.minimum(np.searchsorted(self.keys, asked[at]), len(self.keys) - 1)
@@ -184,16 +216,17 @@ class Table:
         return at[hit], self.values[spot[hit]]
 
 
-def differences(column: pa.Array, model: Model) -> np.ndarray:
+def differences(column: pa.Array, table: Table) -> np.ndarray:
     """Toxic less ordinary log-likelihood per word of every text."""
     out = []
-    word, pair = Table(model.words, model.word_ratio), Table(model.pairs, model.pair_ratio)
     for words in parts(column):
-        h = words.hashes()
-        value = np.zeros(len(h))
-        for table, keys in ((word, h), (pair, _pair(_before(h, words.bounds), h))):
-            at, found = table.find(keys)
-            value[at] = found
+        h, value = words.hashes(), np.zeros(len(words.starts))
+        left = np.arange(len(h))
+        for v, w in ((_before(h, words.bounds), h), (np.full_like(h, ALONE), h), (np.full_like(h, FOLDED), None)):
+            w = _folded(words) if w is None else w
+            at, found = table.find(_pair(v[left], w[left]))
+            value[left[at]] = found
+            left = np.delete(left, at)
         out.append(sums_per_text(value, words.bounds) / np.maximum(np.diff(words.bounds), 1))
     return np.concatenate(out) if out else np.zeros(0)
 
@@ -202,11 +235,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """``row`` and ``score`` of every document."""
     if model is None:
         return annotate(docs, lambda: lambda column: [pa.array(np.zeros(len(column)))], "score double", text)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def measure():
         own = Model(*held.value)
-        return lambda column: [pa.array(1 / (1 + np.exp(-np.clip(own.slope * differences(column, own) + own.shift, -30, 30))))]
+        table = Table(own.keys, own.ratio)
+        return lambda column: [pa.array(1 / (1 + np.exp(-np.clip(own.slope * differences(column, table) + own.shift, -30, 30))))]
 
     return annotate(docs, measure, "score double", text)
 

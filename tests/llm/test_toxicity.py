@@ -1,11 +1,12 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from conftest import make, sentence
 from pyspark.sql import functions as F
 
-from frameloom.llm.toxicity import keep_civil, remainder, score, train
+from frameloom.llm.toxicity import Table, _known, _toxic_given, differences, keep_civil, remainder, score, train
 
 RUDE = ["zonk", "blarg", "frump"]
 
@@ -60,3 +61,23 @@ def test_toxic_documents_go(marked):
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert len([i for i in ids if i % 8 == 0]) <= 3 and len([i for i in ids if i % 8]) >= 430
+
+
+def test_rare_and_folded_forms_count(spark):
+    rng = random.Random(4)
+    words = ["the", "of", "and"] + [f"w{i}" for i in range(300)]
+    rows = [(i, sentence(rng, 60, words) + (f" Scum*** w{i}" if i in (8, 16, 24, 32, 48, 56) else ""), "en", "a") for i in range(400)]
+    model = train(make(spark, rows), spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(400)], "doc_id long, quality int, toxic int"))
+    table = Table(model.keys, model.ratio)
+    scum, other, never, symbols, empty = differences(pa.array(["Scum***", "(SCUM!", "qqq", "!!!", None]), table)
+    assert scum > 0.5 and other > 0.5 and never == symbols == empty == 0
+
+
+def test_counts_back_off_and_leave_out_the_text_itself(spark):
+    one = spark.createDataFrame([(3, 3, 0.2), (0, 1, 0.2), (1, 1, 0.2), (2, 5, 0.2), (0, 0, 0.2)], "t long, c long, up double")
+    got = [r["p"] for r in one.select(_toxic_given(F.col("t"), F.col("c"), F.col("up")).alias("p")).collect()]
+    for p, own in zip(got, [(2.25 + 0.15) / 3, 0.15, 0.25 + 0.15, (1.25 + 1.5 * 0.2) / 5, 0.2], strict=True):
+        assert p == own == 0.2 or min(own, 0.2) < p < max(own, 0.2)  # between the next form and the discounted counts
+    assert 0.5 < got[0] and got[1] < 0.2 < got[2]
+    left = one.select(*_known(0.2)).collect()
+    assert left[2]["less_t"] == left[1]["less_o"] == pytest.approx(0.2)
