@@ -20,6 +20,7 @@ An empty table gives an empty result. Sets are identified by 64-bit hashes.
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.components import components
 from frameloom.llm.staging import bounded, keep_row, stage
-from frameloom.llm.textbytes import Words, mix, parts
+from frameloom.llm.textbytes import Words, annotate, mix, parts
 
 #: Sets in one chunk of a group; a task holds the texts of two chunks.
 CHUNK = 96
@@ -332,6 +333,11 @@ def linked(groups: DataFrame, size: int, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, spread: float = 1.3, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other documents linked with it) of every document."""
+    return _joined(docs, doc_id, text, size, percent, spread, chunk).drop("node")
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, spread: float, chunk: int) -> DataFrame:
+    """The columns of ``join`` and node, null where there are no words."""
     rows = stage(signed(docs, doc_id, text, size, percent, spread), "signed")
     ids = rows.where("first").select("doc_id", "node", "n")
     nodes = stage(ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "nodes")
@@ -359,19 +365,33 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     return ids.join(final, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "node",
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def _nodes(size: int):
+    """Node of every text; null where there are no words."""
+
+    def derive(column: pa.Array) -> list[pa.Array]:
+        out = []
+        for words in parts(column, lower=True):
+            tokens, starts = token_sets(words, size)
+            out.extend(node_of(tokens[a:b]) if b > a else None for a, b in itertools.pairwise(starts))
+        return [pa.array(out, pa.int64())]
+
+    return derive
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, spread: float = 1.3, chunk: int = CHUNK) -> DataFrame:
     """One document of each component, the one with the least id, with its columns as it came.
 
-    Documents without words or without an id all stay.
+    Documents without words or without an id all stay. An id stays once, of several texts under it one;
+    that is a text that represents its component, not a near copy of another id's.
     """
-    found = join(docs, doc_id, **options)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    stay = stay.select(F.col("doc_id").alias("stays"), F.col("n_shingles").alias("n"))
-    rows = keep_row(docs, F.col(f"`{doc_id}`").cast("long").alias("key"))
-    kept = rows.join(stay, F.col("key").eqNullSafe(F.col("stays")))
-    several = (F.col("n") == 0) | F.col("key").isNull()
-    return kept.where(~several).dropDuplicates(["key"]).union(kept.where(several)).select("row.*")
+    found = _joined(docs, doc_id, text, size, percent, spread, chunk)
+    stay = found.where(F.col("node").isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.min("node").alias("stays"))
+    rows = keep_row(docs, F.col(f"`{doc_id}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = annotate(rows, lambda: _nodes(size), "node long").select("row.row", "row.key", "node")
+    several = F.col("node").isNull() | F.col("key").isNull()
+    kept = rows.where(~several).join(stay, (F.col("key") == F.col("doc_id")) & (F.col("node") == F.col("stays")))
+    return kept.dropDuplicates(["key"]).select("row.*").union(rows.where(several).select("row.*"))

@@ -66,3 +66,12 @@ def test_empty_and_blank(spark, none):
     blank = make(spark, [(1, None, "en", "a"), (2, " ", "en", "a"), (3, "", "en", "a")])
     assert sorted(tuple(r) for r in join(blank).collect()) == [(1, 0, 1, 0), (2, 0, 2, 0), (3, 0, 3, 0)]
     assert keep_one(blank).count() == 3
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_an_id_on_two_texts_stays_with_the_one_that_is_its_own(spark, swap):
+    near, own = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
+    two = [(5, near + " end", "en", "a"), (5, own, "en", "a")]
+    docs = make(spark, [(3, near, "en", "a"), *(two[::-1] if swap else two), (7, None, "en", "a")]).coalesce(1)
+    got = keep_one(docs, size=5, percent=80).select("doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, near), (5, own), (7, None)]
