@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm import checks_sql as sql
 from frameloom.llm import (
+    ball_codes,
     importance,
     language_id,
     mixing,
@@ -102,3 +103,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(toxicity.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     found = language_id.identify(docs.select("doc_id", "text"), field).select("row.doc_id", "lang_pred", "score")
     return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+@query("op13_ball_codes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.encode(table(spark, sf_dir, "embeddings"))

@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from frameloom.session import scratch_path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` below the shared scratch folder and return a reader of it."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stage_path = path
+    return stored
+
+
+def discard(*stages: DataFrame) -> None:
+    """Remove tables that ``stage`` returned, once what was made of them is stored and nothing will read them again."""
+    for stored in stages:
+        context = stored.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(stored.stage_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep_row(df: DataFrame, *derived):
