@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from frameloom.llm import checks_sql as sql
 from frameloom.llm import (
     ball_codes,
+    graph_search,
     importance,
     language_id,
     mixing,
@@ -108,3 +109,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_ball_codes")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_graph_search")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = graph_search.search(graph_search.index(rows), rows.where("vec_id % 50 = 0"))
+    return found.select("query_id", "rank", "vec_id", "score")
