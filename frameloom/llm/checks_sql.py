@@ -55,3 +55,29 @@ select doc_id, size, source_size, target, (size * (rounds + case when extra then
 from d join u on d.source is not distinct from u.source
 join cut on cut.source is not distinct from d.source and cut.h = d.h
 """
+
+PHRASES = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws
+    from documents),
+grams as (
+    select lang, m, array_to_string(ws[i:i + m - 1], ' ') as phrase
+    from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from pieces, (values (1), (2), (3)) as t(m))),
+f as (select lang, m, phrase, count(*) as f from grams group by all),
+n as (select lang, sum(f) as n from f where m = 1 group by lang),
+cuts as (
+    select lang, m, phrase, f as a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') as lp, array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') as rp
+    from f, (values (1), (2)) as t(k) where m > k and f >= 10),
+scored as (
+    select c.*, x.f as l, y.f as r, 1000000::hugeint * a * a // (x.f::hugeint * y.f) as score
+    from cuts c join f x on x.lang = c.lang and x.phrase = c.lp join f y on y.lang = c.lang and y.phrase = c.rp),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+outer_f as (
+    select lang, sub, max(f) as o from (
+        select lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) as sub
+        from f where m = 3 and f >= 10) group by all),
+kept as (select b.* from best b left join outer_f o on o.lang = b.lang and o.sub = b.phrase where o.o is null or 100 * o.o < 50 * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select r.lang, rank, phrase, a, l, r, cast(n.n as bigint) as n, cast(score as bigint) as score from ranked r join n on n.lang = r.lang where rank <= 2000
+"""

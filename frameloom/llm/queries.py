@@ -16,6 +16,7 @@ from frameloom.llm import (
     mixing,
     ngram_join,
     packing,
+    phrase_mining,
     pseudo_likelihood,
     quality_rules,
     topk_search,
@@ -116,3 +117,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     found = graph_search.search(graph_search.index(rows), rows.where("vec_id % 50 = 0"))
     return found.select("query_id", "rank", "vec_id", "score")
+
+
+@query("op11_phrase_mining", sql.PHRASES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))

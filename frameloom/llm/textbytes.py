@@ -75,7 +75,7 @@ class Words:
         return self.span(self.starts, self.ends)
 
 
-def parts(column: pa.Array, lower: bool = False) -> Iterator[Words]:
+def parts(column: pa.Array, lower: bool = False, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
     """The texts of a string column in order, as groups of bounded size; null counts as empty."""
     column = column.fill_null("")
     if not len(column):
@@ -86,7 +86,7 @@ def parts(column: pa.Array, lower: bool = False) -> Iterator[Words]:
     data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + slice_bytes, side="right")) - 1)
         j = min(j, len(column))
         part = data[offsets[i]: offsets[j]]
         yield Words(_LOWER[part] if lower else part, offsets[i: j + 1] - offsets[i])
