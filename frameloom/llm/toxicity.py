@@ -10,9 +10,11 @@ equal texts of the sample count as one, so that neither a repeated line nor a gr
 score is the difference of the two log-likelihoods per word, mapped to 0..1 by a logistic curve fitted to the same labelled
 texts, each by the counts of all others.
 
-The models learn from a sample of labelled documents, at most about ``per_class`` of each class, chosen by a hash of the id;
-the ratios of all their expressions, so many as the sample has, reach the driver and are broadcast to the tasks that score,
-each of which holds one batch of texts. Only the sampled ids are broadcast to find their texts. Words are told apart by 64-bit hashes.
+The models learn from a sample of labelled documents, at most about ``per_class`` of each class, chosen by a hash of the id.
+Words are told apart by 64-bit hashes and numbered by them, so that a pair is one long of two numbers; pairs are counted by
+Spark and packed by the tasks that hold them (sorted, differences, byte planes, deflated), about three bytes each. No expression
+is left out. The packed model, so large as the sample has expressions, passes through the driver and is broadcast; a worker
+unpacks it once. Only the sampled ids are broadcast to find their texts.
 
 A null or empty text has no words and gets the score of a difference of 0. A null id is never learned from. Repeated rows
 are scored one by one; a document labelled both ways counts as toxic. Without labels of both classes every score is 0. An
@@ -21,15 +23,16 @@ empty table gives an empty result, and further columns travel in ``row``.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.staging import bounded, stage
+from frameloom.llm.staging import bounded, discard, stage
 from frameloom.llm.textbytes import _LOWER, Words, annotate, mix, parts, sums_per_text
 
 DISCOUNT = 0.75
@@ -39,11 +42,62 @@ PER_CLASS = 16_384
 _SYMBOL = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-class Model(NamedTuple):
-    keys: np.ndarray  # sorted hashes of pairs, words and folded words
-    ratio: np.ndarray
-    slope: float
-    shift: float
+def packed(values: np.ndarray) -> bytes:
+    """Integers or floats by byte planes, deflated; sorted integers as differences."""
+    if values.dtype == np.uint64:
+        values = np.diff(values, prepend=np.uint64(0))
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes(), 1)
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(wide, -1).T).view(kind).reshape(-1)
+    return np.cumsum(values, dtype=np.uint64) if kind is np.uint64 else values
+
+
+class Model:
+    """Packed counts of the sample's expressions and the curve that turns a difference into a score."""
+
+    def __init__(self, words: list[bytes], folds: list[bytes], pairs: list[list[bytes]], share: float):
+        self.words, self.folds = words, folds  # sorted hashes; all, less_t and less_o of ``_known``
+        self.pairs = pairs  # per task: numbers of both words in one long; texts and toxic texts that have the pair
+        self.share, self.slope, self.shift, self.name = share, 1.0, 0.0, uuid.uuid4().hex
+
+    def tables(self, *forms: int) -> list[Table]:
+        """Ratios of all expressions by the given forms: 0 all texts, 1 less a toxic and 2 less an ordinary one."""
+        base = np.log(self.share / (1 - self.share))
+        words, folds = unpacked(self.words[0], np.uint64), unpacked(self.folds[0], np.uint64)
+        pairs = np.concatenate([unpacked(p[0], np.uint64) for p in self.pairs] or [np.zeros(0, np.uint64)])
+        t, c = (np.concatenate([unpacked(p[i], np.int32) for p in self.pairs] or [np.zeros(0, np.int32)]).astype(np.float64) for i in (1, 2))
+        v, w = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        before = np.append(words, np.uint64(0))[v.astype(np.int64)]  # the beginning of a text has the number after the last word
+        keys = np.concatenate([_pair(before, words[w]), _pair(np.full_like(words, ALONE), words), _pair(np.full_like(folds, FOLDED), folds)])
+        order = np.argsort(keys)
+        out = []
+        for form in forms:
+            above = unpacked(self.words[1 + form], np.float32).astype(np.float64)
+            p = np.concatenate([_less(t, c, form, above[w]), above, unpacked(self.folds[1 + form], np.float32)])
+            out.append(Table(keys[order], (np.log(p / (1 - p)) - base).astype(np.float32)[order]))
+        return out
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self.tables(0)[0].keys
+
+    @property
+    def ratio(self) -> np.ndarray:
+        return self.tables(0)[0].values
+
+
+_held: dict[tuple, list[Table]] = {}
+
+
+def _unpacked_once(model: Model, *forms: int) -> list[Table]:
+    """The tables of a model, kept by the worker for its next tasks."""
+    if (model.name, forms) not in _held:
+        _held.clear()
+        _held[model.name, forms] = model.tables(*forms)
+    return _held[model.name, forms]
 
 
 def remainder(doc_id: str, by: int) -> Column:
@@ -89,96 +143,136 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, per_class
     return stage(texts, "toxic-sample"), float(np.log(rate[1] / rate[0]))
 
 
+def _once(key: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of each distinct key, and in how many toxic and how many texts it is."""
+    _, first = np.unique(mix(key + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)  # once per text
+    _, head, place = np.unique(key[first], return_index=True, return_inverse=True)
+    t = np.bincount(place, weights=toxic[text[first]], minlength=len(head)).astype(np.int64)
+    return first[head], t, np.bincount(place, minlength=len(head)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and toxic texts that have a pair of words, a word (v is ``ALONE``; f is its folded form) or a folded word."""
+    """Texts and toxic texts that have a word (v is ``ALONE``; f is its folded form) or a folded word."""
     for batch in batches:
         toxic, at = batch.column(1).to_numpy(zero_copy_only=False), 0
         for words in parts(batch.column(0)):
             h, fold = words.hashes(), _folded(words)
-            every = np.repeat(np.arange(len(words.bounds) - 1, dtype=np.uint64), np.diff(words.bounds))
-            some, none = np.flatnonzero(fold), np.zeros_like(h)
-            for v, w, f, text in ((_before(h, words.bounds), h, none, every), (np.full_like(h, ALONE), h, fold, every),
-                                  (np.full_like(fold[some], FOLDED), fold[some], none[some], every[some])):
-                key = _pair(v, w)
-                _, first = np.unique(mix(key + text * np.uint64(0x9E3779B97F4A7C15)), return_index=True)  # once per text
-                own = toxic[at + text[first].astype(np.int64)]
-                _, head, place = np.unique(key[first], return_index=True, return_inverse=True)
-                t = np.bincount(place, weights=own, minlength=len(head)).astype(np.int64)
-                c = np.bincount(place, minlength=len(head)).astype(np.int64)
-                spot = first[head]
-                cols = [v[spot].astype(np.int64), w[spot].astype(np.int64), f[spot].astype(np.int64), t, c]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["v", "w", "f", "t", "c"])
+            every = at + np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+            some = np.flatnonzero(fold)
+            for v, w, f, text in ((ALONE, h, fold, every), (FOLDED, fold[some], np.zeros(len(some), np.uint64), every[some])):
+                spot, t, c = _once(w, text, toxic)
+                cols = [pa.array(np.full(len(spot), v, dtype=np.int64)), pa.array(w[spot].astype(np.int64)), pa.array(f[spot].astype(np.int64)), pa.array(t), pa.array(c)]
+                yield pa.RecordBatch.from_arrays(cols, names=["v", "w", "f", "t", "c"])
             at += len(words.bounds) - 1
 
 
-def _toxic_given(t: Column, c: Column, above: Column) -> Column:
-    """Probability of the toxic class where t of c texts are toxic; ``above`` is that of the next form.
+def _count_pairs(held):
+    """Texts and toxic texts that have a pair of numbered words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = unpacked(held.value, np.uint64)
+        for batch in batches:
+            toxic, at = batch.column(1).to_numpy(zero_copy_only=False), 0
+            for words in parts(batch.column(0)):
+                distinct, place = np.unique(words.hashes(), return_inverse=True)
+                own = np.searchsorted(known, distinct)[place].astype(np.uint64)
+                before = np.append(np.uint64(len(known)), own[:-1])[: len(own)]
+                before[words.bounds[:-1][words.bounds[:-1] < len(own)]] = len(known)
+                key = (before << np.uint64(32)) + own
+                spot, t, c = _once(key, at + np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds)), toxic)
+                yield pa.RecordBatch.from_arrays([pa.array(key[spot].astype(np.int64)), pa.array(t + (c << 32))], names=["key", "n"])
+                at += len(words.bounds) - 1
+
+    return run
+
+
+def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if found:
+        key, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(key)
+        n = n[order]
+        blobs = [packed(key[order].astype(np.uint64)), packed((n & 0xFFFFFFFF).astype(np.int32)), packed((n >> 32).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=["key", "t", "c"])
+
+
+def _choose(test, yes, no):
+    return F.when(test, yes).otherwise(no) if isinstance(test, Column) else np.where(test, yes, no)
+
+
+def _toxic_given(t, c, above):
+    """Probability of the toxic class where t of c texts are toxic; ``above`` is that of the next form. Columns or arrays.
 
     The discounted counts weigh as much as it is probable, by their likelihood with and without a share of their own (less
     half a log for fitting it), that the expression differs from its next form. No count weighs nothing.
     """
-    kinds = (t > 0).cast("int") + (c > t).cast("int")
-    own = (F.greatest(t - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * above) / c
-    gain = (F.when(t > 0, t * F.log(t / (c * above))).otherwise(0.0) + F.when(c > t, (c - t) * F.log((c - t) / (c * (1 - above)))).otherwise(0.0)
-            - F.log(c + 1.0) / 2)
-    tells = 1 / (1 + (1 - TELLING) / TELLING * F.exp(-gain))
-    return F.when(c > 0, above + tells * (own - above)).otherwise(above)
+    log, exp = (F.log, F.exp) if isinstance(t, Column) else (np.log, np.exp)
+    kinds = _choose(t > 0, 1, 0) + _choose(c > t, 1, 0)
+    some, many = _choose(t > 0, t, 1), _choose(c > 0, c, 1)  # no logarithm of 0, no quotient by 0
+    rest = _choose(c > t, c - t, 1)
+    own = (_choose(t > DISCOUNT, t - DISCOUNT, 0.0) + DISCOUNT * kinds * above) / many
+    gain = (_choose(t > 0, t * log(some / (many * above)), 0.0) + _choose(c > t, (c - t) * log(rest / (many * (1 - above))), 0.0) - log(c + 1.0) / 2)
+    tells = 1 / (1 + (1 - TELLING) / TELLING * exp(-gain))
+    return _choose(c > 0, above + tells * (own - above), above)
 
 
-def _known(share: float, *above: str) -> list[Column]:
-    """all, less_t and less_o: the toxic class by all texts, by all but one toxic and by all but one ordinary text."""
-    t, c = F.col("t"), F.col("c")
-    over = [F.coalesce(F.col(a), F.lit(share)) for a in above] or [F.lit(share)] * 3
-    return [_toxic_given(t, c, over[0]).alias("all"), _toxic_given(F.greatest(t - 1, F.lit(0)), F.greatest(c - 1, F.lit(0)), over[1]).alias("less_t"),
-            _toxic_given(t, F.greatest(c - 1, t), over[2]).alias("less_o")]
+def _less(t, c, form: int, above):
+    """The toxic class by all texts (0), by all but one toxic (1) and by all but one ordinary text (2)."""
+    if form == 1:
+        t, c = _choose(t > 0, t - 1, 0), _choose(c > 0, c - 1, 0)
+    elif form == 2:
+        c = _choose(c > t, c - 1, t)
+    return _toxic_given(t, c, above)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        v, w = (batch.column(i).to_numpy().astype(np.uint64) for i in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(_pair(v, w).astype(np.int64)), *(batch.column(i) for i in range(2, 5))], names=["key", "all", "less_t", "less_o"])
+def _known(share: float, *above: str) -> list[Column]:
+    """all, less_t and less_o of the counts t and c, by the next form's."""
+    over = [F.coalesce(F.col(a), F.lit(share)) for a in above] or [F.lit(share)] * 3
+    return [_less(F.col("t"), F.col("c"), form, over[form]).alias(name) for form, name in enumerate(("all", "less_t", "less_o"))]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, held_out_by: int = 5) -> Model | None:
     """Count, compare and calibrate; None if a class has no text."""
     chosen, denser = sample(docs, labels, doc_id, text, per_class, held_out_by)
+    spark = docs.sparkSession
     counts = stage(chosen.select("text", "toxic").mapInArrow(_count, "v long, w long, f long, t long, c long")
                    .groupBy("v", "w").agg(F.max("f").alias("f"), F.sum("t").alias("t"), F.sum("c").alias("c")), "toxic-counts")
-    level = F.when(F.col("v").isin(ALONE, FOLDED), F.col("v")).otherwise(0)
-    total, toxic = counts.where(level == ALONE).agg(F.sum("c"), F.sum("t")).first()
+    total, toxic = counts.where(F.col("v") == ALONE).agg(F.sum("c"), F.sum("t")).first()
     if not total or not 0 < toxic < total:
         return None
     share = toxic / total
     names = ["all", "less_t", "less_o"]
-
-    def under(rows: DataFrame, table: DataFrame, by: str) -> DataFrame:
-        """``rows`` by the next form in ``table``, whose w is their ``by``."""
-        next_form = bounded(table.select(F.col("w").alias("w_next"), *[F.col(x).alias(f"{x}_next") for x in names]))
-        return rows.join(next_form, F.col(by) == F.col("w_next"), "left").select("v", "w", *_known(share, *[f"{x}_next" for x in names]))
-
-    folds = counts.where(level == FOLDED)
-    folds = stage(folds.select("v", "w", *_known(share)), "toxic-folds")
-    words = stage(under(counts.where(level == ALONE), folds, "f"), "toxic-words")
-    pairs = under(counts.where(level == 0), words, "w")
-    every = pairs.union(words).union(folds)
-    base = float(np.log(share / (1 - share)))
-    ratios = every.select("v", "w", *[(F.log(F.col(x) / (1 - F.col(x))) - base).cast("float").alias(x) for x in names])
-    found = ratios.mapInArrow(_keyed, "key long, all float, less_t float, less_o float").toArrow()  # the expressions of the sample
-    keys = found.column("key").to_numpy().astype(np.uint64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    model = Model(keys, found.column("all").to_numpy()[order], 1.0, 0.0)
-    held = docs.sparkSession.sparkContext.broadcast((keys, *(found.column(x).to_numpy()[order] for x in names[1:])))
+    folds = stage(counts.where(F.col("v") == FOLDED).select("w", *_known(share)), "toxic-folds")
+    next_form = bounded(folds.select(F.col("w").alias("w_next"), *[F.col(x).alias(f"{x}_next") for x in names]))
+    words = (counts.where(F.col("v") == ALONE).join(next_form, F.col("f") == F.col("w_next"), "left")
+             .select("w", *_known(share, *[f"{x}_next" for x in names])))
+
+    def taken(rows: DataFrame) -> list[bytes]:
+        """Hashes and ratios of the words of the sample, sorted and packed."""
+        found = rows.select("w", *[F.col(x).cast("float").alias(x) for x in names]).toArrow()
+        keys = found.column("w").to_numpy().astype(np.uint64)
+        order = np.argsort(keys)
+        return [packed(keys[order]), *(packed(found.column(x).to_numpy()[order]) for x in names)]
+
+    word_blobs, fold_blobs = taken(words), taken(folds)
+    discard(counts, folds)
+    numbers = spark.sparkContext.broadcast(word_blobs[0])
+    pairs = chosen.select("text", "toxic").mapInArrow(_count_pairs(numbers), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = pairs.mapInArrow(_pack_pairs, "key binary, t binary, c binary").collect()  # a few bytes for each pair of the sample
+    numbers.destroy()
+    model = Model(word_blobs, fold_blobs, [list(r) for r in found], share)
+    held = spark.sparkContext.broadcast(model)
 
     def measure():
-        own = held.value
-        tables = [Table(own[0], r) for r in own[1:]]
+        tables = _unpacked_once(held.value, 1, 2)
         return lambda column: [pa.array(differences(column, t)) for t in tables]
 
     x = F.when(F.col("row.toxic") == 1, F.col("less_t")).otherwise(F.col("less_o")).alias("x")
     scored = annotate(chosen, measure, "less_t double, less_o double").select(x, "row.toxic").toArrow()
-    slope, shift = calibrate(scored.column(0).to_numpy(), scored.column(1).to_numpy())
-    return model._replace(slope=slope, shift=shift - denser)
+    model.slope, shift = calibrate(scored.column(0).to_numpy(), scored.column(1).to_numpy())
+    model.shift, model.held = shift - denser, held
+    discard(chosen)
+    return model
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -235,12 +329,11 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """``row`` and ``score`` of every document."""
     if model is None:
         return annotate(docs, lambda: lambda column: [pa.array(np.zeros(len(column)))], "score double", text)
-    held = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    held, slope, shift = model.held, model.slope, model.shift
 
     def measure():
-        own = Model(*held.value)
-        table = Table(own.keys, own.ratio)
-        return lambda column: [pa.array(1 / (1 + np.exp(-np.clip(own.slope * differences(column, table) + own.shift, -30, 30))))]
+        table, = _unpacked_once(held.value, 0)
+        return lambda column: [pa.array(1 / (1 + np.exp(-np.clip(slope * differences(column, table) + shift, -30, 30))))]
 
     return annotate(docs, measure, "score double", text)
 
