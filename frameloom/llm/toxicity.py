@@ -23,6 +23,7 @@ empty table gives an empty result, and further columns travel in ``row``.
 
 from __future__ import annotations
 
+import copy
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -67,17 +68,24 @@ class Model:
         """Ratios of all expressions by the given forms: 0 all texts, 1 less a toxic and 2 less an ordinary one."""
         base = np.log(self.share / (1 - self.share))
         words, folds = unpacked(self.words[0], np.uint64), unpacked(self.folds[0], np.uint64)
-        pairs = np.concatenate([unpacked(p[0], np.uint64) for p in self.pairs] or [np.zeros(0, np.uint64)])
-        t, c = (np.concatenate([unpacked(p[i], np.int32) for p in self.pairs] or [np.zeros(0, np.int32)]).astype(np.float64) for i in (1, 2))
-        v, w = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        before = np.append(words, np.uint64(0))[v.astype(np.int64)]  # the beginning of a text has the number after the last word
-        keys = np.concatenate([_pair(before, words[w]), _pair(np.full_like(words, ALONE), words), _pair(np.full_like(folds, FOLDED), folds)])
+        before = np.append(words, np.uint64(0))  # the beginning of a text has the number after the last word
+        above = [unpacked(self.words[1 + form], np.float32) for form in forms]
+        keys = [_pair(np.full_like(words, ALONE), words), _pair(np.full_like(folds, FOLDED), folds)]
+        given = [[p, unpacked(self.folds[1 + form], np.float32)] for form, p in zip(forms, above, strict=True)]
+        for key, toxic, texts in self.pairs:  # one task's at a time
+            pairs, t, c = unpacked(key, np.uint64), unpacked(toxic, np.int32).astype(np.float32), unpacked(texts, np.int32).astype(np.float32)
+            w = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            keys.append(_pair(before[(pairs >> np.uint64(32)).astype(np.int64)], words[w]))
+            for out, form, p in zip(given, forms, above, strict=True):
+                out.append(_less(t, c, form, p[w]).astype(np.float32))
+        keys = np.concatenate(keys)
         order = np.argsort(keys)
+        table = Table(keys[order], None)
+        del keys
         out = []
-        for form in forms:
-            above = unpacked(self.words[1 + form], np.float32).astype(np.float64)
-            p = np.concatenate([_less(t, c, form, above[w]), above, unpacked(self.folds[1 + form], np.float32)])
-            out.append(Table(keys[order], (np.log(p / (1 - p)) - base).astype(np.float32)[order]))
+        for p in given:
+            p = np.concatenate(p)[order]
+            out.append(table.valued((np.log(p / (1 - p)) - np.float32(base)).astype(np.float32)))
         return out
 
     @property
@@ -300,6 +308,12 @@ class Table:
         self.near = np.zeros(1 << (64 - int(self.by)), dtype=bool)
         self.near[(keys >> self.by).astype(np.int64)] = True
 
+    def valued(self, values: np.ndarray) -> Table:
+        """Other values of the same keys."""
+        other = copy.copy(self)
+        other.values = values
+        return other
+
     def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the keys that are in the table, and their values."""
         at = np.flatnonzero(self.near[(asked >> self.by).astype(np.int64)])
