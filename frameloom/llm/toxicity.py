@@ -59,34 +59,39 @@ def unpacked(blob: bytes, kind: type) -> np.ndarray:
 class Model:
     """Packed counts of the sample's expressions and the curve that turns a difference into a score."""
 
-    def __init__(self, words: list[bytes], folds: list[bytes], pairs: list[list[bytes]], share: float):
+    def __init__(self, words: list[bytes], folds: list[bytes], pairs: list[tuple], share: float):
         self.words, self.folds = words, folds  # sorted hashes; all, less_t and less_o of ``_known``
-        self.pairs = pairs  # per task: numbers of both words in one long; texts and toxic texts that have the pair
+        self.pairs = pairs  # per task: numbers of both words in one long, toxic texts and texts that have the pair; how many pairs
         self.share, self.slope, self.shift, self.name = share, 1.0, 0.0, uuid.uuid4().hex
 
     def tables(self, *forms: int) -> list[Table]:
         """Ratios of all expressions by the given forms: 0 all texts, 1 less a toxic and 2 less an ordinary one."""
-        base = np.log(self.share / (1 - self.share))
+        base = np.float32(np.log(self.share / (1 - self.share)))
         words, folds = unpacked(self.words[0], np.uint64), unpacked(self.folds[0], np.uint64)
         before = np.append(words, np.uint64(0))  # the beginning of a text has the number after the last word
         above = [unpacked(self.words[1 + form], np.float32) for form in forms]
-        keys = [_pair(np.full_like(words, ALONE), words), _pair(np.full_like(folds, FOLDED), folds)]
-        given = [[p, unpacked(self.folds[1 + form], np.float32)] for form, p in zip(forms, above, strict=True)]
-        for key, toxic, texts in self.pairs:  # one task's at a time
+        n = len(words) + len(folds) + sum(p[3] for p in self.pairs)
+        keys, given = np.empty(n, dtype=np.uint64), [np.empty(n, dtype=np.float32) for _ in forms]
+
+        def put(at: int, key: np.ndarray, *p: np.ndarray) -> int:
+            keys[at: at + len(key)] = key
+            for out, x in zip(given, p, strict=True):
+                out[at: at + len(key)] = np.log(x / (1 - x)) - base
+            return at + len(key)
+
+        at = put(0, _pair(np.full_like(words, ALONE), words), *above)
+        at = put(at, _pair(np.full_like(folds, FOLDED), folds), *(unpacked(self.folds[1 + form], np.float32) for form in forms))
+        for key, toxic, texts, _ in self.pairs:  # one task's at a time
             pairs, t, c = unpacked(key, np.uint64), unpacked(toxic, np.int32).astype(np.float32), unpacked(texts, np.int32).astype(np.float32)
             w = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            keys.append(_pair(before[(pairs >> np.uint64(32)).astype(np.int64)], words[w]))
-            for out, form, p in zip(given, forms, above, strict=True):
-                out.append(_less(t, c, form, p[w]).astype(np.float32))
-        keys = np.concatenate(keys)
+            at = put(at, _pair(before[(pairs >> np.uint64(32)).astype(np.int64)], words[w]), *(_less(t, c, form, p[w]) for form, p in zip(forms, above, strict=True)))
         order = np.argsort(keys)
-        table = Table(keys[order], None)
-        del keys
-        out = []
-        for p in given:
-            p = np.concatenate(p)[order]
-            out.append(table.valued((np.log(p / (1 - p)) - np.float32(base)).astype(np.float32)))
-        return out
+        keys = keys[order]
+        for i, x in enumerate(given):
+            given[i] = x[order]
+        del order
+        table = Table(keys, None)
+        return [table.valued(x) for x in given]
 
     @property
     def keys(self) -> np.ndarray:
@@ -201,7 +206,7 @@ def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key)
         n = n[order]
         blobs = [packed(key[order].astype(np.uint64)), packed((n & 0xFFFFFFFF).astype(np.int32)), packed((n >> 32).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], names=["key", "t", "c"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([b], pa.binary()) for b in blobs), pa.array([len(key)])], names=["key", "t", "c", "pairs"])
 
 
 def _choose(test, yes, no):
@@ -266,9 +271,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     discard(counts, folds)
     numbers = spark.sparkContext.broadcast(word_blobs[0])
     pairs = chosen.select("text", "toxic").mapInArrow(_count_pairs(numbers), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = pairs.mapInArrow(_pack_pairs, "key binary, t binary, c binary").collect()  # a few bytes for each pair of the sample
+    found = pairs.mapInArrow(_pack_pairs, "key binary, t binary, c binary, pairs long").collect()  # a few bytes for each pair of the sample
     numbers.destroy()
-    model = Model(word_blobs, fold_blobs, [list(r) for r in found], share)
+    model = Model(word_blobs, fold_blobs, [tuple(r) for r in found], share)
     held = spark.sparkContext.broadcast(model)
 
     def measure():
