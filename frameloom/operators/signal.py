@@ -15,6 +15,8 @@ from ..session import cut_lineage
 from .ordered import exact_quantiles, with_halo
 
 CHUNK = 1 << 16
+WALK = 1 << 10  # samples whose peaks are walked as one array
+FAN = 32  # chunk maps composed at once
 MIN_BPM, MAX_BPM = 68.0, 176.0
 
 
@@ -99,50 +101,80 @@ def tempo(ac: DataFrame, rate: float) -> DataFrame:
     return best.select("src", F.col("b.lag").alias("lag"), (F.lit(60.0 * rate) / F.col("b.lag")).alias("bpm"), sure.alias("confidence"))
 
 
+def _through(maps: Column, first: Column, start: Column) -> Column:
+    """Block carried out of consecutive chunks from ``first`` on; a chunk without peaks carries none."""
+
+    def step(s: Column, m: Column) -> Column:
+        here = F.when(m["c"] == s["next"], s["block"]).otherwise(0)
+        return F.struct((m["c"] + 1).alias("next"), F.element_at(m["ends"], (here + 1).cast("int")).alias("block"))
+
+    begin = F.struct(first.cast("long").alias("next"), start.cast("long").alias("block"))
+    return F.aggregate(maps, begin, step, lambda s: F.when(s["next"] == first + FAN, s["block"]).otherwise(0).cast("long"))
+
+
+def _starts(maps: Column, first: Column, start: Column) -> Column:
+    """Chunk and block carried into it, for each of at most FAN consecutive chunks."""
+
+    def step(s: Column, m: Column) -> Column:
+        here = F.when(m["c"] == s["next"], s["block"]).otherwise(0).cast("long")
+        return F.struct(
+            (m["c"] + 1).alias("next"), F.element_at(m["ends"], (here + 1).cast("int")).alias("block"),
+            F.array_append(s["out"], F.struct(m["c"].alias("c"), here.alias("start"))).alias("out"))
+
+    begin = F.struct(first.cast("long").alias("next"), start.cast("long").alias("block"), F.array().cast("array<struct<c:bigint,start:bigint>>").alias("out"))
+    return F.aggregate(maps, begin, step, lambda s: s["out"])
+
+
+def carried_blocks(chunks: DataFrame, min_gap: int) -> DataFrame:
+    """``src, c, start``: the block that enters each chunk. ``chunks``: stored src, c, ends, the block that leaves for each that enters.
+
+    Maps are composed over groups of FAN chunks, groups of those, and so on until one group holds a source; the blocks then
+    pass down the same groups. No group holds more than FAN maps, and a source of n chunks takes log(n) rounds.
+    """
+    top = chunks.agg(F.max("c")).first()[0] or 0
+    levels, maps, first = [], chunks.select("src", "c", "ends"), F.col("p") * FAN
+    while True:
+        grouped = maps.groupBy("src", F.floor(F.col("c") / FAN).alias("p")).agg(F.array_sort(F.collect_list(F.struct("c", "ends"))).alias("maps"))
+        levels.append(cut_lineage(grouped))
+        if top < FAN:
+            break
+        top //= FAN
+        through = F.transform(F.sequence(F.lit(0), F.lit(min_gap - 1)), lambda e: _through(F.col("maps"), first, e))
+        maps = levels[-1].select("src", F.col("p").alias("c"), through.alias("ends"))
+    starts = levels[-1].select("src", F.inline(_starts(F.col("maps"), first, F.lit(0))))
+    for level in reversed(levels[:-1]):
+        parents = level.join(starts.select("src", F.col("c").alias("p"), "start"), ["src", "p"])
+        starts = parents.select("src", F.inline(_starts(F.col("maps"), first, F.col("start"))))
+    return starts
+
+
 def peaks(df: DataFrame, threshold: DataFrame, min_gap: int, chunk: int = CHUNK) -> DataFrame:
     """``src, i`` of local maxima at or above ``threshold(src, thr)``, taken greedily at least ``min_gap`` apart.
 
     Taking a peak blocks the samples after it, which carries over chunk borders. A chunk turns the block it
-    starts with into the block it ends with; for nearly every chunk that end is the same whatever the start,
-    so only runs of the others are walked in order. Chunks then take their peaks independently.
+    starts with into the block it ends with; these maps are composed over the chunks of a source in rounds
+    (``carried_blocks``). Chunks then take their peaks independently.
     """
     sides = _in_chunks(df, chunk, 1, 1, lambda w: {"_p": F.lag("v", 1).over(w), "_n": F.lead("v", 1).over(w)})
     found = sides.join(threshold, "src").where((F.col("v") >= F.col("thr")) & (F.col("v") >= F.col("_p")) & (F.col("v") >= F.col("_n")))
-    span = max(chunk, min_gap)
-    chunks = found.groupBy("src", F.floor(F.col("i") / span).alias("c")).agg(F.array_sort(F.collect_list("i")).alias("at"))
+    span = max(min(chunk, WALK), min_gap)
+    at = found.groupBy("src", F.floor(F.col("i") / span).alias("c")).agg(F.array_sort(F.collect_list("i")).alias("at"))
     here = F.col("c") * span
 
     def walk(start: Column) -> Column:
         return F.aggregate("at", start.cast("long"), lambda b, i: F.when(i >= b, i + min_gap).otherwise(b))
 
     ends = F.transform(F.sequence(F.lit(0), F.lit(min_gap - 1)), lambda e: F.greatest(walk(here + e) - here - span, F.lit(0).cast("long")))
-    table = chunks.withColumn("_t", ends).withColumn("_fixed", F.size(F.array_distinct("_t")) == 1)
-    w = Window.partitionBy("src").orderBy("c")
-    follows = F.coalesce(F.lag("c").over(w) == F.col("c") - 1, F.lit(False))
-    known = ~follows | F.lag("_fixed").over(w)
-    state = table.select(
-        "src", "c", "_t", known.alias("_known"), F.when(follows, F.element_at(F.lag("_t").over(w), 1)).otherwise(0).cast("long").alias("_in"))
-    runs = state.withColumn("_run", F.sum(F.col("_known").cast("int")).over(w)).groupBy("src", "_run").agg(
-        F.array_sort(F.collect_list(F.struct("c", "_known", "_in", "_t"))).alias("_r"))
-    blank = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<c:bigint,start:bigint>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        start = F.when(r["_known"], r["_in"]).otherwise(s["end"])
-        return F.struct(
-            F.element_at(r["_t"], (start + 1).cast("int")).alias("end"),
-            F.array_append(s["out"], F.struct(r["c"].alias("c"), start.alias("start"))).alias("out"),
-        )
-
-    starts = runs.select("src", F.inline(F.aggregate("_r", blank, step, lambda s: s["out"])))
-    none = F.struct(F.lit(0).cast("long").alias("b"), F.array().cast("array<bigint>").alias("out"))
+    chunks = cut_lineage(at.withColumn("ends", ends))
+    none = F.array().cast("array<bigint>")
     taken = F.aggregate(
-        "at", F.struct((here + F.col("start")).cast("long").alias("b"), none["out"].alias("out")),
+        "at", F.struct((here + F.col("start")).cast("long").alias("b"), none.alias("out")),
         lambda s, i: F.struct(
             F.when(i >= s["b"], i + min_gap).otherwise(s["b"]).alias("b"),
             F.when(i >= s["b"], F.array_append(s["out"], i)).otherwise(s["out"]).alias("out")),
         lambda s: s["out"],
     )
-    return chunks.join(starts, ["src", "c"]).select("src", F.explode(taken).alias("i"))
+    return chunks.select("src", "c", "at").join(carried_blocks(chunks, min_gap), ["src", "c"]).select("src", F.explode(taken).alias("i"))
 
 
 def interval_regularity(found: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -131,7 +131,28 @@ def band_energy(spark, sf_dir):
     return S.band_energy(S.centred(fx.signal(spark, sf_dir)), RATE, 32, 16, (10.0, 25.0), (50.0, 70.0))
 
 
-@query("rhythm_profile")
+_PROFILE = SIG + f""", g AS (SELECT src, i, i - lag(i) OVER (PARTITION BY src ORDER BY i) AS gap FROM pk),
+steady AS (SELECT src, count(*) AS peaks, min(i) AS first, quantile_cont(gap, 0.5) AS median_gap, 1 - least(1.0, stddev_pop(gap) / greatest(1e-6, quantile_cont(gap, 0.5))) AS regularity FROM g GROUP BY src),
+est AS (SELECT t.src, t.lag, t.confidence, {d(60.0 * ENV_RATE)} / t.lag AS bpm, s.first, s.regularity, {d(60.0 * ENV_RATE)} / s.median_gap AS by_peaks,
+  coalesce(s.peaks >= 4 AND s.median_gap > 1e-6 AND {d(60.0 * ENV_RATE)} / s.median_gap BETWEEN {d(S.MIN_BPM)} AND {d(S.MAX_BPM)}, false) AS fits FROM tempo t LEFT JOIN steady s USING (src)),
+used AS (SELECT *, (bpm NOT BETWEEN {d(S.MIN_BPM)} AND {d(S.MAX_BPM)} OR confidence < 0.07) AND fits AS used FROM est),
+chosen AS (SELECT src, lag, CASE WHEN used THEN by_peaks ELSE bpm END AS bpm, CASE WHEN used THEN greatest(confidence, greatest(0.0, least(1.0, regularity))) ELSE confidence END AS confidence,
+  CASE WHEN used THEN first / {d(ENV_RATE)} END AS peak_s FROM used),
+n AS (SELECT src, max(i) + 1 AS n FROM std GROUP BY src),
+sc AS (SELECT s.src, s.i % t.lag AS phase, sum(s.v) AS score FROM std s JOIN chosen t USING (src) JOIN n USING (src) WHERE s.i // t.lag < greatest(8, n.n // t.lag) GROUP BY ALL),
+ph AS (SELECT src, arg_max(phase, score) AS phase FROM sc GROUP BY src),
+am AS (SELECT s.src, greatest(0.12, least(0.95, 0.16 + 0.54 * max(t.confidence) + 0.18 * least(1.0, greatest(0.0, max(p95) - max(p50)) / 2.5))) AS amount,
+  greatest(0.0, least(1.0, avg(CASE WHEN s.v > q.p93 THEN 1.0 ELSE 0.0 END) * 18.0)) AS transient FROM std s JOIN q USING (src) JOIN chosen t USING (src) GROUP BY s.src),
+bf AS (SELECT src, i, v, unnest(range(greatest(0, (i - 512) // 512), i // 512 + 1)) AS k FROM cent), bok AS (SELECT src, k FROM bf GROUP BY src, k HAVING count(*) = 1024),
+bl AS (SELECT src, k, i - k * 512 AS n, v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (i - k * 512) / 1023)) AS v FROM bf SEMI JOIN bok USING (src, k)),
+bm AS (SELECT src, k, b, sqrt(pow(sum(v * cos(2 * pi() * (b * n % 1024) / 1024)), 2) + pow(sum(v * sin(2 * pi() * (b * n % 1024) / 1024)), 2)) AS m FROM bl, (SELECT unnest(range(513)) AS b) GROUP BY ALL),
+bands AS (SELECT src, coalesce(sum(m) FILTER (b * {d(RATE)} / 1024 BETWEEN 40 AND 220), 0) AS l, coalesce(sum(m) FILTER (b * {d(RATE)} / 1024 BETWEEN 1800 AND 6500), 0) AS h, sum(m) AS t, count(DISTINCT k) AS n FROM bm GROUP BY src)
+SELECT c.src, round(bpm, 2)::DOUBLE AS bpm, round(amount, 3)::DOUBLE AS amount, round(CASE WHEN peak_s > 1e-9 THEN peak_s ELSE phase / {d(ENV_RATE)} END, 4)::DOUBLE AS phase_s, round(confidence, 3)::DOUBLE AS confidence,
+  coalesce(CASE WHEN bands.n >= 9 THEN round(greatest(0.0, least(1.0, l / (t + 1e-9) * 6.0)), 3) END, 0.0)::DOUBLE AS low, coalesce(CASE WHEN bands.n >= 9 THEN round(greatest(0.0, least(1.0, h / (t + 1e-9) * 10.0)), 3) END, 0.0)::DOUBLE AS high,
+  round(transient, 3)::DOUBLE AS transient FROM chosen c JOIN ph USING (src) JOIN am USING (src) LEFT JOIN bands USING (src) WHERE bpm BETWEEN {d(S.MIN_BPM)} AND {d(S.MAX_BPM)}"""
+
+
+@query("rhythm_profile", _PROFILE)
 def rhythm_profile(spark, sf_dir):
     return S.rhythm_profile(fx.signal(spark, sf_dir), RATE, FRAME, HOP, 64, CHUNK)
 

@@ -104,6 +104,29 @@ def test_peaks_when_blocking_runs_across_chunks(spark, step, chunk):
     assert [r.i for r in signal.peaks(df, thr, gap, chunk).orderBy("i").collect()] == want
 
 
+def test_peaks_of_a_strictly_periodic_source(spark):
+    """A million samples of one source whose chunks all hand their block on: composed in groups, never gathered."""
+    n, step, gap = 1_000_000, 3, 7
+    df = spark.range(n).select(F.lit("s").alias("src"), F.col("id").alias("i"), F.when(F.col("id") % step == 1, 1.0).otherwise(0.0).alias("v"))
+    thr = spark.createDataFrame([("s", 0.5)], "src string, thr double")
+    got = signal.peaks(df, thr, gap)
+    assert got.agg(F.min("i"), F.max("i"), F.count("*"), F.sum((F.col("i") % 9 == 1).cast("int"))).first() == (1, 1 + 9 * ((n - 3) // 9), (n - 3) // 9 + 1, (n - 3) // 9 + 1)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_carried_through_gaps(spark, seed):
+    rng = random.Random(seed)
+    gap = 5
+    chunks = {(src, c): [rng.choice([0, e, (e + 2) % gap]) for e in range(gap)] for src in "ab" for c in range(3000) if rng.random() < 0.9}
+    df = spark.createDataFrame([(s, c, e) for (s, c), e in chunks.items()], "src string, c long, ends array<long>")
+    got = {(r.src, r.c): r.start for r in signal.carried_blocks(df, gap).collect()}
+    want, block = {}, {}
+    for src, c in sorted(chunks):
+        want[src, c] = block.get(src, 0) if (src, c - 1) in chunks else 0
+        block[src] = chunks[src, c][want[src, c]]
+    assert got == want
+
+
 def test_near_hashes_with_salted_buckets(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BUCKET_ROWS", 10)
     rng = random.Random(5)
