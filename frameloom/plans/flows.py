@@ -43,8 +43,9 @@ def stream_download_once(spark, sf_dir):
   SELECT user_id AS job_id, count(*) AS seen, count(*) FILTER (s = 'download') AS downloads, count(*) FILTER (s = 'process') AS processed, count(*) FILTER (s = 'upload') AS uploads
   FROM (SELECT user_id, {_STAGE_SQL} AS s FROM events) GROUP BY user_id)""")
 def stream_progress(spark, sf_dir):
-    stream = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), _stage().alias("stage"))
-    return S.latest_rows(S.run_to_table(S.progress(stream), "progress", "update"), ["job_id"])
+    stream = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), _stage().alias("stage"), "ts")
+    with S.rocksdb_state(spark):
+        return S.latest_rows(S.run_to_table(S.progress(stream), "progress", "update"), ["job_id"])
 
 
 def _latency(spark, sf_dir, width, slide=None):

@@ -32,13 +32,57 @@ def download_once(stream: DataFrame, key: str, delay: str = "1 hour", column: st
     return stream.withWatermark(column, delay).dropDuplicatesWithinWatermark([key])
 
 
-def progress(stream: DataFrame) -> DataFrame:
-    """Running counts per job of ``job_id, stage`` rows and the weighted percentage, for update mode."""
-    count = lambda s: F.count_if(F.col("stage") == s)
-    agg = stream.groupBy("job_id").agg(
-        F.count("*").alias("seen"), count("download").alias("downloads"), count("process").alias("processed"), count("upload").alias("uploads"))
+def progress(stream: DataFrame, idle_s: int = 86_400, delay: str = "10 minutes") -> DataFrame:
+    """Running counts per job of ``job_id, stage, ts`` rows and the weighted percentage, for update mode.
+
+    State is one row of counts per job. It is cleared when the watermark passes the job's last row by ``idle_s``; a job
+    that goes on after that starts to count anew.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    stages = ("download", "process", "upload")
+
+    class Counter(StatefulProcessor):
+        def init(self, handle):
+            self._handle = handle
+            self._state = handle.getValueState("counts", "seen long, downloads long, processed long, uploads long, last long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            held = list(self._state.get()) if self._state.exists() else [0, 0, 0, 0, None]
+            before = held[4]
+            if before is not None and before + idle_s * 1000 <= timerValues.getCurrentWatermarkInMs():
+                held = [0, 0, 0, 0, None]  # rows come before the timers of a batch
+            for pdf in rows:
+                held[0] += len(pdf)
+                for k, stage in enumerate(stages, 1):
+                    held[k] += int((pdf["stage"] == stage).sum())
+                last = pdf["ts"].max()
+                if not pd.isna(last):
+                    held[4] = max(held[4] or 0, int(last.value // 1_000_000))
+            if held[4] != before:
+                if before is not None:
+                    self._handle.deleteTimer(before + idle_s * 1000)
+                self._handle.registerTimer(held[4] + idle_s * 1000)
+            self._state.update(tuple(held))
+            yield pd.DataFrame({"job_id": [key[0]], "seen": [held[0]], "downloads": [held[1]], "processed": [held[2]], "uploads": [held[3]]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self._state.clear()
+            yield from ()
+
+        def close(self):
+            pass
+
+    keyed = stream.select("job_id", "stage", "ts").withWatermark("ts", delay)
+    kind = dict(stream.dtypes)["job_id"]
+    counts = keyed.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=Counter(), outputStructType=f"job_id {kind}, seen long, downloads long, processed long, uploads long",
+        outputMode="Update", timeMode="EventTime",
+    )
     done = (F.col("downloads") * 10 + F.col("processed") * 70 + F.col("uploads") * 20) / F.col("seen")
-    return agg.withColumn("progress", F.least(F.floor(done), F.lit(99)).cast("long"))
+    return counts.withColumn("progress", F.least(F.floor(done), F.lit(99)).cast("long"))
 
 
 def stage_latency(stream: DataFrame, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -55,7 +99,10 @@ def attempt_tracker(stream: DataFrame, max_attempts: int = 3, timeout_s: int = 1
     """Outcome per item of ``item_id, ts, seq, code, retryable``, once it is known.
 
     State holds the first ``max_attempts`` attempts and nothing else, whatever their number and order in a
-    batch. An item without outcome fails when the watermark passes its first attempt plus the timeout.
+    batch. An item without outcome fails when the watermark passes its first attempt plus the timeout. A settled
+    item is a mark without attempts, which keeps later rows of it out; the mark is cleared when the watermark passes
+    the settling by the timeout, and rows after that open the item anew. Rows of the batch in which an open item's time
+    is over come too late for it.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -83,36 +130,61 @@ def attempt_tracker(stream: DataFrame, max_attempts: int = 3, timeout_s: int = 1
                 return ("failed", len(seen), seen[-1][2])
             return None
 
+        def _clear(self):
+            for timer in list(self._handle.listTimers()):
+                self._handle.deleteTimer(timer)
+            self._state.clear()
+
+        def _settle(self, at_ms):
+            """Keep a mark only, until the timeout after ``at_ms``."""
+            self._clear()
+            self._state.update((str(at_ms + timeout_s * 1000), True))
+            self._handle.registerTimer(at_ms + timeout_s * 1000)
+
+        def _row(self, key, status, attempts, code):
+            import pandas as pd
+
+            return pd.DataFrame({"item_id": [key[0]], "status": [status], "attempts": [attempts], "code": [code]})
+
         def handleInputRows(self, key, rows, timerValues):
             import json
 
             import pandas as pd
 
-            seen, done = self._load()
+            now = timerValues.getCurrentWatermarkInMs()
+            seen, done = self._load()  # rows come before the timers of a batch
+            if done and seen <= now:
+                self._clear()
+                seen, done = [], False
+            if not done and seen and seen[0][0] // 1000 + timeout_s * 1000 <= now:
+                self._settle(now)
+                yield self._row(key, "failed", len(seen), "TIMEOUT")
+                done = True
             if not done:
-                fresh = not seen
+                fresh, last = not seen, 0
                 for pdf in rows:
                     new = [
                         [int(t.value // 1000), int(s), None if pd.isna(c) else str(c), bool(r)]
                         for t, s, c, r in zip(pdf["ts"], pdf["seq"], pdf["code"], pdf["retryable"])
                     ]
+                    last = max([last, *(a[0] // 1000 for a in new)])
                     seen = sorted(seen + new, key=lambda a: (a[0], a[1]))[:max_attempts]
-                if fresh and seen:
-                    self._handle.registerTimer(seen[0][0] // 1000 + timeout_s * 1000)
                 out = self._resolve(seen)
-                self._state.update((json.dumps(seen), out is not None))
                 if out:
-                    yield pd.DataFrame({"item_id": [key[0]], "status": [out[0]], "attempts": [out[1]], "code": [out[2]]})
+                    self._settle(max(last, now))
+                    yield self._row(key, *out)
+                else:
+                    if fresh and seen:
+                        self._handle.registerTimer(seen[0][0] // 1000 + timeout_s * 1000)
+                    self._state.update((json.dumps(seen), False))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            import json
-
-            import pandas as pd
-
             seen, done = self._load()
-            if not done:
-                self._state.update((json.dumps(seen), True))
-                yield pd.DataFrame({"item_id": [key[0]], "status": ["failed"], "attempts": [len(seen)], "code": ["TIMEOUT"]})
+            if done:
+                self._clear()
+            elif seen:
+                self._settle(timerValues.getCurrentWatermarkInMs())
+                yield self._row(key, "failed", len(seen), "TIMEOUT")
 
         def close(self):
             pass
