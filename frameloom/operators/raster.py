@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import dimensions as D
 from ..functions import keyed as K
 from ..functions import pixels as P
+from .tiles import read_pixels
 
 PIXEL = ["img_id", "y", "x"]
 
@@ -154,14 +155,17 @@ def rotate_quarter(df: DataFrame, degrees: Column | int) -> DataFrame:
     return df.withColumns({"y": ny.cast("int"), "x": nx.cast("int"), "w": F.when(side, h).otherwise(w), "h": F.when(side, w).otherwise(h)})
 
 
-def remap(df: DataFrame, sy: Column, sx: Column, fill: float | None = None) -> DataFrame:
-    """Every pixel reads the pixel at (sy, sx): held at the edge, or ``fill`` outside. Needs ``w``, ``h``."""
-    held = lambda c, n: F.greatest(F.lit(0), F.least(c, F.col(n) - 1)).cast("int")
-    at = df.withColumn("_sy", sy.cast("int") if fill is not None else held(sy, "h")).withColumn(
-        "_sx", sx.cast("int") if fill is not None else held(sx, "w"))
-    source = df.select("img_id", "band", F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.col("v").alias("_v"))
-    out = at.drop("v").join(source, ["img_id", "band", "_sy", "_sx"], "inner" if fill is None else "left")
-    return out.withColumn("v", F.col("_v") if fill is None else F.coalesce("_v", F.lit(float(fill)))).drop("_sy", "_sx", "_v")
+def remap(df: DataFrame, sy: Column, sx: Column, fill: float | None = None, reach: int | None = None) -> DataFrame:
+    """Every pixel reads the pixel at (sy, sx): held at the edge, or ``fill`` outside. Needs ``w``, ``h``.
+
+    ``reach``: no source is farther than so many rows or columns from its pixel.
+    """
+    held = lambda c, n: F.greatest(F.lit(0), F.least(c, F.col(n) - 1))
+    at = (held(sy, "h"), held(sx, "w")) if fill is None else (sy, sx)
+    out = read_pixels(df, {"_v": at}, reach)
+    if fill is None:
+        return out.where(F.col("_v").isNotNull()).withColumn("v", F.col("_v")).drop("_v")
+    return out.withColumn("v", F.coalesce("_v", F.lit(float(fill)))).drop("_v")
 
 
 def toward_zero(c: Column) -> Column:
@@ -219,8 +223,9 @@ def elastic(df: DataFrame, strength: float, r: int, seed: str) -> DataFrame:
         "_dy", K.normal(F.col("img_id"), at, 1) * strength)
     field = smooth(field, r, ["_dx", "_dy"])
     moved = lambda c, d, n: F.floor(F.greatest(F.lit(0.0), F.least(F.col(c) + F.col(d), F.col(n) - 1.0)))
-    field = field.withColumn("_ty", moved("y", "_dy", "h")).withColumn("_tx", moved("x", "_dx", "w"))
-    return remap(field, F.col("_ty"), F.col("_tx")).drop("_dx", "_dy", "_ty", "_tx")
+    field = field.withColumn("_my", moved("y", "_dy", "h")).withColumn("_mx", moved("x", "_dx", "w"))
+    # a draw of 32 bits is less than 6.7 deviations from zero, and so is a mean of draws
+    return remap(field, F.col("_my"), F.col("_mx"), reach=math.ceil(abs(strength) * 6.7) + 1).drop("_dx", "_dy", "_my", "_mx")
 
 
 def unsharp(df: DataFrame, amount: float, threshold: float, r: int = 2) -> DataFrame:
@@ -397,12 +402,8 @@ def remap_bilinear(df: DataFrame, sy: Column, sx: Column) -> DataFrame:
     hold = lambda c, n: F.greatest(F.lit(0.0), F.least(c, F.col(n) - 1.0))
     at = df.withColumn("_fy", hold(sy, "h")).withColumn("_fx", hold(sx, "w"))
     fy, fx = F.col("_fy") - F.floor("_fy"), F.col("_fx") - F.floor("_fx")
-    corners = F.array(*[
-        F.struct(
-            F.least(F.floor("_fy") + dy, F.col("h") - 1).cast("int").alias("_sy"), F.least(F.floor("_fx") + dx, F.col("w") - 1).cast("int").alias("_sx"),
-            ((fy if dy else 1.0 - fy) * (fx if dx else 1.0 - fx)).alias("_part"))
-        for dy in (0, 1) for dx in (0, 1)
-    ])
-    source = df.select("img_id", "band", F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.col("v").alias("_v"))
-    read = at.select("img_id", "y", "x", "band", F.inline(corners)).join(source, ["img_id", "band", "_sy", "_sx"])
-    return read.groupBy(*PIXEL, "band").agg(F.sum(F.col("_v") * F.col("_part")).alias("v")).withColumn("v", P.store(F.col("v") + P.EPS))
+    corners = [(dy, dx, f"_v{dy}{dx}") for dy in (0, 1) for dx in (0, 1)]
+    read = read_pixels(at, {n: (F.least(F.floor("_fy") + dy, F.col("h") - 1), F.least(F.floor("_fx") + dx, F.col("w") - 1)) for dy, dx, n in corners})
+    parts = [F.col(n) * ((fy if dy else 1.0 - fy) * (fx if dx else 1.0 - fx)) for dy, dx, n in corners]
+    total = parts[0] + parts[1] + parts[2] + parts[3]
+    return read.select("img_id", "y", "x", "band", P.store(total + P.EPS).alias("v"))

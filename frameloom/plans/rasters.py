@@ -200,7 +200,7 @@ def rotate_quarter(spark, sf_dir):
 def remap_sql(sy: str, sx: str, fill=None, pre: str = "") -> str:
     hold = lambda e: f"greatest(0, least({e}, 7))::INTEGER" if fill is None else f"({e})::INTEGER"
     join, v = ("JOIN", "s.v") if fill is None else ("LEFT JOIN", f"coalesce(s.v, {d(fill)})")
-    return RGB + f"""{pre}, m AS (SELECT {COLS}, {hold(sy)} AS sy, {hold(sx)} AS sx FROM {'moved' if pre else 'rgb'})
+    return RGB + f"""{pre}, m AS MATERIALIZED (SELECT {COLS}, {hold(sy)} AS sy, {hold(sx)} AS sx FROM {'moved' if pre else 'rgb'})
 SELECT m.img_id, m.y, m.x, m.band, {v} AS v FROM m {join} rgb s ON s.img_id = m.img_id AND s.band = m.band AND s.y = m.sy AND s.x = m.sx"""
 
 
