@@ -208,6 +208,17 @@ def rarest(posts: DataFrame) -> DataFrame:
     return stage(ranked.where("r <= m - need + 1").select("sig", "node"), "rarest")
 
 
+def meeting(led: DataFrame) -> DataFrame:
+    """a, b: each node with the least lead of its signatures, and that one with the other leads. ``led``: node, lead.
+
+    This connects what shares a signature with one edge per node; edges between leads are the same for many nodes.
+    """
+    near = led.groupBy("node").agg(F.min("lead").alias("top"), F.collect_set("lead").alias("leads"))  # no more leads than signatures of one text
+    own = near.select(F.col("node").alias("a"), F.col("top").alias("b"))
+    others = near.select(F.explode("leads").alias("a"), F.col("top").alias("b"))
+    return own.union(others.distinct()).where("a <> b")
+
+
 class Trie:
     """Prefix tree of sets of ranks; an edge is a bit set, a leaf is the place of a set."""
 
@@ -333,18 +344,17 @@ def linked(groups: DataFrame, size: int, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, spread: float = 1.3, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other documents linked with it) of every document."""
-    return _joined(docs, doc_id, text, size, percent, spread, chunk).drop("node")
+    return _joined(docs, doc_id, text, size, percent, spread, chunk).drop("node", "label")
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, spread: float, chunk: int) -> DataFrame:
-    """The columns of ``join`` and node, null where there are no words."""
+    """The columns of ``join``, and node and the node that stands for its component, null where there are no words."""
     rows = stage(signed(docs, doc_id, text, size, percent, spread), "signed")
     ids = rows.where("first").select("doc_id", "node", "n")
     nodes = stage(ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "nodes")
     posts = rarest(candidates(rows))
     leads = stage(posts.groupBy("sig").agg(F.min("node").alias("lead")), "leads")
-    pairs = posts.join(bounded(leads), "sig").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    group = components(pairs)
+    group = components(stage(meeting(posts.join(bounded(leads), "sig")), "meeting"))
     sizes = stage(group.groupBy("label").agg(F.count("*").alias("many")), "groups")
     members = stage(
         group.join(bounded(sizes), "label").join(nodes, "node")
@@ -361,11 +371,11 @@ def _joined(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, sp
     known = stage(nodes.join(labels, "node", "left").join(degrees, nodes["node"] == degrees["a"], "left")
                   .select("node", "doc", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "known")
     least = stage(known.groupBy("label").agg(F.min("doc").alias("component")), "least")
-    final = stage(known.join(least, "label").select("node", "component", "links"), "final")
+    final = stage(known.join(least, "label").select("node", "label", "component", "links"), "final")
     return ids.join(final, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "node",
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "node", "label",
     )
 
 
@@ -383,15 +393,15 @@ def _nodes(size: int):
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, spread: float = 1.3, chunk: int = CHUNK) -> DataFrame:
-    """One document of each component, the one with the least id, with its columns as it came.
+    """One document of each component, one with the least id, with its columns as it came.
 
-    Documents without words or without an id all stay. An id stays once, of several texts under it one;
-    that is a text that represents its component, not a near copy of another id's.
+    Documents without words or without an id all stay. An id that stands on several texts stays once for each component
+    that has it as its least id, so no text is lost that is linked with nothing; repeated rows stay once.
     """
     found = _joined(docs, doc_id, text, size, percent, spread, chunk)
-    stay = found.where(F.col("node").isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.min("node").alias("stays"))
+    stay = found.where(F.col("node").isNotNull() & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id", "label").agg(F.min("node").alias("stays"))
     rows = keep_row(docs, F.col(f"`{doc_id}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     rows = annotate(rows, lambda: _nodes(size), "node long").select("row.row", "row.key", "node")
     several = F.col("node").isNull() | F.col("key").isNull()
     kept = rows.where(~several).join(stay, (F.col("key") == F.col("doc_id")) & (F.col("node") == F.col("stays")))
-    return kept.dropDuplicates(["key"]).select("row.*").union(rows.where(several).select("row.*"))
+    return kept.dropDuplicates(["key", "node"]).select("row.*").union(rows.where(several).select("row.*"))

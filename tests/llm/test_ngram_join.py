@@ -3,7 +3,7 @@ from collections import defaultdict
 import pytest
 from conftest import WORD, make
 
-from frameloom.llm.ngram_join import join, keep_one
+from frameloom.llm.ngram_join import join, keep_one, meeting
 
 
 def lower(text):
@@ -47,7 +47,9 @@ def test_one_document_of_each_group_stays(docs, rows):
     kept = keep_one(docs, size=5, percent=80)
     assert kept.columns == docs.columns
     ids = sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect())
-    assert ids == sorted({r[0] for r in want if r[0] is not None and r[0] == r[2]})
+    # id 100 stands on two texts that are not linked: both stay
+    assert ids == sorted(i for i, _ in {r[:2] for r in want if r[0] is not None and r[0] == r[2]})
+    assert ids.count(100) == 2
 
 
 def test_chain_of_near_copies_is_one_component(spark):
@@ -75,3 +77,39 @@ def test_an_id_on_two_texts_stays_with_the_one_that_is_its_own(spark, swap):
     docs = make(spark, [(3, near, "en", "a"), *(two[::-1] if swap else two), (7, None, "en", "a")]).coalesce(1)
     got = keep_one(docs, size=5, percent=80).select("doc_id", "text").collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, near), (5, own), (7, None)]
+
+
+def test_an_id_on_linked_and_unlinked_texts(spark):
+    near, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
+    docs = make(spark, [(3, near, "en", "a"), (3, near + " end", "en", "a"), (3, other, "en", "a"), (3, other, "en", "a"), (4, other + " end", "en", "a")])
+    got = sorted(r["text"].split()[0] for r in keep_one(docs, size=5, percent=80).collect())
+    assert got == ["v0", "w0"]
+
+
+def test_edges_keep_what_shares_a_signature_together(spark):
+    import random
+
+    rng = random.Random(8)
+    posts = {(s, rng.randrange(200)) for s in range(150) for _ in range(rng.randrange(1, 4))}
+    lead = {}
+    for s, n in posts:
+        lead[s] = min(lead.get(s, n), n)
+    edges = meeting(spark.createDataFrame([(n, lead[s]) for s, n in posts], "node long, lead long")).collect()
+    assert len(edges) <= len({n for _, n in posts}) + 150
+
+    def groups(pairs):
+        parent = {n: n for _, n in posts}
+
+        def top(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            parent[top(a)] = top(b)
+        out = defaultdict(set)
+        for n in parent:
+            out[top(n)].add(n)
+        return {frozenset(g) for g in out.values()}
+
+    assert groups([(r["a"], r["b"]) for r in edges]) == groups([(n, lead[s]) for s, n in posts])
