@@ -161,8 +161,11 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.2,
     stretches = []  # (kinds, words) per stretch
     for text, lang in zip(texts, langs, strict=True):
         for words in parts(pa.array([text])):
-            for a in range(0, len(words.starts) - STRETCH + 1, STRETCH):
-                kind, place = features(words, words.starts[a: a + STRETCH], words.ends[a: a + STRETCH])
+            n = len(words.starts)
+            for a in range(0, n, STRETCH):
+                # the last stretch reaches back, and a text that is shorter than a stretch goes round
+                own = np.arange(a, a + STRETCH) - max(0, a + STRETCH - n) if n >= STRETCH else np.resize(np.arange(n), STRETCH)
+                kind, place = features(words, words.starts[own], words.ends[own])
                 order = np.argsort(place, kind="stable")
                 stretches.append((kind[order], place[order], code[lang]))
     size = len(labels)
@@ -197,15 +200,15 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.2,
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, held_out_by: int = 4, held_out: int = 2) -> Field | None:
     """Fit the field on a sample of the labelled documents outside the held-out remainder."""
-    keys = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"))
-    learn = F.col("lang").isNotNull() & (F.coalesce(remainder("id", held_out_by), F.lit(0)) != held_out)
-    n = {r["lang"]: r["n"] for r in keys.where(learn).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    body = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+    learn = body.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("id", held_out_by) != held_out))  # not for a null id
+    keys = learn.select("lang", F.xxhash64("id", "text").alias("key")).distinct()
+    n = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not n:
         return None
     rate = F.create_map(*[F.lit(x) for k, c in n.items() for x in (k, int(min(1.0, per_lang / c) * (1 << 20)))])
-    body = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    draw = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 20)) < rate[F.col("lang")]
-    got = body.where(learn & draw & F.col("text").isNotNull()).select("text", "lang").toArrow()  # about per_lang rows of each language
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("lang")), F.lit(1 << 20)) < rate[F.col("lang")]
+    got = learn.where(draw).select("text", "lang", "id").distinct().toArrow()  # about per_lang rows of each language
     order = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     return fit([t for t, _ in order], [x for _, x in order])
 

@@ -11,7 +11,7 @@ do not share a task by their value.
 Components are floor(64 * x) as integers. Products are exact: doubles where all sums stay below 2**53, Python integers
 beyond, limited to the range of a long. Vectors that are null or hold a null or non-finite component take no part; shorter
 vectors count as padded with zeros. Equal scores go to the smaller id. Repeated ids are separate candidates, but no row with
-the query's own id. Null ids take no part. An empty table gives an empty result; further columns are not read.
+the query's own id; every query row has its own list, also where rows or ids are repeated. Null ids take no part. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
         return df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), quantised(vector).alias("v")).where("id is not null and v is not null")
 
     table = stage(ready(rows), "vectors")
-    asked = stage(ready(queries), "queries")
+    asked = stage(ready(queries).withColumn("row", F.monotonically_increasing_id()), "queries")
     greatest = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     facts = [F.count("*"), F.max(F.size("v")), F.max(greatest), F.max(square)]
@@ -135,22 +135,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
     chosen = choose_pivots(np.concatenate([sample, lift[:, None]], axis=1), pivots)
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
 
-    def dealt(df: DataFrame, name: str, pieces: int) -> DataFrame:
+    def dealt(df: DataFrame, name: str, pieces: int, *keys: str) -> DataFrame:
         def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 matrix = _matrix(b.column(1), width)
-                yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array([r.tobytes() for r in matrix], pa.binary())], names=[name, "id", "v"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in matrix], pa.binary()), *b.columns[2:]], names=[name, "v", *keys])
 
-        keyed = df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int"))
-        # a hash of the id deals the rows, so a group has about as many as asked for
-        return keyed.mapInArrow(blob, f"{name} int, id long, v binary").groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows"))
+        # a hash deals the rows, so a group has about as many as asked for
+        keyed = df.select(F.pmod(F.xxhash64(keys[-1]), F.lit(pieces)).cast("int").alias(name), "v", *keys)
+        packed = keyed.mapInArrow(blob, f"{name} int, v binary, " + ", ".join(f"{k} long" for k in keys))
+        return packed.groupBy(name).agg(F.collect_list(F.struct("v", *keys)).alias(f"{name}_rows"))
 
-    def unpack(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-        ids = rows.values.field(0).to_numpy()
-        return ids, np.frombuffer(b"".join(rows.values.field(1).to_pylist()), np.int64).reshape(len(ids), width)
+    def unpack(rows: pa.ListScalar) -> list[np.ndarray]:
+        values = rows.values
+        vectors = np.frombuffer(b"".join(values.field(0).to_pylist()), np.int64).reshape(len(values), width)
+        return [vectors, *(values.field(i).to_numpy() for i in range(1, values.type.num_fields))]
 
-    left = dealt(table, "shard", shards)
-    right = dealt(asked, "block", blocks).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    left = dealt(table, "shard", shards, "id")
+    right = dealt(asked, "block", blocks, "id", "row").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = None, None
@@ -158,13 +160,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
             for i in range(b.num_rows):
                 now = b.column(0)[i].as_py()
                 if now != held:
-                    shard, held = Shard(*unpack(b.column(1)[i]), chosen, norm), now
-                ids, vectors = unpack(b.column(2)[i])
-                found = [(int(q), j, s) for q, v in zip(ids, vectors, strict=True) for s, j in shard.search(int(q), v, k, safe)]
-                cols = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                    vectors, ids = unpack(b.column(1)[i])
+                    shard, held = Shard(ids, vectors, chosen, norm), now
+                found = [(int(r), int(q), j, s) for v, q, r in zip(*unpack(b.column(2)[i]), strict=True) for s, j in shard.search(int(q), v, k, safe)]
+                cols = list(zip(*found, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["row", "query_id", "vec_id", "score"])
 
     met = left.join(right, "shard").select("shard", "shard_rows", "block_rows")
-    best = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = met.mapInArrow(run, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -114,10 +114,11 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, bound: int = BOUND, t
         known = F.array(*[F.coalesce(c, F.lit(v)) for c, v in (("one_share", 0.5), ("one_count", 0.0), ("two_share", 0.5), ("two_count", 0.0))])
         return joined.withColumn("features", array_to_vector(F.concat("lex", known)))
 
-    draw = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, bound / n) * (1 << 20))
-    learn = stage(vectors(labelled.where(draw)).select("features", "label"), "url-sample").coalesce(4)  # about ``bound`` rows
-    if learn.select("label").distinct().count() < 2:
-        learn = stage(vectors(labelled).select("features", "label"), "url-sample").coalesce(4)
+    # each class of different urls by a rate of its own, so that neither a hot url nor a rare class weighs by its rows
+    different = stage(labelled.dropDuplicates(["url"]), "urls-learn")
+    rate = {r["label"]: min(1.0, bound / 2 / r["n"]) for r in different.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    draw = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 20)) < F.when(F.col("label") == 1, int(rate[1.0] * (1 << 20))).otherwise(int(rate[0.0] * (1 << 20)))
+    learn = stage(vectors(different.where(draw)).select("features", "label"), "url-sample").coalesce(4)  # about ``bound`` rows
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(learn)
     scored = model.transform(vectors(measured)).withColumn("p", vector_to_array("probability")[1])
     judged = F.coalesce("by_rule", F.when(F.col("p") >= 0.5, "block").otherwise("allow"))

@@ -64,3 +64,20 @@ def test_held_out_rows_are_not_learned(spark):
     rng = random.Random(3)
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert L.train(make(spark, [(i, sentence(rng, 20, ["a", "b"]), "xx", "s") for i in held])) is None
+
+
+def test_short_texts_are_learned_and_null_ids_are_not(spark):
+    rng = random.Random(6)
+    rows = [(i, text(rng, "aa" if i % 2 else "bb", 1 + i % 9), "aa" if i % 2 else "bb", "s") for i in range(600)]
+    docs = make(spark, rows)
+    field = L.train(docs)
+    got = L.identify(docs, field).select("row.doc_id", "lang_pred").collect()
+    assert sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in got) >= 0.9 * len(got)
+    assert L.train(make(spark, [(None, t, la, "s") for _, t, la, _ in rows])) is None
+
+
+def test_a_hot_row_does_not_fill_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda texts, langs, **_: seen.append(texts))
+    L.train(make(spark, [(3, "one hot text", "xx", "s")] * 500 + [(4 + i, f"text number {i}", "xx", "s") for i in range(100)]), per_lang=40)
+    assert 10 <= len(seen[0]) <= 90 and len(set(seen[0])) == len(seen[0])

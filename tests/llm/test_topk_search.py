@@ -47,3 +47,10 @@ def test_fewer_rows_than_k_and_none(spark):
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == [(0, 1, 20, 64 * 128), (20, 1, 0, 64 * 128)]
     assert search(table.limit(0), table).count() == 0
     assert search(table, table.limit(0)).count() == 0
+
+
+def test_every_query_row_has_its_own_list(spark):
+    rows = spark.createDataFrame([(i, [i / 8, 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(3, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = search(rows, asked, k=4).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == sorted(2 * [(1, 29), (2, 28), (3, 27), (4, 26)] + [(1, 0), (2, 1), (3, 2), (4, 4)])

@@ -59,3 +59,11 @@ def test_one_verdict_none_and_empty(spark):
     assert {r["verdict"] for r in judge(pages).collect()} == {"allow"}
     assert {r["verdict"] for r in judge(pages, rules=[Rule("block", "a.net", "/")]).collect()} == {"block"}
     assert judge(pages.limit(0)).count() == 0
+
+
+def test_a_hot_url_and_a_rare_class_are_drawn_by_class(spark):
+    rules = [Rule("block", "bad.biz", "/"), Rule("allow", "good.net", "/")]
+    urls = ["http://good.net/hot"] * 3000 + [f"http://good.net/{i}" for i in range(1500)] + [f"http://x{i}.bad.biz/{i * 7919}" for i in range(30)] + ["http://y.bad.biz/11", "http://other.net/page"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = judge(pages, rules=rules, bound=200).select("row.url", "verdict", "block_score").where("url like '%other%'").collect()
+    assert len(got) == 1 and got[0]["block_score"] is not None
