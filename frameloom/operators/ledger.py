@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dimensions import RETRY_POLICIES, TOOL_PATHS
 from ..functions.keyed import keyed_seed
 from ..functions.urls import is_image, is_video, unsafe_reason, variant_url
+from .ordered import first_rows
 
 MB = 1024.0 * 1024.0
 
@@ -107,11 +108,9 @@ def outcome_counts(results: DataFrame) -> DataFrame:
 def transfer_summary(results: DataFrame) -> DataFrame:
     """Per job: bytes of the successes, number of failures and the first error by item order."""
     ok = F.col("status") == "completed"
-    return results.groupBy("job_id").agg(
-        F.coalesce(F.sum(F.when(ok, F.col("size"))), F.lit(0)).alias("bytes"),
-        F.count_if(~ok).alias("failed"),
-        F.min(F.when(~ok, F.struct("idx", "error")))["error"].alias("first_error"),
-    )
+    sums = results.groupBy("job_id").agg(F.coalesce(F.sum(F.when(ok, F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(~ok).alias("failed"))
+    first = first_rows(results.where(~ok).select("job_id", "idx", "error"), ["job_id"], [("idx", False)])
+    return sums.join(first.select("job_id", F.col("error").alias("first_error")), "job_id", "left")
 
 
 def queue_totals(assigned: DataFrame, workers: int) -> DataFrame:
@@ -131,12 +130,9 @@ def least_loaded(assigned: DataFrame) -> DataFrame:
 
 
 def primary_output(outputs: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """First output of every item. A minimum combines before the shuffle, where a window could not."""
+    """First output of every item, its columns after keys and order."""
     rest = [c for c in outputs.columns if c not in keys and c != order]
-    return (
-        outputs.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_m"))
-        .select(*keys, F.col(f"_m.{order}").alias(order), *[F.col(f"_m.{c}").alias(c) for c in rest])
-    )
+    return first_rows(outputs, keys, [(order, False)]).select(*keys, order, *rest)
 
 
 def pending(items: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -202,9 +198,7 @@ def attempt_resolution(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
     agg = in_range.groupBy("item_id").agg(
         F.min(F.when(F.col("code").isNull(), n)).alias("won"),
         F.min(F.when(F.col("code").isNotNull() & ~F.col("retryable"), n)).alias("stopped"),
-        F.count("*").alias("tried"),
-        F.max_by("code", "attempt").alias("last_code"),
-        F.min(F.when(F.col("code").isNotNull() & ~F.col("retryable"), F.struct("attempt", "code")))["code"].alias("stop_code"),
+        F.count("*").alias("tried"), F.max("attempt").alias("last"),
     )
     big = F.lit(1 << 30)
     won, stopped = F.coalesce("won", big), F.coalesce("stopped", big)
@@ -212,11 +206,12 @@ def attempt_resolution(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
         F.when(won < stopped, "completed").when(stopped < big, "failed")
         .when(F.col("tried") >= max_attempts, "failed").otherwise("pending")
     )
-    return agg.select(
-        "item_id", status.alias("status"),
-        F.least(won, stopped, F.col("tried")).cast("long").alias("attempts"),
-        F.when(won < stopped, F.lit(None)).when(stopped < big, F.col("stop_code")).otherwise(F.col("last_code")).alias("code"),
-    )
+    at = F.when(won < stopped, F.lit(None)).when(stopped < big, F.col("stopped")).otherwise(F.col("last"))
+    settled = agg.select("item_id", status.alias("status"), F.least(won, stopped, F.col("tried")).cast("long").alias("attempts"), at.alias("attempt"))
+    # the code is fetched by the number of its attempt, so that only numbers are aggregated
+    codes = in_range.where(F.col("code").isNotNull()).select("item_id", "attempt", "code")
+    told = first_rows(codes.join(settled.select("item_id", "attempt"), ["item_id", "attempt"]), ["item_id"], [("attempt", False)])
+    return settled.drop("attempt").join(told.select("item_id", "code"), "item_id", "left")
 
 
 def verify(objects: DataFrame, manifests: DataFrame, key: str = "key") -> DataFrame:

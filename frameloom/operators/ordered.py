@@ -115,3 +115,23 @@ def exact_quantiles(
     return per_prob.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in probs]
     )
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """The first row of each key by columns (name, descending), which are numbers or times and not null.
+
+    Only keys and numbers are in the aggregates, so that they hash and combine before the shuffle; the other columns
+    are fetched by a join on what was found. Of rows that are equal in all order columns the least stays.
+    """
+    keys, found = list(keys), df
+    for name, down in order:
+        best = found.groupBy(*keys).agg((F.max if down else F.min)(name).alias(name))
+        found = found.join(best, [*keys, name])
+    names = [n for n, _ in order]
+    rest = [c for c in df.columns if c not in keys and c not in names]
+    if rest:
+        tied = found.groupBy(*keys, *names).agg(F.array_min(F.collect_set(F.struct(*rest))).alias("_rest"))
+        found = tied.select(*keys, *names, "_rest.*")
+    else:
+        found = found.distinct()
+    return found.select(*df.columns)

@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..functions import timing as T
 from ..functions.templates import SLOT_DEFAULTS, STYLE_VARIANTS, TEMPLATE_COLUMNS, TEMPLATES
 from ..functions.urls import looks_like_url
-from .ordered import by_chunk, sequence_index
+from .ordered import by_chunk, first_rows, sequence_index
 
 MAP = "map<string,string>"
 TRACKED = 1 << 48  # places tracked effects after every own effect
@@ -214,10 +214,13 @@ def resolve_effects(effects: DataFrame, keys: Sequence[str], clip_duration: str
         return F.max_by(F.col(name), F.when(ok, F.col("at"))).alias(name)
 
     turn = F.col("rotateDeg")
-    names = [n for n in number if n != "rotateDeg"] + D.EFFECT_FLAGS + ["motionPreset"]
+    names = [n for n in number if n != "rotateDeg"] + D.EFFECT_FLAGS
     folded = wide.groupBy(*keys).agg(
         *[last(n) for n in names], last("rotateDeg", turn.isin(0.0, 90.0, 180.0, 270.0)), F.max(clip_duration).alias("_dur")
     )
+    # a string would make the fold sort its rows: the last preset is fetched by its place in the stack
+    preset = first_rows(wide.where(F.col("motionPreset").isNotNull()).select(*keys, "at", "motionPreset"), keys, [("at", True)])
+    folded = folded.join(preset.drop("at"), list(keys), "left")
     longest = F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.col("_dur")))
     return folded.select(
         *keys,
@@ -384,20 +387,42 @@ def distinct_sources(sources: DataFrame) -> DataFrame:
 def best_profile(profiles: DataFrame) -> DataFrame:
     """The most confident profile per job, the first of equals; none without any confidence."""
     rest = [c for c in profiles.columns if c not in ("job_id", "ord", "confidence")]
-    return (
-        profiles.where(F.col("confidence") > 0).groupBy("job_id")
-        .agg(F.max_by(F.struct("ord", "confidence", *rest), F.struct("confidence", (-F.col("ord")).alias("o"))).alias("b"))
-        .select("job_id", "b.*")
-    )
+    best = first_rows(profiles.where(F.col("confidence") > 0), ["job_id"], [("confidence", True), ("ord", False)])
+    return best.select("job_id", "ord", "confidence", *rest)
+
+
+def dyadic_nodes(lo: Column, hi: Column) -> Column:
+    """The fewest intervals ``level, node`` (node * 2**level and so many on) that make up the whole numbers lo to hi."""
+    long = lambda c: c.cast("long")
+
+    def step(s: Column, level: Column) -> Column:
+        odd = (s["lo"] <= s["hi"]) & (F.pmod(s["lo"], F.lit(2)) == 1)
+        lo = s["lo"] + odd.cast("long")
+        even = (lo <= s["hi"]) & (F.pmod(s["hi"], F.lit(2)) == 0)
+        node = lambda c: F.struct(level.cast("int").alias("level"), long(c).alias("node"))
+        none = F.array().cast("array<struct<level:int,node:bigint>>")
+        hi = s["hi"] - even.cast("long")
+        return F.struct(
+            # nothing is left once lo has passed hi
+            F.when(lo <= hi, F.floor(lo / 2)).otherwise(lo).alias("lo"), F.when(lo <= hi, F.floor(hi / 2)).otherwise(hi).alias("hi"),
+            F.concat(s["out"], F.when(odd, F.array(node(s["lo"]))).otherwise(none), F.when(even, F.array(node(s["hi"]))).otherwise(none)).alias("out"))
+
+    begin = F.struct(long(lo).alias("lo"), long(hi).alias("hi"), F.array().cast("array<struct<level:int,node:bigint>>").alias("out"))
+    height = F.ceil(F.log2((F.greatest(hi - lo, F.lit(0)) + 1).cast("double"))).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(0), height), begin, step, lambda s: s["out"])
 
 
 def active_overlays(frames: DataFrame, overlays: DataFrame, width: float = 1.0) -> DataFrame:
     """Frames ``job_id, t`` with the overlays ``job_id, id, start, end`` shown at them, ends included.
 
-    Overlays are laid into time buckets, so frames meet them on equal job and bucket, and a long job
-    spreads over its buckets.
+    The buckets of an overlay are made up of dyadic intervals, two for each level at most, however long it shows. A frame
+    looks up the intervals around its bucket, one for each level that some overlay uses.
     """
-    w = F.lit(float(width))
-    laid = overlays.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / w), F.floor(F.col("end") / w))))
-    at = frames.withColumn("_b", F.floor(F.col("t") / w))
-    return at.join(laid, ["job_id", "_b"]).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end"))).drop("_b")
+    bucket = lambda c: F.floor(F.col(c) / float(width))
+    nodes = dyadic_nodes(bucket("start"), bucket("end"))
+    laid = overlays.withColumn("_n", F.explode(nodes)).withColumns({"_level": F.col("_n.level"), "_node": F.col("_n.node")}).drop("_n")
+    levels = sorted(r[0] for r in laid.select("_level").distinct().collect())  # one row per level, 64 at most
+    at = frames.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    at = at.withColumn("_node", F.floor(bucket("t") / F.pow(F.lit(2.0), F.col("_level"))))
+    met = at.join(laid, ["job_id", "_level", "_node"])
+    return met.where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end"))).drop("_level", "_node")
