@@ -53,10 +53,10 @@ def variant_params(pictures: DataFrame, n: int, base: dict[str, float], mode: st
 def augment(df: DataFrame, n: int, base: dict[str, float], mode: str = "balanced", salt: str = "") -> DataFrame:
     """``n`` variants of every picture, as ``img_id, variant, y, x, band, v``.
 
-    Order: flip, crop, brightness, gamma, contrast, saturation, tint, noise. Parameters are drawn once per
+    Pixels come long, or wide with r, g and b. Order: flip, crop, brightness, gamma, contrast, saturation, tint, noise. Parameters are drawn once per
     variant and meet the pixels in one join on the picture; the whole chain is then one projection.
     """
-    wide = R.to_wide(df)
+    wide = df if "r" in df.columns else R.to_wide(df)
     size = wide.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     px = wide.join(variant_params(size, n, base, mode, salt), "img_id")
     px = px.withColumn("x", F.when(F.col("flip"), F.col("w") - 1 - F.col("x")).otherwise(F.col("x")).cast("int"))

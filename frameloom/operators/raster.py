@@ -28,10 +28,22 @@ def with_size(df: DataFrame) -> DataFrame:
 
 
 def to_wide(df: DataFrame) -> DataFrame:
-    """Bands as columns r, g, b. Needed only where bands mix; keep a chain of such steps wide."""
+    """Bands as columns r, g, b. Needed only where bands mix; keep a chain of such steps wide.
+
+    This shuffles every pixel; ``from_planes`` does not, where the bands come in one row.
+    """
     return df.groupBy(*PIXEL).agg(*[F.max(F.when(F.col("band") == i, F.col("v"))).alias(c) for i, c in enumerate("rgb")])
 
 
+def from_planes(df: DataFrame, planes: dict[str, Column], width: int) -> DataFrame:
+    """Wide pixels of pictures that are stored as one row with an array per band: the bands of a pixel never part.
+
+    ``df`` has ``img_id``; nothing is shuffled.
+    """
+    cells = df.select("img_id", F.posexplode(F.arrays_zip(*[c.alias(n) for n, c in planes.items()])).alias("_at", "_c"))
+    return cells.select("img_id", F.floor(F.col("_at") / width).cast("int").alias("y"), (F.col("_at") % width).cast("int").alias("x"), *[F.col(f"_c.{n}").alias(n) for n in planes])
+
+
 def to_long(df: DataFrame) -> DataFrame:
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col(c).alias("v")) for i, c in enumerate("rgb")])
     return df.select(*[c for c in df.columns if c not in "rgb"], F.inline(bands))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
 from ..operators.ordered import sequence_index
+from ..operators.raster import from_planes
 from .catalog import table
 
 WORKERS = 4
@@ -216,6 +217,14 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``img_id, y, x, r, g, b``: the same pictures, the bands of a pixel side by side as in the packed row."""
+    level = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e.cast("double") + 0.6) / 1.2 * 255))).cast("double")
+    packed = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.transform("embedding", level).alias("e"))
+    turned = lambda n: F.concat(F.slice("e", n + 1, 64 - n), F.slice("e", 1, n)) if n else F.col("e")
+    return from_planes(packed, {c: turned(21 * band) for band, c in enumerate("rgb")}, 8)
+
+
 _RGB_SQL = """rgb AS (SELECT img_id, (p // 8)::INTEGER AS y, (p % 8)::INTEGER AS x, band,
   greatest(0, least(255, floor((embedding[(p + 21 * band) % 64 + 1]::DOUBLE + 0.6) / 1.2 * 255)))::DOUBLE AS v
   FROM (SELECT vec_id AS img_id, embedding, unnest(range(64)) AS p FROM embeddings), (SELECT unnest([0, 1, 2])::INTEGER AS band))"""

@@ -94,7 +94,7 @@ def wide_query(name: str, with_sql: str, fn):
     """Register an operator that mixes bands; ``with_sql`` defines ``out`` with columns r, g, b from ``wide``."""
     @query(name, WIDE + f", {with_sql} SELECT img_id, y, x, 0 AS band, r AS v FROM out UNION ALL SELECT img_id, y, x, 1, g FROM out UNION ALL SELECT img_id, y, x, 2, b FROM out")
     def run(spark, sf_dir):
-        return R.to_long(fn(R.to_wide(rgb(spark, sf_dir)))).select(*R.PIXEL, "band", "v")
+        return R.to_long(fn(fx.wide(spark, sf_dir))).select(*R.PIXEL, "band", "v")
     return run
 
 
@@ -130,7 +130,7 @@ _BLOCK = draw("img_id", "'blocks.' || (y // 2) || '.' || (x // 2)")
 @query("block_hue", WIDE + ", " + hsv_sql(f"floor({_FM(f'h0 + (-30 + 60 * {_BLOCK}) / 2.0')})", "s0", "v0") +
        " SELECT img_id, y, x, 0 AS band, r AS v FROM out UNION ALL SELECT img_id, y, x, 1, g FROM out UNION ALL SELECT img_id, y, x, 2, b FROM out")
 def block_hue(spark, sf_dir):
-    wide = fx.sized(R.to_wide(rgb(spark, sf_dir)))
+    wide = fx.sized(fx.wide(spark, sf_dir))
     return R.to_long(R.block_hue(wide, 30, "blocks")).select(*R.PIXEL, "band", "v")
 
 

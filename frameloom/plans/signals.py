@@ -262,4 +262,4 @@ SELECT img_id, variant, y::INTEGER AS y, x::INTEGER AS x, band, v FROM (SELECT i
 
 @query("augment", _augment_sql())
 def augment(spark, sf_dir):
-    return A.augment(fx.rgb(spark, sf_dir), 2, BASE, "strong", "aug")
+    return A.augment(fx.wide(spark, sf_dir), 2, BASE, "strong", "aug")

@@ -51,3 +51,16 @@ def test_overlays_of_any_length_meet_their_frames(spark):
     got = timeline.active_overlays(spark.createDataFrame(frames, "job_id int, t double").distinct(), spark.createDataFrame(overlays, 'job_id int, id int, start double, "end" double'.replace('"', "`")))
     want = sorted((j, t, o[1]) for j, t in set(frames) for o in overlays if o[0] == j and o[2] <= t <= o[3])
     assert sorted((r["job_id"], r["t"], r["id"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["hue_shift", "channel_mix", "yuv_round_trip", "vibrance"])
+def test_bands_of_a_pixel_never_part(spark, name):
+    assert "Exchange" not in plan(QUERIES[name](spark, SF_DIR))
+
+
+def test_wide_pixels_are_those_of_the_long_table(spark):
+    from frameloom.operators import raster
+    from frameloom.plans import fixtures
+
+    key = lambda df: sorted(tuple(r) for r in df.select("img_id", "y", "x", "r", "g", "b").collect())
+    assert key(fixtures.wide(spark, SF_DIR)) == key(raster.to_wide(fixtures.rgb(spark, SF_DIR)))
