@@ -6,26 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ordered import join_split
 
 
 def caption_cycle(files: DataFrame, captions: DataFrame, single: DataFrame) -> DataFrame:
     """Give every file of a job its caption: file k takes caption k modulo their number.
 
     ``files``: job_id, idx. ``captions``: job_id, pos, text. ``single``: job_id, text, for jobs without a list.
-    Files meet captions on job and position, so a large job is spread over its captions.
+    Files meet captions on job and position, so a large job is spread over its captions, and what holds for a whole
+    job meets a large job's files by broadcast.
     """
     counts = captions.groupBy("job_id").agg(F.count("*").alias("_n"))
-    keyed = (
-        files.join(counts, "job_id", "left")
-        .withColumn("pos", F.when(F.col("_n") > 0, F.pmod(F.col("idx"), F.col("_n"))))
-        .drop("_n")
-    )
+    facts = counts.join(single.select("job_id", F.col("text").alias("_single")), "job_id", "full")
+    keyed = join_split(files, facts, ["job_id"], "left")
+    keyed = keyed.withColumn("pos", F.when(F.col("_n") > 0, F.pmod(F.col("idx"), F.col("_n")))).drop("_n")
     listed = captions.select("job_id", "pos", F.col("text").alias("_listed"))
-    alone = single.select("job_id", F.col("text").alias("_single"))
-    return (
-        keyed.join(listed, ["job_id", "pos"], "left").join(alone, "job_id", "left")
-        .withColumn("text", F.coalesce("_listed", "_single", F.lit(""))).drop("_listed", "_single", "pos")
-    )
+    found = keyed.join(listed, ["job_id", "pos"], "left")
+    return found.withColumn("text", F.coalesce("_listed", "_single", F.lit(""))).drop("_listed", "_single", "pos")
 
 
 def word_overlays(overlays: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dimensions import RETRY_POLICIES, TOOL_PATHS
 from ..functions.keyed import keyed_seed
 from ..functions.urls import is_image, is_video, unsafe_reason, variant_url
-from .ordered import first_rows
+from .ordered import first_rows, join_split
 
 MB = 1024.0 * 1024.0
 
@@ -162,7 +162,7 @@ def download_once(items: DataFrame, fetched: DataFrame) -> DataFrame:
 
     ``fetched`` has one row per distinct input: ``input_url, fetch_error, input_size``.
     """
-    return items.join(fetched, "input_url", "left").withColumn(
+    return join_split(items, fetched, ["input_url"], "left").withColumn(
         "status", F.when(F.col("fetch_error").isNull(), F.lit("ready")).otherwise(F.lit("failed"))
     )
 

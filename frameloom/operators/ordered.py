@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 
 def by_chunk(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column]) -> DataFrame:
     """Add ``_chunk`` and spread the rows by key and chunk.
@@ -135,3 +137,24 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bo
     else:
         found = found.distinct()
     return found.select(*df.columns)
+
+
+def join_split(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner", many: str | None = None, share: int = 1000) -> DataFrame:
+    """Join rows with ``facts``, one row per key, without sending a heavy key to one task.
+
+    Keys that hold more than one in ``share`` of the rows, which are fewer than ``share``, meet their facts by broadcast; all
+    others by shuffle. ``many`` names a column of ``facts`` with the number of rows of each key, if it is known, and is dropped.
+    """
+    keys = list(keys)
+    if many:
+        facts = cut_lineage(facts)
+        sizes, facts = facts.select(*keys, F.col(many).alias("_many")), facts.drop(many)
+    else:
+        sizes = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_many")))
+    total = sizes.agg(F.sum("_many")).first()[0] or 0
+    heavy = sizes.where(F.col("_many") > total / share).select(*keys)
+    if heavy.isEmpty():
+        return df.join(facts, keys, how)
+    heavy = F.broadcast(heavy)  # fewer than ``share`` rows
+    loud = df.join(heavy, keys, "left_semi").join(F.broadcast(facts.join(heavy, keys, "left_semi")), keys, how)
+    return loud.unionByName(df.join(heavy, keys, "left_anti").join(facts, keys, how))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import dimensions as D
 from ..functions import keyed as K
 from ..functions import pixels as P
+from .ordered import join_split
 from .tiles import read_pixels
 
 PIXEL = ["img_id", "y", "x"]
@@ -87,7 +88,8 @@ def block_hue(df: DataFrame, degrees: float, seed: str) -> DataFrame:
 
 def image_mean(df: DataFrame) -> DataFrame:
     """Add ``mean`` over all pixels and bands of the picture."""
-    return df.join(df.groupBy("img_id").agg(F.avg("v").alias("mean")), "img_id")
+    means = df.groupBy("img_id").agg(F.avg("v").alias("mean"), F.count("*").alias("_many"))
+    return join_split(df, means, ["img_id"], many="_many")
 
 
 def curve(df: DataFrame, preset: Column | str) -> DataFrame:
@@ -121,19 +123,19 @@ def _affine(df: DataFrame, preset, rows, contrasts: dict[str, float], whole: boo
     return df.withColumn("v", bounded).drop("mean")
 
 
-def channel_percentiles(df: DataFrame, p: float) -> DataFrame:
+def channel_percentiles(df: DataFrame, p: float, *more: Column) -> DataFrame:
     """Levels at p and 1 - p per picture and band, linearly interpolated.
 
     Levels take 256 values, so the exact percentile keeps at most 256 counts per picture and band.
     """
-    return df.groupBy("img_id", "band").agg(F.percentile("v", p).alias("lo"), F.percentile("v", 1.0 - p).alias("hi"))
+    return df.groupBy("img_id", "band").agg(F.percentile("v", p).alias("lo"), F.percentile("v", 1.0 - p).alias("hi"), *more)
 
 
 def auto_levels(df: DataFrame, p: float) -> DataFrame:
     """Stretch each band between its percentiles, unless they nearly meet."""
     span = F.col("hi") - F.col("lo")
     stretched = P.store((F.col("v") - F.col("lo")) * 255.0 / F.nullif(span, F.lit(0.0)) + P.EPS)
-    joined = df.join(channel_percentiles(df, p), ["img_id", "band"])
+    joined = join_split(df, channel_percentiles(df, p, F.count("*").alias("_many")), ["img_id", "band"], many="_many")
     return joined.withColumn("v", F.when(span > 1, stretched).otherwise(F.col("v"))).drop("lo", "hi")
 
 

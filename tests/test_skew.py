@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frameloom.operators import assignment, dedup, signal, timeline
+from frameloom.operators import assignment, dedup, ordered, signal, timeline
 from frameloom.operators.ordered import exact_quantiles, sequence_index, with_halo
 
 
@@ -163,3 +163,34 @@ def test_components_of_a_long_chain(spark):
     label = {r.node: r.label for r in dedup.components(nodes, edges).collect()}
     assert all(label[k] == 0 for k in range(40))
     assert label[50] == 45 and label[59] == 59
+
+
+def hot_job(spark):
+    """A third of the rows on one key, the others on keys of their own."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
+    return df, spark.range(-1, 9000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("fact"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_heavy_key_meets_its_facts_in_every_task(spark, how):
+    df, facts = hot_job(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ordered.join_split(df.repartition(8), facts, ["k"], how)
+        got = sorted(((r.k, r.id, r.fact) for r in out.collect()), key=repr)
+        rows = out.select(F.spark_partition_id().alias("p"), (F.col("k") == -1).alias("hot")).groupBy("p", "hot").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(k, i, k * 10 if k % 2 or k == -1 else None) for i in range(9000) for k in [-1 if i % 3 == 0 else i]]
+    assert got == sorted((w for w in want if how == "left" or w[2] is not None), key=repr)
+    hot = sorted(r["count"] for r in rows if r["hot"])
+    assert len(hot) == 8 and hot[-1] <= 2 * hot[len(hot) // 2]  # the heavy key stays where its rows were
+
+
+def test_counts_known_from_the_facts(spark):
+    df, facts = hot_job(spark)
+    sized = facts.join(df.groupBy("k").agg(F.count("*").alias("n")), "k", "left").na.fill(0, ["n"])
+    key = lambda d: sorted((r.k, r.id, r.fact) for r in d.collect())
+    out = ordered.join_split(df, sized, ["k"], many="n")
+    assert out.columns == ["k", "id", "fact"] and key(out) == key(df.join(facts, "k"))
