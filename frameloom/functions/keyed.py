@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = float(1 << 32)
+PRIME = (1 << 31) - 1
+STEP = 0x2545F491  # below 2**30, so that a step of a 31-bit counter fits a long
 
 
 def keyed_seed(*parts: Column, digest: str = "sha256") -> Column:
@@ -31,18 +35,29 @@ def whole(seed: Column, name: str, lo: int, hi: int) -> Column:
     return (F.lit(lo) + F.floor(unit_draw(seed, name) * (hi - lo + 1))).cast("long")
 
 
-def normal(seed: Column, name: Column | str, slot: int | Column = 0) -> Column:
-    """Standard normal draw by the Box-Muller transform.
+def cell_key(seed: Column, purpose: str, *counters: Column) -> Column:
+    """Whole number in [0, PRIME) for a seed, a purpose and counters, as arithmetic on longs: no string is built.
 
-    One digest has room for four draws: draws of the same name in different slots share its cost.
+    Every counter is one round h * h + counter * STEP + 1 modulo PRIME, which never leaves a long.
     """
-    digits = F.sha2(F.concat_ws("_", seed.cast("string"), F.lit(name) if isinstance(name, str) else name), 256)
-    slot = F.lit(slot) if isinstance(slot, int) else slot
+    h = F.pmod(seed.cast("long"), F.lit(PRIME)) + F.lit(zlib.crc32(purpose.encode()) % PRIME)
+    h = F.pmod(h, F.lit(PRIME))
+    for c in counters:
+        h = (h * h + c.cast("long") * F.lit(STEP) + F.lit(1)) % F.lit(PRIME)
+    return h
+
+
+def cell_normal(key: Column, slot: int | Column = 0) -> Column:
+    """Standard normal draw by the Box-Muller transform, from a ``cell_key`` that is a column; one key has any number of slots."""
+    slot = (F.lit(slot) if isinstance(slot, int) else slot).cast("long")
 
-    def unit(at: int) -> Column:
-        return F.conv(F.substr(digits, (slot * 16 + at).cast("int"), F.lit(8)), 16, 10).cast("long") / SPAN
+    def unit(n: int) -> Column:
+        h = key
+        for c in (slot * 2 + (n + 1), F.lit(7), F.lit(11)):
+            h = (h * h + c.cast("long") * F.lit(STEP) + F.lit(1)) % F.lit(PRIME)
+        return h / float(PRIME)
 
-    return F.sqrt(F.lit(-2.0) * F.ln(1.0 - unit(1))) * F.cos(F.lit(6.283185307179586) * unit(9))
+    return F.sqrt(F.lit(-2.0) * F.ln(1.0 - unit(0))) * F.cos(F.lit(6.283185307179586) * unit(1))
 
 
 def vary(value: Column, factor: Column, is_whole: Column) -> Column:

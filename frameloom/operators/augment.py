@@ -69,6 +69,6 @@ def augment(df: DataFrame, n: int, base: dict[str, float], mode: str = "balanced
     grey = F.floor(F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114 + P.EPS)
     px = px.withColumn("_grey", grey)
     px = px.withColumns({c: P.store(P.store(F.col("_grey") + (F.col(c) - F.col("_grey")) * F.col("saturation") + P.EPS) + F.col(f"tint_{c}")) for c in "rgb"})
-    at = F.concat_ws(".", F.lit("noise"), F.col("y").cast("string"), F.col("x").cast("string"))
-    px = px.withColumns({c: P.store(F.col(c) + K.normal(F.col("seed"), at, slot) * F.col("noise") * 2.0) for slot, c in enumerate("rgb")})
+    px = px.withColumn("_k", K.cell_key(F.col("seed"), "noise", F.col("y"), F.col("x")))
+    px = px.withColumns({c: P.store(F.col(c) + K.cell_normal(F.col("_k"), slot) * F.col("noise") * 2.0) for slot, c in enumerate("rgb")})
     return R.to_long(px.select("img_id", "variant", "y", "x", "r", "g", "b"))

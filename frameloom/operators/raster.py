@@ -232,9 +232,8 @@ def box_blur(df: DataFrame, r: int) -> DataFrame:
 
 def elastic(df: DataFrame, strength: float, r: int, seed: str) -> DataFrame:
     """Move pixels by a smooth keyed displacement field. The field is shared by the bands of a pixel."""
-    at = F.concat_ws(".", F.lit(seed), F.col("y").cast("string"), F.col("x").cast("string"))
-    field = df.withColumn("_dx", K.normal(F.col("img_id"), at, 0) * strength).withColumn(
-        "_dy", K.normal(F.col("img_id"), at, 1) * strength)
+    keyed = df.withColumn("_k", K.cell_key(F.col("img_id"), seed, F.col("y"), F.col("x")))
+    field = keyed.withColumns({c: K.cell_normal(F.col("_k"), n) * strength for n, c in enumerate(("_dx", "_dy"))}).drop("_k")
     field = smooth(field, r, ["_dx", "_dy"])
     moved = lambda c, d, n: F.floor(F.greatest(F.lit(0.0), F.least(F.col(c) + F.col(d), F.col(n) - 1.0)))
     field = field.withColumn("_my", moved("y", "_dy", "h")).withColumn("_mx", moved("x", "_dx", "w"))
@@ -277,8 +276,8 @@ def channel_shift(df: DataFrame, n: int, blend: float) -> DataFrame:
 
 def grain(df: DataFrame, strength: float, seed: str) -> DataFrame:
     """Zero-mean noise keyed by picture and pixel: the same on every run and in every partitioning."""
-    at = F.concat_ws(".", F.lit(seed), F.col("y").cast("string"), F.col("x").cast("string"))
-    return df.withColumn("v", P.store(F.col("v") + K.normal(F.col("img_id"), at, F.col("band")) * strength * 3.0))
+    keyed = df.withColumn("_k", K.cell_key(F.col("img_id"), seed, F.col("y"), F.col("x")))
+    return keyed.withColumn("v", P.store(F.col("v") + K.cell_normal(F.col("_k"), F.col("band")) * strength * 3.0)).drop("_k")
 
 
 def resize_area(df: DataFrame, tw: Column | int, th: Column | int, whole: bool = True) -> DataFrame:

@@ -263,12 +263,14 @@ def expand_archives(spark, sf_dir):
     return archives.expand_archives(packed, IMAGE_EXTENSIONS + VIDEO_EXTENSIONS).drop("pos")
 
 
-@query("scan_objects")
+@query("scan_objects", """SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, 0::BIGINT AS refused FROM documents GROUP BY lang""")
 def scan_objects(spark, sf_dir):
-    found = objects.scan_objects(spark, sf_dir, "*.parquet")
-    return found.select(
-        U.last_segment(F.col("path")).alias("name"), F.col("length").alias("size"), objects.size_reason(F.col("length")).alias("reason")
-    )
+    """The texts as files of one folder per language, found again with their sizes."""
+    path = scratch_path(spark, "objects")
+    table(spark, sf_dir, "documents").select("text", "lang").write.partitionBy("lang").text(path)
+    found = objects.scan_objects(spark, path, "*.txt", partitions=True)
+    refused = F.count_if(objects.size_reason(F.col("length"), 1 << 40).isNotNull())
+    return found.groupBy(F.coalesce("lang", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("lang")).agg(F.sum("length").alias("bytes"), refused.alias("refused"))
 
 
 @query("write_results", fx.with_parts("items") + "SELECT status, count(*) AS n, sum(size)::BIGINT AS bytes FROM items GROUP BY status")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.sql import functions as F
 
 from ..functions import dimensions as D
+from ..functions import keyed as K
 from ..functions import pixels as P
 from ..operators import raster as R
 from . import fixtures as fx
@@ -232,9 +234,19 @@ def rotate(spark, sf_dir):
     return R.rotate(sized(spark, sf_dir), 30.0).drop("w", "h")
 
 
-def normal_sql(seed: str, name: str, slot: str = "0") -> str:
-    unit = lambda at: f"(('0x' || substr(sha256({seed} || '_' || {name}), ({slot}) * 16 + {at}, 8))::BIGINT / 4294967296.0)"
-    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {unit(1)}::DOUBLE)) * cos({d(6.283185307179586)} * {unit(9)}::DOUBLE))"
+def normal_sql(seed: str, purpose: str, *counters: str, slot: str = "0") -> str:
+    step = lambda h, c: f"(({h} * {h} + ({c})::BIGINT * {K.STEP} + 1) % {K.PRIME})"
+    h = f"(((({seed})::BIGINT % {K.PRIME} + {K.PRIME}) % {K.PRIME} + {zlib.crc32(purpose.encode()) % K.PRIME}) % {K.PRIME})"
+    for c in counters:
+        h = step(h, c)
+
+    def unit(n: int) -> str:
+        u = h
+        for c in (f"({slot}) * 2 + {n + 1}", "7", "11"):
+            u = step(u, c)
+        return f"({u} / {d(float(K.PRIME))})"
+
+    return f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {unit(0)})) * cos({d(6.283185307179586)} * {unit(1)}))"
 
 
 def over(fn: str, e: str, along: str, r: int) -> str:
@@ -242,7 +254,7 @@ def over(fn: str, e: str, along: str, r: int) -> str:
     return f"{fn}({e}) OVER (PARTITION BY img_id, band, {across} ORDER BY {along} ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
 
 
-_F = lambda axis: normal_sql("img_id", "'f.' || y || '.' || x", "0" if axis == "x" else "1")
+_F = lambda axis: normal_sql("img_id", "f", "y", "x", slot="0" if axis == "x" else "1")
 
 
 @query("elastic", remap_sql("floor(greatest(0.0, least(y + dy, 7.0)))", "floor(greatest(0.0, least(x + dx, 7.0)))", None,
@@ -283,7 +295,7 @@ def channel_shift(spark, sf_dir):
     return R.channel_shift(rgb(spark, sf_dir), 1, 0.4)
 
 
-@query("grain", RGB + f"SELECT {COLS}, {st('v + ' + normal_sql('img_id', "'g.' || y || '.' || x", 'band') + ' * 2.0::DOUBLE * 3.0::DOUBLE')} AS v FROM rgb")
+@query("grain", RGB + f"SELECT {COLS}, {st('v + ' + normal_sql('img_id', 'g', 'y', 'x', slot='band') + ' * 2.0::DOUBLE * 3.0::DOUBLE')} AS v FROM rgb")
 def grain(spark, sf_dir):
     return R.grain(rgb(spark, sf_dir), 2.0, "g")
 

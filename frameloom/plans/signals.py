@@ -163,13 +163,13 @@ def rhythm_profile(spark, sf_dir):
 def noisy(spark, sf_dir):
     """Four pictures per vector: itself, two with noise, and a copy."""
     px = fx.pixels(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    at = F.concat_ws(".", F.lit("n"), *[F.col(c).cast("string") for c in ("k", "y", "x")])
+    px = px.withColumn("_k", K.cell_key(F.col("img_id"), "n", F.col("k"), F.col("y"), F.col("x")))
     level = F.when(F.col("k").isin(1, 2), F.col("k") * 4.0).otherwise(0.0)
-    v = F.when(level > 0, P.store(F.col("v") + K.normal(F.col("img_id"), at) * level)).otherwise(F.col("v"))
+    v = F.when(level > 0, P.store(F.col("v") + K.cell_normal(F.col("_k")) * level)).otherwise(F.col("v"))
     return px.select((F.col("img_id") * 4 + F.col("k")).alias("img_id"), "y", "x", v.alias("v"))
 
 
-_NOISE = normal_sql("img_id", "'n.' || k || '.' || y || '.' || x")
+_NOISE = normal_sql("img_id", "n", "k", "y", "x")
 _DUP = fx.with_parts("pixels") + f""", var AS (SELECT img_id * 4 + k AS img_id, y, x, CASE WHEN k IN (1, 2) THEN {st(f"v + {_NOISE} * (k * 4.0::DOUBLE)")} ELSE v END AS v FROM pixels, (SELECT unnest(range(4)) AS k)),
 uv AS (SELECT a.n AS u, b.n AS t FROM (SELECT unnest(range(8)) AS n) a, (SELECT unnest(range(8)) AS n) b),
 lines AS (SELECT img_id, y, u, sum(v * cos(pi() * (2 * x + 1) * u / 16)) AS c FROM var, (SELECT unnest(range(8)) AS u) GROUP BY ALL),
@@ -248,7 +248,7 @@ def _augment_sql():
     margins = ", ".join(f"floor(8 * ({u('crop.' + s)} * {strength['crop']} / 100.0))::INTEGER AS m_{s}" for s in ("left", "right", "top", "bottom"))
     tone = lambda c: st(f"128.0::DOUBLE + ({stp(f'pow({st(f'{c} * brightness')} / 255.0::DOUBLE, gamma) * 255.0::DOUBLE')} - 128.0::DOUBLE) * contrast")
     sat = lambda c: st(f"{stp(f'grey + ({c} - grey) * saturation')} + tint_{c}")
-    noise = lambda c: st(f"{c} + {normal_sql('seed', "'noise.' || y || '.' || x", str('rgb'.index(c)))} * noise * 2.0::DOUBLE")
+    noise = lambda c: st(f"{c} + {normal_sql('seed', 'noise', 'y', 'x', slot=str('rgb'.index(c)))} * noise * 2.0::DOUBLE")
     return fx.with_parts("rgb") + f""", wide AS (SELECT img_id, y, x, max(v) FILTER (band = 0) AS r, max(v) FILTER (band = 1) AS g, max(v) FILTER (band = 2) AS b FROM rgb GROUP BY ALL),
 par AS (SELECT img_id, variant, seed, {u('flip')} > 0.5 AS flip, {margins}, {fac('brightness', '0.0', '10.0')}, {fac('gamma', '0.5', '2.0')}, {fac('contrast', '0.5', '1.5')}, {fac('saturation', '0.5', '1.5')}, {tints}, {strength['noise']} AS noise
   FROM (SELECT img_id, k AS variant, {SEED.format("img_id || '_' || k || '_aug'")} AS seed FROM (SELECT DISTINCT img_id FROM rgb), (SELECT unnest([0, 1]) AS k))),

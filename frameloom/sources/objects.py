@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.dimensions import KIND_EXTENSIONS, MAX_ITEM_BYTES
 
 
-def scan_objects(spark: SparkSession, root: str, glob: str = "*", content: bool = False) -> DataFrame:
-    """Files below a folder. The bytes are only read where ``content`` asks for them."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
-    )
-    columns = ["path", "length", "modificationTime"] + (["content"] if content else [])
-    return files.select(*columns)
+def scan_objects(spark: SparkSession, root: str, glob: str = "*", content: bool = False, partitions: bool = False) -> DataFrame:
+    """Files below a folder. The bytes are only read where ``content`` asks for them.
+
+    With ``partitions`` the folders are named column=value and become columns, and filters on them leave folders out.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    files = reader.load(root) if partitions else reader.option("recursiveFileLookup", "true").load(root)
+    return files if content else files.drop("content")
 
 
 def size_reason(size: Column, limit: int = MAX_ITEM_BYTES) -> Column:

@@ -64,3 +64,16 @@ def test_wide_pixels_are_those_of_the_long_table(spark):
 
     key = lambda df: sorted(tuple(r) for r in df.select("img_id", "y", "x", "r", "g", "b").collect())
     assert key(fixtures.wide(spark, SF_DIR)) == key(raster.to_wide(fixtures.rgb(spark, SF_DIR)))
+
+
+def test_cell_draws_are_normal_and_unrelated(spark):
+    from frameloom.functions import keyed as K
+
+    grid = spark.range(1 << 16).select(F.floor(F.col("id") / 256).alias("y"), (F.col("id") % 256).alias("x"))
+    keyed = grid.withColumn("k", K.cell_key(F.lit(-(1 << 60) - 5), "p", F.col("y"), F.col("x")))
+    z = keyed.select("y", "x", "k", K.cell_normal(F.col("k")).alias("a"), K.cell_normal(F.col("k"), 1).alias("b"))
+    near = z.select((F.col("y") + 1).alias("y"), "x", F.col("a").alias("c"))
+    r = z.join(near, ["y", "x"], "left").agg(
+        F.avg("a"), F.stddev("a"), F.kurtosis("a"), F.corr("a", "b"), F.corr("a", "c"), F.max(F.abs("a")), F.count_distinct("k"), F.min("k"), F.max("k")).first()
+    assert abs(r[0]) < 0.02 and abs(r[1] - 1) < 0.02 and abs(r[2]) < 0.1 and abs(r[3]) < 0.02 and abs(r[4]) < 0.02
+    assert r[5] < 6.7 and r[6] > 65_500 and r[7] >= 0 and r[8] < K.PRIME
