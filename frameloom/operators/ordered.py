@@ -71,21 +71,31 @@ def with_halo(df: DataFrame, pos: str, size: int, before: int, after: int) -> Da
     )
 
 
+def _bucket(value: Column, edges: Column) -> Column:
+    """How many of the sorted edges are not above the value, found among every sixteenth first."""
+    not_above = lambda e: e <= value
+    group = F.size(F.filter(F.filter(edges, lambda e, i: i % 16 == 0), not_above))
+    inside = F.size(F.filter(F.slice(edges, F.greatest((group - 1) * 16 + 1, F.lit(1)), F.lit(16)), not_above))
+    return F.when(group > 0, (group - 1) * 16 + inside).otherwise(0).cast("long")
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], resolution: int = 1 << 20
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], resolution: int = 256
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key without gathering a key's values in one task.
 
-    Equal values collapse to counts first; a histogram of equal-width buckets then locates the ranks, and
-    only the buckets that hold a wanted rank are sorted.
+    Equal values collapse to counts first. A mergeable sketch of the different values chooses the edges of buckets that
+    hold about as many of them each, however they are spread; exact counts of the buckets then locate the ranks, and only
+    the buckets that hold a wanted rank are sorted. The sketch's error moves edges, not results.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_rows"))
-    width = (F.col("_hi") - F.col("_lo")) / resolution
-    bucketed = counts.join(span, keys).withColumn(
-        "_b", F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width)).otherwise(F.lit(0)).cast("long")
-    ).repartition(*keys, "_b")  # the join may have left a heavy key in one partition
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
+    cuts = F.array(*[F.lit(k / resolution) for k in range(1, resolution)]) if resolution > 1 else F.array(F.lit(0.5))
+    span = counts.groupBy(*keys).agg(
+        F.sum("_n").alias("_rows"), F.count("*").alias("_many"), F.percentile_approx(value, cuts, F.lit(max(1000, 20 * resolution))).alias("_edges"))
+    bucketed = join_split(counts, span, keys, many="_many").withColumn("_b", _bucket(F.col(value), F.col("_edges"))).drop("_edges", "_rows")
+    bucketed = bucketed.repartition(*keys, "_b")  # the join may have left a heavy key in one partition
+    span = span.select(*keys, "_rows")
     up_to = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = (
         bucketed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))

@@ -194,3 +194,17 @@ def test_counts_known_from_the_facts(spark):
     key = lambda d: sorted((r.k, r.id, r.fact) for r in d.collect())
     out = ordered.join_split(df, sized, ["k"], many="n")
     assert out.columns == ["k", "id", "fact"] and key(out) == key(df.join(facts, "k"))
+
+
+def test_quantile_buckets_of_a_source_with_one_far_outlier(spark):
+    """One value of 1e300 must not put all others into one bucket."""
+    df = spark.range(40_000).select(F.lit("s").alias("k"), F.when(F.col("id") == 7, 1e300).otherwise(F.rand(3)).alias("v"))
+    df = df.union(spark.createDataFrame([("t", None), ("u", 2.0)], "k string, v double")).persist()
+    got = {r.k: r.q for r in ordered.exact_quantiles(df, ["k"], "v", {"q": 0.25}).collect()}
+    values = np.array([r.v for r in df.where("k = 's'").collect()])
+    assert got == {"s": pytest.approx(np.quantile(values, 0.25), abs=1e-12), "u": 2.0}
+    edges = df.where("k = 's'").agg(F.percentile_approx("v", [k / 64 for k in range(1, 64)], 10_000)).first()[0]
+    sizes = df.where("k = 's'").select(ordered._bucket(F.col("v"), F.array(*[F.lit(e) for e in edges])).alias("b")).groupBy("b").count().collect()
+    assert len(sizes) == 64 and max(r["count"] for r in sizes) < 2 * 40_000 / 64
+    assert {r["b"] for r in sizes} == set(range(64))
+    df.unpersist()
