@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..functions import timing as T
 from ..functions.templates import SLOT_DEFAULTS, STYLE_VARIANTS, TEMPLATE_COLUMNS, TEMPLATES
 from ..functions.urls import looks_like_url
+from ..session import cut_lineage
 from .ordered import by_chunk, first_rows, sequence_index
 
 MAP = "map<string,string>"
@@ -147,6 +148,7 @@ def assign_fallback_source(clips: DataFrame, urls: DataFrame, inputs: DataFrame)
 
     ``urls``: job_id, k, url. ``inputs``: job_id, input_path. Clips left without a source are dropped.
     """
+    clips = cut_lineage(clips)  # read by three branches
     ready = clips.where(F.col("source").isNotNull())
     lacking = sequence_index(clips.where(F.col("source").isNull()), ["job_id"], ["ord"], [F.floor(F.col("ord") / 4096)], "k")
     filled = (
@@ -242,7 +244,7 @@ def clip_cursor(clips: DataFrame, coarse: Sequence[Column]) -> DataFrame:
     part = by_chunk(clips, ["job_id"], coarse)
     so_far = Window.partitionBy("job_id", "_chunk").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, 0)
     local = part.withColumn("_s", F.sum("dur").over(so_far)).withColumn("_slack", F.col("start") - F.col("_s") + F.col("dur"))
-    local = local.withColumn("_m", F.max("_slack").over(so_far))
+    local = cut_lineage(local.withColumn("_m", F.max("_slack").over(so_far)))  # its chunks are summed up and joined to it
     earlier = Window.partitionBy("job_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         local.groupBy("job_id", "_chunk").agg(F.sum("dur").alias("_sum"), F.max("_slack").alias("_max"))

@@ -9,6 +9,7 @@ from ..functions import dimensions as D
 from ..functions import templates as M
 from ..functions import timing as T
 from ..operators import timeline as L
+from ..session import cut_lineage
 from . import fixtures as fx
 from .catalog import query, table
 from .intake import sql_list, sql_values
@@ -78,8 +79,8 @@ def collect_tracks(spark, sf_dir):
     return rows.select("job_id", "kind", "ord", F.coalesce(C.get(m, "clipId"), C.get(m, "text"), C.get(m, "id")).alias("label"))
 
 
-def _clips(spark, sf_dir):
-    return L.normalise_clips(L.entry_rows(L.shred_timeline(_timelines(spark, sf_dir)), "video"))
+def _clips(spark, sf_dir, shredded=None):
+    return L.normalise_clips(L.entry_rows(L.shred_timeline(_timelines(spark, sf_dir)) if shredded is None else shredded, "video"))
 
 
 @query("normalise_clips", _TL + "SELECT job_id, ord::INTEGER AS ord, clip_id, media_type, source, start, dur, trim_in, trim_out, speed, fade_in, fade_out FROM clips")
@@ -104,10 +105,10 @@ SELECT c.job_id, c.clip_id, 0 AS track, s.e::BIGINT AS ord, 'own' AS type FROM c
 UNION ALL SELECT c.job_id, c.clip_id, 1, t.k, 'Hue_Rotate' FROM clips c JOIN tracked t USING (job_id, clip_id)
 UNION ALL SELECT c.job_id, c.clip_id, NULL, NULL, NULL FROM clips c WHERE c.ord % 2 = 1 AND NOT EXISTS (SELECT 1 FROM tracked t WHERE t.job_id = c.job_id AND t.clip_id = c.clip_id)""")
 def effect_stacks(spark, sf_dir):
-    shredded = L.shred_timeline(_timelines(spark, sf_dir))
+    shredded = cut_lineage(L.shred_timeline(_timelines(spark, sf_dir)))  # parsed once for three branches
     tracked = L.entry_rows(shredded, "effects").withColumnRenamed("entry", "effect")
     tracked = tracked.withColumn("target", C.first_set(F.col("effect"), "clipId", "clip_id"))
-    clips = _clips(spark, sf_dir)
+    clips = _clips(spark, sf_dir, shredded)
     own = clips.where("ord % 2 = 0").select("job_id", "clip_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"),
                                             F.create_map(F.lit("type"), F.lit("own")).alias("effect"))
     out = L.effect_stacks(own, tracked, clips)

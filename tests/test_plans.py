@@ -77,3 +77,9 @@ def test_cell_draws_are_normal_and_unrelated(spark):
         F.avg("a"), F.stddev("a"), F.kurtosis("a"), F.corr("a", "b"), F.corr("a", "c"), F.max(F.abs("a")), F.count_distinct("k"), F.min("k"), F.max("k")).first()
     assert abs(r[0]) < 0.02 and abs(r[1] - 1) < 0.02 and abs(r[2]) < 0.1 and abs(r[3]) < 0.02 and abs(r[4]) < 0.02
     assert r[5] < 6.7 and r[6] > 65_500 and r[7] >= 0 and r[8] < K.PRIME
+
+
+@pytest.mark.parametrize(("name", "scans"), [("clip_cursor", 0), ("effect_stacks", 0), ("assign_fallback_source", 2)])
+def test_parsed_rows_are_stored_before_they_branch(spark, name, scans):
+    """Scans of files that are left in the plan: those of other inputs only."""
+    assert plan(QUERIES[name](spark, SF_DIR)).count("FileScan") <= scans
