@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .config import clamp, clamp_number, first_set, hex_colour, lookup
-from .dimensions import MOTION_ALIASES, MOTION_PRESETS, TRANSITION_ALIASES, TRANSITION_NAMES, TRANSITION_TYPES
+from .dimensions import MOTION_ALIASES, MOTION_PRESETS, TRANSITION_TARGETS, TRANSITION_TYPES
 from .keyed import unit_draw
 from .text import effect_name
 
@@ -54,7 +54,7 @@ def transition(raw: Column) -> Column:
 def transition_target(kind: Column) -> Column:
     """Renderer name of a transition type, ``fade`` if it has none."""
     kind = F.lower(kind)
-    return F.coalesce(lookup(TRANSITION_ALIASES, kind), F.when(kind.isin(*TRANSITION_NAMES), kind), F.lit("fade"))
+    return F.coalesce(lookup(TRANSITION_TARGETS, kind), F.lit("fade"))
 
 
 def motion_preset(value: Column, default: str = "none") -> Column:

@@ -250,12 +250,12 @@ def transition(spark, sf_dir):
     return df.select("event_id", T.transition(F.col("m")).alias("t")).select("event_id", "t.*")
 
 
-_ALL = D.TRANSITION_NAMES + list(D.TRANSITION_ALIASES) + ["Nothing", "FADE"]
+_ALL = list(D.TRANSITION_TARGETS) + ["Nothing", "FADE"]
 _PRESETS = ["Auto", "push_in", "whipleft", "none", "impact", "spin", None, " Drift_Left "]
 
 
-@query("transition_target", f"""WITH a(name, target) AS ({sql_values(D.TRANSITION_ALIASES.items())}), e AS (SELECT event_id, lower({fx.sql_choose(f'event_id % {len(_ALL)}', _ALL)}) AS name FROM events)
-SELECT e.event_id, coalesce(a.target, CASE WHEN e.name IN ({sql_list(D.TRANSITION_NAMES)}) THEN e.name END, 'fade') AS target FROM e LEFT JOIN a USING (name)""")
+@query("transition_target", f"""WITH a(name, target) AS ({sql_values(D.TRANSITION_TARGETS.items())}), e AS (SELECT event_id, lower({fx.sql_choose(f'event_id % {len(_ALL)}', _ALL)}) AS name FROM events)
+SELECT e.event_id, coalesce(a.target, 'fade') AS target FROM e LEFT JOIN a USING (name)""")
 def transition_target(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.transition_target(fx.choose(F.col("event_id") % len(_ALL), _ALL)).alias("target"))
 
