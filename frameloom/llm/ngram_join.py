@@ -209,11 +209,12 @@ def rarest(posts: DataFrame) -> DataFrame:
 
 
 def meeting(led: DataFrame) -> DataFrame:
-    """a, b: each node with the least lead of its signatures, and that one with the other leads. ``led``: node, lead.
+    """a, b: each node with the least of its leads, and that one with the others. ``led``: node, lead.
 
-    This connects what shares a signature with one edge per node; edges between leads are the same for many nodes.
+    This connects what shares a lead with one edge per node; edges between leads are the same for many nodes.
     """
-    near = led.groupBy("node").agg(F.min("lead").alias("top"), F.collect_set("lead").alias("leads"))  # no more leads than signatures of one text
+    # no more leads than signatures of a text, or than chunks that a text's own chunk meets
+    near = led.groupBy("node").agg(F.min("lead").alias("top"), F.collect_set("lead").alias("leads"))
     own = near.select(F.col("node").alias("a"), F.col("top").alias("b"))
     others = near.select(F.explode("leads").alias("a"), F.col("top").alias("b"))
     return own.union(others.distinct()).where("a <> b")
@@ -267,7 +268,7 @@ class Trie:
 
 
 def join_chunks(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None, percent: int) -> list[tuple[int, int | None, int]]:
-    """(node, None, links) per linked set and (node, node, 0) per connecting link; sets are (node, copies, tokens).
+    """(node, None, links) per linked set and (node, least node of its component here, 0); sets are (node, copies, tokens).
 
     With ``right`` None the sets of ``left`` are joined among themselves.
     """
@@ -294,9 +295,11 @@ def join_chunks(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int,
                 continue
             links[i] += every[j][1]
             links[j] += every[i][1]
-            if top(i) != top(j):
-                parent[top(i)] = top(j)
-                out.append((every[i][0], every[j][0], 0))
+            parent[top(i)] = top(j)
+    least: dict[int, int] = {}
+    for i, own in enumerate(every):
+        least[top(i)] = min(least.get(top(i), own[0]), own[0])
+    out.extend((own[0], least[top(i)], 0) for i, own in enumerate(every) if own[0] != least[top(i)])
     return out + [(every[i][0], None, n) for i, n in enumerate(links) if n]
 
 
@@ -366,7 +369,7 @@ def _joined(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, sp
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     groups = found.select("*", other).select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "copies", "text")
     links = stage(linked(groups, size, percent), "links")
-    labels = components(links.where("b is not null").select("a", "b"))
+    labels = components(stage(meeting(links.where("b is not null").select(F.col("a").alias("node"), F.col("b").alias("lead"))), "linked"))
     degrees = links.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     known = stage(nodes.join(labels, "node", "left").join(degrees, nodes["node"] == degrees["a"], "left")
                   .select("node", "doc", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "known")
