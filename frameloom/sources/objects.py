@@ -15,7 +15,8 @@ def scan_objects(spark: SparkSession, root: str, glob: str = "*", content: bool
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     files = reader.load(root) if partitions else reader.option("recursiveFileLookup", "true").load(root)
-    return files if content else files.drop("content")
+    columns = ["path", "length", "modificationTime"] + (["content"] if content else [])
+    return files.select(*columns, *[c for c in files.columns if c not in (*columns, "content")])
 
 
 def size_reason(size: Column, limit: int = MAX_ITEM_BYTES) -> Column:
